@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import common, licenses, mixing, packing
+from . import common, licenses, mixing, packing, quality
 
 
 def token_file(name: str) -> str:
@@ -30,10 +30,15 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), token_file("byte_bpe_50k.json"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op7_mix_sources": op7_mix_sources,
     "op8_pack": op8_pack,
+    "op9_quality_rules": op9_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
 
