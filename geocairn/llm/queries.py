@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import common, licenses, mixing, packing, quality
+from . import common, licenses, lines, mixing, near, packing, quality
 
 
 def token_file(name: str) -> str:
@@ -20,6 +20,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(common.table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", common.n_words(F.col("text")).alias("size"))
     mixed = mixing.mix_sources(common.cut(docs))
@@ -36,6 +45,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_license_scan": op3_license_scan,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_mix_sources": op7_mix_sources,
     "op8_pack": op8_pack,
     "op9_quality_rules": op9_quality_rules,
