@@ -11,6 +11,7 @@ to and the local component it is in. So no pair is ever a row, and a group of an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,30 +49,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text; a shorter text has one shingle of all its words, an empty one none."""
+_POWERS = _mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+#: Bytes of text that are hashed at a time.
+SLICE = 1 << 22
 
-    def __init__(self, n: int = SHINGLE):
-        self.n, self.words = n, {}
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        import xxhash
+def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word (run of bytes other than ASCII white space)."""
+    c = np.frombuffer(text + b" ", np.uint8)
+    space = (c == 32) | ((c >= 9) & (c <= 13))
+    edges = np.flatnonzero(np.diff(space, prepend=True))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return starts, np.empty(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat((c[~space].astype(np.uint64) + np.uint64(1)) * _POWERS[within & 4095], first)
+        return starts, _mix(sums ^ _mix(lengths.astype(np.uint64)))
 
-        known, words = self.words, text.split()
-        if not words:
-            return np.empty(0, np.uint64)
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > 500_000:
-                known = self.words = {w: known[w] for w in set(words) & known.keys()}
-            known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.n, len(h))
-        out = np.zeros(len(h) - n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(n):
-                out = _mix(out * _BASE + h[k : k + len(out)])
-        return np.unique(out)
+
+def _windows(h: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = _mix(out * _BASE + h[k : k + len(out)])
+    return out
+
+
+def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text; a text of fewer than n words has one shingle of all its words, an empty one
+    none. Short texts are hashed many at a time, a long one in pieces."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > SLICE:
+            text, parts, a = texts[at], [], 0
+            while a < len(text):
+                end = re.compile(rb"[\x20\x09-\x0d]|$").search(text, min(a + SLICE, len(text))).start()
+                parts.append(_word_hashes(text[a:end])[1])
+                a = max(end, a + 1)
+            hashes = [np.concatenate(parts)]
+            at += 1
+        else:
+            to, size = at, 0
+            while to < len(texts) and size + len(texts[to]) <= SLICE:
+                size += len(texts[to]) + 1
+                to += 1
+            starts, h = _word_hashes(b" ".join(texts[at:to]))
+            bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts[at:to])]))
+            hashes = [h[bounds[i] : bounds[i + 1]] for i in range(to - at)]
+            at = to
+        out += [np.unique(_windows(h, min(n, max(1, len(h))))) for h in hashes]
+    return out
 
 
 class Signer:
@@ -80,19 +110,18 @@ class Signer:
     def __init__(self, trees: int, depth: int, seed: int = SEED):
         random = np.random.default_rng(seed)
         self.shape = (trees, depth)
-        self.flip = random.integers(0, 2**32, trees * depth, dtype=np.uint32)[:, None]
-        self.times = (random.integers(0, 2**32, trees * depth, dtype=np.uint32) | np.uint32(1))[:, None]
+        self.flip = random.integers(0, 2**32, trees * depth, dtype=np.uint32)
+        self.times = random.integers(0, 2**32, trees * depth, dtype=np.uint32) | np.uint32(1)
+        self.room = np.empty((128, trees * depth), np.uint32)
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        low = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-        least = np.full(self.flip.shape[0], 2**32 - 1, np.uint32)
+        low = ((shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32))[:, None]
+        least = np.full(len(self.flip), 2**32 - 1, np.uint32)
         with np.errstate(over="ignore"):
-            for a in range(0, len(low), 1024):
-                x = low[None, a : a + 1024] ^ self.flip
+            for a in range(0, len(low), len(self.room)):
+                x = np.bitwise_xor(low[a : a + len(self.room)], self.flip, out=self.room[: len(low) - a])
                 x *= self.times
-                x ^= x >> np.uint32(15)
-                x *= np.uint32(0x2C1B3C6D)
-                np.minimum(least, x.min(axis=1), out=least)
+                np.minimum(least, x.min(axis=0), out=least)
             out = np.zeros(self.shape[0], np.uint64)
             for column in least.reshape(self.shape).T:
                 out = _mix(out * _BASE + column)
@@ -106,11 +135,11 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        shingler, signer = Shingler(shingle), Signer(trees, depth)
+        signer = Signer(trees, depth)
         for batch in batches:
             n, a, b, prefixes = [], [], [], []
-            for t in batch.column(1):
-                s = shingler(t.as_py())
+            texts = batch.column(1)
+            for s in (s for k in range(0, len(texts), 64) for s in shingle_sets(texts[k : k + 64].to_pylist(), shingle)):
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 a.append(int.from_bytes(d[:8], "little", signed=True))
@@ -175,9 +204,8 @@ def _verify(threshold: float, shingle: int):
     """For a unit (all pairs of two blocks of one group, or whole small groups): id, links (documents) and root (an id of its component)."""
 
     def unit(data: pa.Table) -> pa.Table:
-        shingler = Shingler(shingle)
         group, block, ids, weight = (data.column(c).to_numpy() for c in ("grp", "block", "id", "weight"))
-        sets = [shingler(t.as_py()) for t in data.column("text")]
+        sets = shingle_sets(data.column("text").to_pylist(), shingle)
         low = data.column("low")[0].as_py()
         out: list[tuple] = []
         for g in np.unique(group):

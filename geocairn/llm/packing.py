@@ -86,6 +86,13 @@ class WordwiseTokenizer:
         return [h + b"".join([known[w] for w in words]) for h, words in zip(heads, rest, strict=True)]
 
 
+def token_file(name: str) -> str:
+    """Path of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fill(items: list[list[int]], limits: tuple[int, int, int], loss, min_piece: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[list[int]]]:
     """Sequences of (example, start, length) from [example, start, length] items, and what a later pool has still to place.
 

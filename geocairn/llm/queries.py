@@ -10,12 +10,6 @@ import corpus_pipeline
 from . import common, licenses, lines, mixing, near, packing, quality
 
 
-def token_file(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(common.table(spark, sf_dir, "documents"))
 
@@ -36,7 +30,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(common.table(spark, sf_dir, "documents"), token_file("byte_bpe_50k.json"))
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), packing.token_file("byte_bpe_50k.json"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
