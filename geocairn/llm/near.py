@@ -11,7 +11,6 @@ to and the local component it is in. So no pair is ever a row, and a group of an
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, quoted
 from .graph import components, local_roots
+from .words import BASE, mix, shingle_sets
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -39,71 +39,6 @@ def shared_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recal
     return depth
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """64-bit finaliser (splitmix64's constants)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_POWERS = _mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
-#: Bytes of text that are hashed at a time.
-SLICE = 1 << 22
-
-
-def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of each word (run of bytes other than ASCII white space)."""
-    c = np.frombuffer(text + b" ", np.uint8)
-    space = (c == 32) | ((c >= 9) & (c <= 13))
-    edges = np.flatnonzero(np.diff(space, prepend=True))
-    starts, lengths = edges[::2], edges[1::2] - edges[::2]
-    if not len(starts):
-        return starts, np.empty(0, np.uint64)
-    first = np.cumsum(lengths) - lengths
-    within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    with np.errstate(over="ignore"):
-        sums = np.add.reduceat((c[~space].astype(np.uint64) + np.uint64(1)) * _POWERS[within & 4095], first)
-        return starts, _mix(sums ^ _mix(lengths.astype(np.uint64)))
-
-
-def _windows(h: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            out = _mix(out * _BASE + h[k : k + len(out)])
-    return out
-
-
-def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text; a text of fewer than n words has one shingle of all its words, an empty one
-    none. Short texts are hashed many at a time, a long one in pieces."""
-    out: list[np.ndarray] = []
-    at = 0
-    while at < len(texts):
-        if len(texts[at]) > SLICE:
-            text, parts, a = texts[at], [], 0
-            while a < len(text):
-                end = re.compile(rb"[\x20\x09-\x0d]|$").search(text, min(a + SLICE, len(text))).start()
-                parts.append(_word_hashes(text[a:end])[1])
-                a = max(end, a + 1)
-            hashes = [np.concatenate(parts)]
-            at += 1
-        else:
-            to, size = at, 0
-            while to < len(texts) and size + len(texts[to]) <= SLICE:
-                size += len(texts[to]) + 1
-                to += 1
-            starts, h = _word_hashes(b" ".join(texts[at:to]))
-            bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts[at:to])]))
-            hashes = [h[bounds[i] : bounds[i + 1]] for i in range(to - at)]
-            at = to
-        out += [np.unique(_windows(h, min(n, max(1, len(h))))) for h in hashes]
-    return out
-
-
 class Signer:
     """Hash of the minhash prefix of each tree."""
 
@@ -124,7 +59,7 @@ class Signer:
                 np.minimum(least, x.min(axis=0), out=least)
             out = np.zeros(self.shape[0], np.uint64)
             for column in least.reshape(self.shape).T:
-                out = _mix(out * _BASE + column)
+                out = mix(out * BASE + column)
         return out.view(np.int64)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import common, licenses, lines, mixing, near, packing, quality
+from . import classifier, common, licenses, lines, mixing, near, packing, quality
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(common.table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
@@ -44,6 +48,7 @@ QUERIES = {
     "op7_mix_sources": op7_mix_sources,
     "op8_pack": op8_pack,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
     "pipeline": corpus_pipeline.run,
 }
 
