@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import classifier, common, licenses, lines, mixing, near, packing, quality
+from . import classifier, common, licenses, lines, mixing, near, packing, quality, tokencount, vectors
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(common.table(spark, sf_dir, "embeddings"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +23,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(common.table(spark, sf_dir, "documents"), packing.token_file("piece_bpe_32k.model"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -42,8 +50,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mix_sources": op7_mix_sources,
     "op8_pack": op8_pack,
