@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,17 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the cluster's shared folder, so that a lost executor loses no work.
-
-    The folder is spark.checkpoint.dir; only where that is unset (local tests) is a temporary one taken.
-    """
+def _shared(df: DataFrame) -> str:
+    """A new place in spark.checkpoint.dir; only where that is unset (local tests) is a temporary folder taken for it."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the cluster's shared folder, so that a lost executor loses no work."""
+    _shared(df)
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the cluster's shared folder and read back, where later reads need only some of its columns."""
+    folder = _shared(df)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import classifier, common, licenses, lines, mixing, near, packing, quality, tokencount, vectors
+from . import classifier, common, hmm, licenses, lines, mixing, near, packing, quality, tokencount, vectors
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(common.table(spark, sf_dir, "embeddings"))
 
 
+def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(common.table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(common.table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_hmm_scores": op2_hmm_scores,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
