@@ -96,8 +96,8 @@ def token_file(name: str) -> str:
 def fill(items: list[list[int]], limits: tuple[int, int, int], loss, min_piece: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[list[int]]]:
     """Sequences of (example, start, length) from [example, start, length] items, and what a later pool has still to place.
 
-    loss(example, start, length) is a piece's loss-bearing tokens. min_piece 0: nothing is cut. An item must fit an empty sequence.
-    Items of equal vectors are interchangeable: the first of them goes in first.
+    loss(example, start, length) is a piece's loss-bearing tokens. min_piece 0: nothing is cut. An item that
+    fits no empty sequence stands alone. Items of equal vectors are interchangeable: the first of them goes in first.
     """
     kinds: dict[tuple[int, int], list] = {}
     for x in reversed(items):
@@ -124,7 +124,9 @@ def fill(items: list[list[int]], limits: tuple[int, int, int], loss, min_piece:
             dots = np.where(fits, tokens[a:] * (room / limits[0] ** 2) + bears[a:] * (room_loss / limits[2] ** 2) + segments / limits[1] ** 2, -1.0)
             k = int(np.argmax(dots)) if len(dots) else 0
             if not len(dots) or dots[k] < 0:
-                break
+                if sequence:
+                    break
+                a, k = 0, int(np.argmax(there))  # it exceeds a limit by itself, so it stands alone
             x = take(a + k)
             room, segments, room_loss = room - x[2], segments - 1, room_loss - int(bears[a + k])
             sequence.append(x)
