@@ -10,8 +10,9 @@ import html
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-LINE = "array<struct<lng:double,lat:double>>"
+LINE = ArrayType(StructType([StructField("lng", DoubleType()), StructField("lat", DoubleType())]))
 
 
 def _points(line) -> np.ndarray:
@@ -145,18 +146,18 @@ def simplify_ring(ring: pd.Series, epsilon: pd.Series) -> pd.Series:
     return pd.Series([one(x, e) for x, e in zip(ring, epsilon, strict=True)])
 
 
-@F.pandas_udf(f"array<{LINE}>")
+@F.pandas_udf(ArrayType(LINE))
 def clip_line(line: pd.Series, box: pd.DataFrame) -> pd.Series:
     edges = box[["min_lng", "min_lat", "max_lng", "max_lat"]].to_numpy()
     return pd.Series([None if x is None else [_line(p) for p in clip(_points(x), tuple(b))] for x, b in zip(line, edges, strict=True)])
 
 
-@F.pandas_udf(f"array<{LINE}>")
+@F.pandas_udf(ArrayType(LINE))
 def assemble_rings(segments: pd.Series) -> pd.Series:
     return segments.map(lambda s: None if s is None else [_line(r) for r in rings_of([_points(x) for x in s if x is not None])])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities as the characters they stand for."""
     return text.map(lambda t: None if t is None else html.unescape(t))

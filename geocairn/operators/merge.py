@@ -83,3 +83,9 @@ def number_fragments(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def count_minutes(rows: DataFrame, ts: str, value: str, minutes: int = 1) -> DataFrame:
     """Tumbling windows: start and the sum of value."""
     return rows.groupBy(F.window(ts, f"{minutes} minutes").alias("w")).agg(F.sum(value).alias("total")).select(F.col("w.start").alias("start"), "total")
+
+
+def representatives(rows: DataFrame, keys: list[str], id_column: str) -> DataFrame:
+    """rows with representative, the least id of those with equal keys; folded before the shuffle, so a large group is no large task."""
+    least = rows.groupBy(*keys).agg(F.min(id_column).alias("representative"))
+    return rows.join(least, keys)

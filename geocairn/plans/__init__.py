@@ -1,5 +1,8 @@
 """Registered queries by name, and the SQL each is checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import relational, spatial, texts  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
+
 FLAGSHIP = "distance_semi_join"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
