@@ -1,4 +1,4 @@
-"""Sequential geometry and text kernels as pandas UDFs: what built-in expressions can't say in linear time.
+"""Sequential geometry and text kernels as Arrow and pandas UDFs: what built-in expressions can't say in linear time.
 
 Null in gives null out. Each works on one value at a time within Arrow batches and keeps no state.
 """
@@ -9,6 +9,7 @@ import html
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
@@ -152,9 +153,10 @@ def clip_line(line: pd.Series, box: pd.DataFrame) -> pd.Series:
     return pd.Series([None if x is None else [_line(p) for p in clip(_points(x), tuple(b))] for x, b in zip(line, edges, strict=True)])
 
 
-@F.pandas_udf(ArrayType(LINE))
-def assemble_rings(segments: pd.Series) -> pd.Series:
-    return segments.map(lambda s: None if s is None else [_line(r) for r in rings_of([_points(x) for x in s if x is not None])])
+@F.arrow_udf(ArrayType(LINE))
+def assemble_rings(segments: pa.Array) -> pa.Array:
+    rings = [None if s is None else [_line(r) for r in rings_of([_points(x) for x in s if x is not None])] for s in segments.to_pylist()]
+    return pa.array(rings, pa.list_(pa.list_(pa.struct([("lng", pa.float64()), ("lat", pa.float64())]))))
 
 
 @F.pandas_udf(StringType())

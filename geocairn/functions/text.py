@@ -40,7 +40,7 @@ def distance_km(token: Column) -> Column:
 
 
 def distance_tokens(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, LIST_MARK), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, LIST_MARK), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def distances_km(text: Column) -> Column:
@@ -166,8 +166,8 @@ RACE_TYPES = {
 def race_type(text: Column) -> Column:
     """The list's types by their usual names, each once; "trail" goes first where a type only contains it; null where none is left."""
     names = F.create_map(*[F.lit(x) for pair in RACE_TYPES.items() for x in pair])
-    parts = F.filter(F.transform(F.split(F.lower(text), "[,;/_]"), F.trim), lambda x: x != "")
-    usual = F.flatten(F.transform(parts, lambda p: F.transform(F.split(F.coalesce(F.try_element_at(names, p), p), "[,;/_]"), F.trim)))
+    parts = F.filter(F.transform(F.split(F.lower(text), "[,;/_]"), lambda x: F.trim(x)), lambda x: x != "")
+    usual = F.flatten(F.transform(parts, lambda p: F.transform(F.split(F.coalesce(F.try_element_at(names, p), p), "[,;/_]"), lambda x: F.trim(x))))
     usual = F.array_distinct(F.filter(usual, lambda x: x != ""))
     lead = ~F.array_contains(usual, "trail") & F.exists(usual, lambda x: F.contains(x, F.lit("trail")))
     out = F.when(lead, F.concat(F.array(F.lit("trail")), usual)).otherwise(usual)

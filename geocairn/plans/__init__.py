@@ -1,6 +1,6 @@
 """Registered queries by name, and the SQL each is checked against."""
 
-from . import relational, spatial, texts  # noqa: F401  they register their queries
+from . import relational, spatial, streams, texts  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "distance_semi_join"
