@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, fold, keep
 
 STATES, STEPS = 6, 4
-#: Words with a class of their own, and classes of the others: bounds of the tables that are sent to tasks.
+#: Words with a class of their own, at most, and classes of the others: bounds of the tables that are sent to tasks.
 HEAD, SUFFIX_CLASSES, SUFFIX = 57_344, 4096, 3
 #: Tokens of the stretches that expected counts are taken over; scores are taken over whole texts.
 STRETCH = 256
@@ -53,6 +53,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(task, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def head_level(words: DataFrame, head: int) -> int:
+    """The lowest level of counts (16 to a doubling) such that no more than `head` words are on it or above.
+
+    Only the number of words of each level goes to the driver, a thousand rows at most, so nothing there grows with the corpus."""
+    least, total = 1 << 20, 0
+    for r in sorted(words.groupBy("level").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["level"]):
+        total += r["k"]
+        if total > head:
+            break
+        least = r["level"]
+    return least
+
+
 def suffix_class(word: bytes) -> int:
     return zlib.crc32(word[-SUFFIX:]) % SUFFIX_CLASSES
 
@@ -198,13 +211,15 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sta
     rows = docs.select(F.col(doc_id).alias("doc_id"), (fold(F.col(doc_id)) == 1).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     counts = cut(word_counts(rows.where("not held_out")))
     n_train, n_kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(head).collect()
+    words = counts.where(F.octet_length("word") > 0).withColumn("level", F.floor(F.log2("n") * 16).cast("int"))
+    least = head_level(words, head)
+    frequent = words.where(F.col("level") >= least).select("word", "n").collect()  # head rows at most
+    frequent.sort(key=lambda r: (-r["n"], bytes(r["word"])))
     number = {END: 0} | {bytes(r["word"]): k for k, r in enumerate(frequent, 1)}
     ends = counts.where(F.octet_length("word") == 0).collect()
     known = np.array([ends[0]["n"] if ends else 0, *(r["n"] for r in frequent)], float)
     n_head = len(known)
-    last = (frequent[-1]["n"], frequent[-1]["word"]) if frequent else (0, b"")
-    rare = counts.where((F.octet_length("word") > 0) & ((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > F.lit(bytearray(last[1]))))))
+    rare = words.where(F.col("level") < least).select("word", "n")
     by_class = cut(rare.groupBy(_suffix_class("word").alias("class")).agg(F.sum("n").alias("class_n"), F.count("*").alias("class_kinds")))
     classes = by_class.collect()
     shares = np.concatenate([known, np.zeros(SUFFIX_CLASSES)]) + 0.5
