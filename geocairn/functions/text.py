@@ -97,10 +97,20 @@ WEEKDAYS = (
 )
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _english_month(text: Column) -> Column:
     """The first of MONTHS that occurs in the text, replaced once."""
-    swap = lambda m, e: F.regexp_replace(text, f"(?iu)^(.*?){m}", f"$1{e}")
-    return reduce(lambda chain, pair: chain.when(F.contains(F.lower(text), F.lit(pair[0])), swap(*pair)), MONTHS[1:], F.when(F.contains(F.lower(text), F.lit(MONTHS[0][0])), swap(*MONTHS[0]))).otherwise(text)
+
+    def swapped(low: Column) -> Column:
+        swap = lambda m, e: F.regexp_replace(text, f"(?iu)^(.*?){m}", f"$1{e}")
+        first = F.when(F.contains(low, F.lit(MONTHS[0][0])), swap(*MONTHS[0]))
+        return reduce(lambda chain, pair: chain.when(F.contains(low, F.lit(pair[0])), swap(*pair)), MONTHS[1:], first).otherwise(text)
+
+    return _let(F.lower(text), swapped)
 
 
 def iso_date(text: Column, as_of: Column) -> Column:
@@ -109,12 +119,16 @@ def iso_date(text: Column, as_of: Column) -> Column:
     t = F.trim(text)
     c = F.trim(F.regexp_replace(t, r"^\d{1,2}:\d{2}\s*[,\-–]?\s*", ""))
     c = F.regexp_replace(c, r"(?i)(\d+)(?::?(?:st|nd|rd|th|e|a))\b", "$1")
-    c = _english_month(c)
+    c = _let(c, _english_month)
     c = F.regexp_replace(c, r"(?i)kl\.?\s*\d{1,2}[:.]\d{2}", "")
     c = F.regexp_replace(c, rf"(?iU)\b(?:{'|'.join(WEEKDAYS)})\b", "")
     c = F.regexp_replace(c, r"(?i)\bden\s+", "")
     c = F.trim(F.regexp_replace(c, r"(\d)\.?\s+(?=[a-zA-Z])", "$1 "))
     c = F.trim(F.regexp_replace(c, r"^\s*,|,\s*$", ""))
+    return F.when(t == "", None).when(t.rlike(r"^.{4}-.{2}-.{2}$"), t).when(t.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))).otherwise(_let(c, lambda x: _read_date(x, as_of)))
+
+
+def _read_date(c: Column, as_of: Column) -> Column:
     dotted = lambda k: F.regexp_extract(c, r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", k)
     part = lambda p, k: F.regexp_extract(c, p, k)
     named = rf"(?i)({'|'.join(e[:3] for _, e in MONTHS[:12])})[a-z]*"
@@ -126,13 +140,7 @@ def iso_date(text: Column, as_of: Column) -> Column:
     next_year = F.try_to_date(F.concat_ws(" ", day, month, (F.year(as_of) + 1).cast("string")), "d MMM yyyy")
     slashed = F.try_to_date(part(r"(\d{1,2}/\d{1,2}/\d{4})", 1), "M/d/yyyy")
     found = F.coalesce(F.when(year != "", whole), F.when(year == "", F.when(this_year >= as_of, this_year).otherwise(next_year)), slashed, F.try_to_date(part(r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"))
-    return (
-        F.when(t == "", None)
-        .when(t.rlike(r"^.{4}-.{2}-.{2}$"), t)
-        .when(t.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2)))
-        .when(dotted(3) != "", F.concat_ws("-", dotted(3), F.lpad(dotted(2), 2, "0"), F.lpad(dotted(1), 2, "0")))
-        .otherwise(F.date_format(found, "yyyy-MM-dd"))
-    )
+    return F.when(dotted(3) != "", F.concat_ws("-", dotted(3), F.lpad(dotted(2), 2, "0"), F.lpad(dotted(1), 2, "0"))).otherwise(F.date_format(found, "yyyy-MM-dd"))
 
 
 def range_start(text: Column, as_of: Column) -> Column:
