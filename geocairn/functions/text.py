@@ -199,8 +199,12 @@ def infer_race_type(*texts: Column) -> Column:
 
 #: Names and three-letter codes of countries; two-letter codes stand for themselves.
 COUNTRIES = {
-    "SWE": "SE", "NOR": "NO", "DNK": "DK", "FIN": "FI", "ISL": "IS", "DEU": "DE", "GER": "DE", "FRA": "FR", "ESP": "ES", "ITA": "IT", "PRT": "PT", "GBR": "GB", "IRL": "IE",
-    "NLD": "NL", "BEL": "BE", "CHE": "CH", "AUT": "AT", "POL": "PL", "CZE": "CZ", "USA": "US", "CAN": "CA", "JPN": "JP", "SWEDEN": "SE", "SVERIGE": "SE", "SUÈDE": "SE",
+    "AND": "AD", "ALB": "AL", "AUT": "AT", "BEL": "BE", "BGR": "BG", "BIH": "BA", "BLR": "BY", "CHE": "CH", "CYP": "CY", "CZE": "CZ", "DEU": "DE", "DNK": "DK", "ESP": "ES",
+    "EST": "EE", "FIN": "FI", "FRA": "FR", "GBR": "GB", "GRC": "GR", "HRV": "HR", "HUN": "HU", "IRL": "IE", "ISL": "IS", "ITA": "IT", "KOS": "XK", "LIE": "LI", "LTU": "LT",
+    "LUX": "LU", "LVA": "LV", "MDA": "MD", "MKD": "MK", "MLT": "MT", "MNE": "ME", "NLD": "NL", "NOR": "NO", "POL": "PL", "PRT": "PT", "ROU": "RO", "RUS": "RU", "SRB": "RS",
+    "SVK": "SK", "SVN": "SI", "SWE": "SE", "TUR": "TR", "UKR": "UA", "AUS": "AU", "BRA": "BR", "CAN": "CA", "CHN": "CN", "HKG": "HK", "IDN": "ID", "IND": "IN", "JPN": "JP",
+    "KOR": "KR", "MEX": "MX", "MYS": "MY", "NZL": "NZ", "PHL": "PH", "SGP": "SG", "THA": "TH", "USA": "US", "ZAF": "ZA",
+    "SWEDEN": "SE", "SVERIGE": "SE", "SUÈDE": "SE",
     "SCHWEDEN": "SE", "NORWAY": "NO", "NORGE": "NO", "NORVÈGE": "NO", "DENMARK": "DK", "DANMARK": "DK", "DANEMARK": "DK", "FINLAND": "FI", "FINLANDE": "FI", "ICELAND": "IS",
     "GERMANY": "DE", "DEUTSCHLAND": "DE", "ALLEMAGNE": "DE", "TYSKLAND": "DE", "FRANCE": "FR", "FRANKRIKE": "FR", "SPAIN": "ES", "ESPAGNE": "ES", "SPANIEN": "ES",
     "ITALY": "IT", "ITALIE": "IT", "ITALIEN": "IT", "PORTUGAL": "PT", "UNITED KINGDOM": "GB", "ROYAUME-UNI": "GB", "IRELAND": "IE", "NETHERLANDS": "NL", "BELGIUM": "BE",
