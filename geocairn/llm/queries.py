@@ -76,4 +76,29 @@ ORACLES: dict[str, str] = {
         o as (select d.doc_id, text, ls, coalesce(removed, []) as removed from d left join g on d.doc_id = g.doc_id),
         t as (select *, case when len(removed) = 0 then text else array_to_string(list_filter(ls, lambda x, i: not list_contains(removed, i - 1)), chr(10)) end as kept from o)
         select doc_id, case when text is null then 0 else len(ls) end as n_lines, len(removed) as n_removed, removed::integer[] as removed, length(kept) as n_chars, md5(kept) as text_md5 from t""",
+    "op1_embedding_dedup": r"""with recursive
+        s as (select vec_id, embedding::double[] as v, embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as sound from embeddings),
+        e as materialized (select a.vec_id as a, b.vec_id as b from s a join s b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.sound and b.sound and list_cosine_similarity(a.v, b.v) >= 0.9::double),
+        r(id, c) as (select a, b from e union select r.id, e.b from r join e on r.c = e.a),
+        g as (select id, min(c) as c from r group by id), n as (select a as id, count(*) as n from e group by a)
+        select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(c, vec_id)) as component_id, c is null or c >= vec_id as kept from s left join g on g.id = vec_id left join n on n.id = vec_id""",
+    "op6_jaccard_join": r"""with recursive
+        d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        g as materialized (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+        n as materialized (select doc_id, count(*) as n from g group by doc_id),
+        o as (select a.doc_id as a, b.doc_id as b, count(*) as k from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+        e as materialized (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where k * 5 >= (x.n + y.n - k) * 4),
+        r(id, c) as (select a, b from e union select r.id, e.b from r join e on r.c = e.a),
+        m as (select id, min(c) as c from r group by id), l as (select a as id, count(*) as l from e group by a)
+        select d.doc_id, coalesce(l, 0) as n_links, least(d.doc_id, coalesce(c, d.doc_id)) as class_id, c is null or c >= d.doc_id as kept, coalesce(n.n, 0) as n_shingles
+        from d left join n using (doc_id) left join m on m.id = d.doc_id left join l on l.id = d.doc_id""",
+    "op7_mix_sources": r"""with d as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, case when source is null then '1' else '0' || source end as k, md5(coalesce(doc_id::varchar, '')) as md from documents),
+        t as (select k, sum(size)::bigint as source_size from d group by k),
+        w as (select *, ([5, 2, 1])[(row_number() over (order by k) - 1) % 3 + 1]::double as w, source_size * 2::double as cap from t),
+        s as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)) as share from w window b as (order by cap / w, k rows between unbounded preceding and 1 preceding)),
+        g as (select k, source_size, least(cap, max(share) over () * w) as target, ('0x' || substr(md5('7:' || k), 1, 8))::bigint / 4294967296::double as start from s),
+        p as (select d.*, source_size, target, start, case when source_size > 0 then target / source_size else 0 end as rate,
+            row_number() over (partition by k order by case when size < 16 then size else length(bin(size)) * 8 + ((size >> (length(bin(size)) - 4)::bigint) & 7) end, md, doc_id) as place from d join g using (k)),
+        c as (select *, (floor(rate * place + start) - floor(rate * (place - 1) + start))::bigint as copies from p)
+        select doc_id, size::bigint as size, source_size, target, copies * size as taken, copies from c""",
 }
