@@ -95,3 +95,42 @@ def slots(rows: DataFrame, tie: str) -> DataFrame:
     """rows with slot, "<organizer>-<i>" in order of distance (none last), name without case and tie."""
     i = F.row_number().over(Window.partitionBy("organizer").orderBy(F.asc_nulls_last("km"), F.lower("name"), tie)) - 1
     return rows.withColumn("slot", F.concat_ws("-", F.col("organizer").cast("string"), i.cast("string")))
+
+
+def assign_distances(routes: DataFrame, verbose: DataFrame) -> DataFrame:
+    """organizer, route_id and distances: each listed distance of verbose (organizer, distances as text) goes to the organizer's nearest route
+    (organizer, route_id, km) within 25 %, else to the nearest of all; of equally near ones the least route_id. Those within 25 % come first,
+    each in the list's order. Both sides of an organizer are a page's routes and its list, so a join by organizer stays small.
+    """
+    parts = verbose.select("organizer", F.posexplode(F.transform(text.distance_tokens(F.col("distances")), text.distance_km)).alias("pos", "listed")).where("listed is not null")
+    off = F.abs(F.col("km") - F.col("listed"))
+    far = ~F.coalesce(text.within_share(F.col("listed"), F.col("km"), 0.25), F.lit(False))
+    # the nearest route is within 25 % if any is
+    best = parts.join(routes.where("km is not null"), "organizer").groupBy("organizer", "pos", "listed").agg(F.min(F.struct(off.alias("off"), "route_id", far.alias("far"))).alias("b"))
+    given = F.array_sort(F.collect_list(F.struct(F.col("b.far").alias("far"), "pos", text.format_km(F.col("listed")).alias("label"))))
+    lists = best.groupBy("organizer", F.col("b.route_id").alias("route_id")).agg(F.transform(given, lambda g: g["label"]).alias("distances"))
+    return routes.select("organizer", "route_id").join(lists, ["organizer", "route_id"], "left").withColumn("distances", F.coalesce("distances", F.array().cast("array<string>")))
+
+
+def unclaimed_distances(listed: Column, claimed: Column) -> Column:
+    """The listed distances about the same as none of the claimed ones, sorted, of those about the same as each other the least."""
+    free = F.filter(F.array_sort(F.array_distinct(listed)), lambda x: ~F.exists(F.coalesce(claimed, F.array().cast("array<double>")), lambda c: text.roughly_equal(c, x)))
+    return F.aggregate(free, F.array().cast("array<double>"), lambda a, x: F.when(F.exists(a, lambda y: text.roughly_equal(y, x)), a).otherwise(F.array_append(a, x)))
+
+
+def absorb_points(features: DataFrame, fields: list[str]) -> DataFrame:
+    """features (organizer, id, is_line, km as an array, urls, and fields) with points merged into their organizer's lines.
+
+    A point with a distance about the same as one of a line's goes into the line with the nearest distance (least id of equals): the line
+    takes the point's fields where they aren't null (of several points the greatest id's) and all its urls. Points without a line, and
+    lines, stay. An equi-join on the step of the distance's logarithm, with its neighbours, so no organizer's pairs are all made.
+    """
+    step = lambda c: F.floor(F.log(c) / STEP).cast("int")
+    lines = features.where("is_line").select("organizer", F.col("id").alias("line_id"), F.explode("km").alias("lkm")).where("lkm > 0").withColumn("step", step("lkm"))
+    points = features.where("not is_line").select("organizer", "id", F.explode("km").alias("pkm")).where("pkm > 0").withColumn("step", F.explode(F.sequence(step("pkm") - 1, step("pkm") + 1)))
+    met = points.join(lines, ["organizer", "step"]).where(text.roughly_equal(F.col("lkm"), F.col("pkm")))
+    into = met.groupBy("id").agg(F.min_by("line_id", F.struct(F.abs(F.col("lkm") - F.col("pkm")), "line_id")).alias("line_id"))
+    taken = features.join(into, "id").groupBy("line_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"__{c}") for c in fields], F.flatten(F.collect_list("urls")).alias("__urls"))
+    rest = features.join(into.select("id"), "id", "left_anti").join(taken, F.col("id") == F.col("line_id"), "left")
+    urls = F.array_distinct(F.concat(F.coalesce("urls", F.array().cast("array<string>")), F.array_sort(F.coalesce("__urls", F.array().cast("array<string>")))))
+    return rest.withColumns({**{c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in fields}, "urls": urls}).select(*features.columns)
