@@ -44,7 +44,7 @@ def address_distances(t):
     "listed_distances",
     f"""with l as (select unnest([1, 2, 3, 4]) as pos, unnest([10, 21, 42, 200]) as listed),
         b as (select c_nationkey, pos, listed, arg_min(c_custkey, (abs({_KM} - listed), c_custkey)) as route_id, min(abs({_KM} - listed)) > 0.25::DOUBLE * listed as far from customer, l group by c_nationkey, pos, listed)
-    select c_nationkey as organizer, c_custkey as route_id, coalesce(string_agg(listed || ' km', ', ' order by far, pos), '') as distances from customer left join b on c_custkey = route_id group by 1, 2""",
+    select customer.c_nationkey as organizer, c_custkey as route_id, coalesce(string_agg(listed || ' km', ', ' order by far, pos), '') as distances from customer left join b on c_custkey = route_id group by 1, 2""",
 )
 def listed_distances(t):
     """A list of distances dealt to the routes of each organiser."""
