@@ -6,6 +6,7 @@ Null in gives null out. Each works on one value at a time within Arrow batches a
 from __future__ import annotations
 
 import html
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -163,3 +164,31 @@ def assemble_rings(segments: pa.Array) -> pa.Array:
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities as the characters they stand for."""
     return text.map(lambda t: None if t is None else html.unescape(t))
+
+
+def track(text: str) -> tuple[str | None, list[dict] | None]:
+    """Name and points of a track file: track and route points of any namespace whose degrees can be read. Nothing of texts that aren't
+    well-formed or hold a document type definition."""
+    if "<!DOCTYPE" in text.upper():
+        return None, None
+    try:
+        root = ElementTree.fromstring(text.strip())
+    except (ElementTree.ParseError, ValueError):
+        return None, None
+    name, points = None, []
+    for node in root.iter():
+        kind = node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
+        if kind == "name" and name is None:
+            name = "".join(node.itertext()).strip() or None
+        elif kind in ("trkpt", "rtept"):
+            try:
+                points.append((float(node.get("lon")), float(node.get("lat"))))
+            except (TypeError, ValueError):
+                continue
+    return name, _line(points)
+
+
+@F.pandas_udf(StructType([StructField("name", StringType()), StructField("line", LINE)]))
+def read_track(gpx: pd.Series) -> pd.DataFrame:
+    found = [(None, None) if t is None else track(t) for t in gpx]
+    return pd.DataFrame({"name": pd.Series([n for n, _ in found], dtype=object), "line": pd.Series([x for _, x in found], dtype=object)})

@@ -89,3 +89,9 @@ def representatives(rows: DataFrame, keys: list[str], id_column: str) -> DataFra
     """rows with representative, the least id of those with equal keys; folded before the shuffle, so a large group is no large task."""
     least = rows.groupBy(*keys).agg(F.min(id_column).alias("representative"))
     return rows.join(least, keys)
+
+
+def fill_from(existing: DataFrame, incoming: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One row per key of either side: each field from the incoming row, or the existing one's where the incoming has none."""
+    old = existing.select(*keys, *[F.col(c).alias(f"__{c}") for c in fields])
+    return incoming.select(*keys, *fields).join(old, keys, "full").select(*keys, *[F.coalesce(c, f"__{c}").alias(c) for c in fields])

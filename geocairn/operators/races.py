@@ -134,3 +134,32 @@ def absorb_points(features: DataFrame, fields: list[str]) -> DataFrame:
     rest = features.join(into.select("id"), "id", "left_anti").join(taken, F.col("id") == F.col("line_id"), "left")
     urls = F.array_distinct(F.concat(F.coalesce("urls", F.array().cast("array<string>")), F.array_sort(F.coalesce("__urls", F.array().cast("array<string>")))))
     return rest.withColumns({**{c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in fields}, "urls": urls}).select(*features.columns)
+
+
+def drop_near_repeats(routes: DataFrame, share: float = 0.10) -> DataFrame:
+    """routes (organizer, pos, name, km, ...) without those that come after a kept one of their organizer and name (without case) whose
+    distance is within the share of theirs; routes without a distance all stay. Only distances travel, not the routes."""
+    name = F.lower(F.trim(F.coalesce("name", F.lit(""))))
+    listed = routes.where("km > 0").groupBy("organizer", name.alias("__name")).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("km").cast("double").alias("km")))).alias("__all"))
+
+    def add(kept: Column, x: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: text.within_share(x["km"], k["km"], share)), kept).otherwise(F.array_append(kept, x))
+
+    start = F.array().cast(listed.schema["__all"].dataType)
+    kept = listed.select("organizer", F.explode(F.aggregate("__all", start, add)).alias("k")).select("organizer", F.col("k.pos").alias("pos"))
+    return routes.where("km > 0").join(kept, ["organizer", "pos"], "left_semi").select(*routes.columns).unionByName(routes.where("km is null or km <= 0"))
+
+
+def page_per_distance(pages: DataFrame) -> DataFrame:
+    """Of an organizer's pages (organizer, pos, km, content_only, ...) of one distance in whole kilometres one, pages made for it before those
+    that only mention it, then the first; pages without a distance all stay."""
+    whole = F.coalesce(F.bround("km").cast("int"), F.lit(0))
+    best = pages.where(whole != 0).groupBy("organizer", whole.alias("__km")).agg(F.min(F.struct("content_only", "pos")).alias("b")).select("organizer", F.col("b.pos").alias("pos"))
+    return pages.where(whole != 0).join(best, ["organizer", "pos"], "left_semi").select(*pages.columns).unionByName(pages.where(whole == 0))
+
+
+def route_label(kind: Column, sub_kind: Column, segment_kinds: Column) -> Column:
+    """What a planned route is for: on foot if any segment is a run, else by its kind and sub-kind."""
+    foot = F.coalesce(F.exists(segment_kinds, lambda s: F.lower(s) == "run"), F.lit(False))
+    bike = F.when(sub_kind == 1, "Road bike").when(sub_kind.isin(2, 4), "Mountain bike").when(sub_kind == 3, "Gravel bike").otherwise("Bike")
+    return F.when(foot, "Run/hike").when(kind == 1, bike).when(kind == 6, "Gravel bike").otherwise("Run/hike")

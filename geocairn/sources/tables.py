@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, kernels
 
 
 def scan(rows: DataFrame, sql: str, args: dict) -> DataFrame:
@@ -48,13 +48,17 @@ def resolve_pointers(rows: DataFrame, id_column: str = "id", stored: str = "stor
     return real.unionByName(met).dropDuplicates([id_column])
 
 
+#: Tracks of more points than this are simplified by so many degrees.
+DENSE_POINTS, DENSE_EPSILON = 2000, 0.0001
+
+
 def tracks(files: DataFrame, gpx: str = "value") -> DataFrame:
-    """files with name and line of a GPX text, by its track or route points in any namespace; line is null for fewer than two points."""
-    node = '//*[local-name()="trkpt" or local-name()="rtept"]'
-    lat, lng = (F.expr(f"xpath({gpx}, '{node}/@{a}')") for a in ("lat", "lon"))
-    points = F.zip_with(lng, lat, lambda x, y: geo.point(x.try_cast("double"), y.try_cast("double")))
-    safe = F.when(~F.coalesce(F.contains(F.upper(gpx), F.lit("<!DOCTYPE")), F.lit(True)), points)  # document type definitions aren't read
-    return files.withColumn("name", F.nullif(F.trim(F.expr(f"""xpath_string({gpx}, '//*[local-name()="name"]')""")), F.lit(""))).withColumn("line", geo.valid_track(safe))
+    """files with name and line of a GPX text, by its track or route points in any namespace; lines of very many points are simplified. line
+    is null for fewer than two points, and both are for a text that isn't well-formed."""
+    read = files.withColumn("__track", kernels.read_track(gpx))
+    line = geo.valid_track(F.col("__track.line"))
+    thinned = kernels.simplify_line(line, F.when(F.size(line) > DENSE_POINTS, F.lit(DENSE_EPSILON)).otherwise(F.lit(0.0)))
+    return read.withColumns({"name": F.col("__track.name"), "line": thinned}).drop("__track")
 
 
 def overpass_elements(files: DataFrame, value: str = "value") -> DataFrame:
@@ -78,3 +82,16 @@ def geojson_features(rows: DataFrame, id_column: str, kind: str, rings: str, pro
 def replace_slice(rows: DataFrame, folder: str, partition: str) -> None:
     """Overwrites only the partitions that rows hold, in one commit."""
     rows.write.mode("overwrite").partitionBy(partition).option("partitionOverwriteMode", "dynamic").parquet(folder)
+
+
+def uploads(files: DataFrame, content: str = "content") -> DataFrame:
+    """files with gpx, the uploaded text: what was sent in base64 (white space in it allowed) decoded, anything else as it is."""
+    packed = F.regexp_replace(content, r"\s", "")
+    decoded = F.when(packed.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$") & (packed != ""), F.try_to_binary(packed, F.lit("base64")))
+    return files.withColumn("gpx", F.coalesce(F.try_validate_utf8(decoded.cast("string")), F.col(content)))
+
+
+def entries(files: DataFrame, field: str, schema: str, value: str = "value") -> DataFrame:
+    """One row per element of the list `field` of JSON texts, its fields as columns by the schema; texts without the list give none."""
+    found = F.from_json(value, f"{field} array<struct<{schema}>>")[field]
+    return files.select(F.explode(found).alias("__e")).select("__e.*")
