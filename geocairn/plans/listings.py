@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, pages
-from ..operators import jobs, races, tiles, vector_tiles
+from ..operators import jobs, merge, races, tiles, vector_tiles
 from .registry import lat_sql, lng_sql, place, query, tile_x_sql, tile_y_sql
 from .tile_layers import _ways
 
@@ -107,3 +107,40 @@ def point_tiles(t):
 @query("line_tiles")
 def line_tiles(t):
     return vector_tiles.encode_tiles(tiles.tile_layer(_ways(t), 9), "ways", 9, ["highway"])
+
+
+@query(
+    "near_repeats",
+    """with recursive r as (select l_orderkey as organizer, l_linenumber as pos, l_returnflag as name, l_quantity::double as km from (select distinct on (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_returnflag, l_quantity from lineitem order by l_orderkey, l_linenumber, l_returnflag, l_quantity)),
+        o as (select *, row_number() over (partition by organizer, name order by pos) as i from r),
+        f as (select organizer, name, i, pos, [km] as kept, true as stays from o where i = 1 union all
+            select o.organizer, o.name, o.i, o.pos, case when len(list_filter(kept, lambda k: abs(o.km - k) <= 0.1::double * o.km)) > 0 then kept else kept || [o.km] end, len(list_filter(kept, lambda k: abs(o.km - k) <= 0.1::double * o.km)) = 0
+            from f join o on o.organizer = f.organizer and o.name = f.name and o.i = f.i + 1)
+    select organizer, pos from f where stays""",
+)
+def near_repeats(t):
+    """Lines of an order with the same flag and about the same quantity, the first of each kept."""
+    x = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_returnflag", "l_quantity")).alias("v"))
+    rows = x.select(F.col("l_orderkey").alias("organizer"), F.col("l_linenumber").alias("pos"), F.col("v.l_returnflag").alias("name"), F.col("v.l_quantity").cast("double").alias("km"))
+    return races.drop_near_repeats(rows).select("organizer", "pos")
+
+
+@query("pages_per_distance", f"""select c_nationkey as organizer, c_custkey as pos from customer qualify row_number() over (partition by c_nationkey, round_even({_KM}, 0) order by c_custkey % 3 = 0, c_custkey) = 1""")
+def pages_per_distance(t):
+    rows = t("customer").select(F.col("c_nationkey").alias("organizer"), F.col("c_custkey").alias("pos"), _km("c_custkey", 37).alias("km"), (F.col("c_custkey") % 3 == 0).alias("content_only"))
+    return races.page_per_distance(rows).select("organizer", "pos")
+
+
+@query("filled_rows", "select o_orderkey as id, case when o_orderkey % 3 = 0 then o_totalprice + 1 when o_orderkey % 2 = 0 then o_totalprice end as price from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0")
+def filled_rows(t):
+    """Stored rows under new ones, some of which have no price."""
+    o = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    new = o.where("id % 3 = 0 or id % 5 = 0 and id % 2 = 0").withColumn("price", F.when(F.col("id") % 3 == 0, F.col("price") + 1))
+    return merge.fill_from(o.where("id % 2 = 0"), new, ["id"], ["price"])
+
+
+@query("route_labels", """select p_partkey, case when p_size % 10 = 0 then 'Run/hike' when p_size % 7 = 6 then 'Gravel bike' when p_size % 7 <> 1 then 'Run/hike' when p_size % 5 = 1 then 'Road bike' when p_size % 5 in (2, 4) then 'Mountain bike'
+    when p_size % 5 = 3 then 'Gravel bike' else 'Bike' end as label from part""")
+def route_labels(t):
+    segments = F.array(F.lit("Ride"), F.when(F.col("p_size") % 10 == 0, "RUN"))
+    return t("part").select("p_partkey", races.route_label(F.col("p_size") % 7, F.col("p_size") % 5, segments).alias("label"))
