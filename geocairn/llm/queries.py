@@ -77,8 +77,8 @@ ORACLES: dict[str, str] = {
         t as (select *, case when len(removed) = 0 then text else array_to_string(list_filter(ls, lambda x, i: not list_contains(removed, i - 1)), chr(10)) end as kept from o)
         select doc_id, case when text is null then 0 else len(ls) end as n_lines, len(removed) as n_removed, removed::integer[] as removed, length(kept) as n_chars, md5(kept) as text_md5 from t""",
     "op1_embedding_dedup": r"""with recursive
-        s as (select vec_id, embedding::double[] as v, embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as sound from embeddings),
-        e as materialized (select a.vec_id as a, b.vec_id as b from s a join s b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.sound and b.sound and list_cosine_similarity(a.v, b.v) >= 0.9::double),
+        s as materialized (select vec_id, case when len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 then embedding::double[] end as v from embeddings),
+        e as materialized (select a.vec_id as a, b.vec_id as b from s a join s b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.9::double),
         r(id, c) as (select a, b from e union select r.id, e.b from r join e on r.c = e.a),
         g as (select id, min(c) as c from r group by id), n as (select a as id, count(*) as n from e group by a)
         select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(c, vec_id)) as component_id, c is null or c >= vec_id as kept from s left join g on g.id = vec_id left join n on n.id = vec_id""",
