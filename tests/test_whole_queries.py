@@ -2,6 +2,7 @@
 
 import math
 from datetime import datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 
 from geocairn.plans import QUERIES
 
@@ -26,3 +27,17 @@ def test_paths_by_thirds_takes_every_customer(spark, tmp_path):
     got = [tuple(r) for r in QUERIES["paths_by_thirds"](spark, str(tmp_path)).select("route_id", "path_id").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {p for _, p in want if p % 10 >= 3} and len(want) < 4 * 22
+
+
+def test_address_distances_takes_every_mile(spark, tmp_path):
+    spark.createDataFrame([(k, k) for k in range(1, 51)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+
+    def want(n):
+        if n % 4 > 1:
+            return "21 km" if n % 4 == 2 else "backyard"
+        km = str(n) if n % 4 == 0 else str((n * Decimal("1.60934")).quantize(Decimal("0.1"), ROUND_HALF_UP)).removesuffix(".0")
+        return f"{km} km"
+
+    got = dict(QUERIES["address_distances"](spark, str(tmp_path)).select("p_partkey", "distance").collect())
+    assert got == {n: want(n) for n in range(1, 51)}
+    assert got[5] == "8 km" and got[13] == "20.9 km"
