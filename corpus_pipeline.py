@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines out of the texts, n_chars brought up to date; a document of which nothing is left goes."""
-    out = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | (common.n_words(F.col("text")) > 0))
+    out = lines.dedup_lines(docs, min_words=1).where((F.col("n_removed") == 0) | (common.n_words(F.col("text")) > 0))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*common.quoted(docs.columns))
 
 

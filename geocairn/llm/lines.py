@@ -14,7 +14,7 @@ from .common import cut, n_words, quoted
 
 #: Sites on which a line must stand.
 MIN_SITES = 6
-#: Shorter lines are too common in ordinary prose to say anything.
+#: The default; the query and the pipeline take every line that isn't blank (1 word).
 MIN_WORDS = 5
 LG_K = 12
 #: Sketches of so few sites err by less than this share of the bound, or by one.

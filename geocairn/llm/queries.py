@@ -23,7 +23,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(common.table(spark, sf_dir, "documents"))
+    out = lines.dedup_lines(common.table(spark, sf_dir, "documents"), min_words=1)
     return out.select("doc_id", "n_lines", "n_removed", "removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
