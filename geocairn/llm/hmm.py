@@ -1,12 +1,14 @@
 """Hidden Markov language model: Baum-Welch counts from all partitions, exact scores by scaled forward recursion.
 
 A latent state emits a word class, the class a word. The most frequent words are classes of their own; the others share classes by
-their last bytes, within which a word's probability follows its count. That bounds the tables of the states while every word of the
-corpus keeps its count: log P(text) = log P(its classes) under the states, by the forward recursion over the whole text, plus the sum of
-log P(word | class) over its words.
+their last bytes, within which a word has its own probability in every state: its count's share of the class, times a ratio by state from
+the word's expected counts (1 for a word that wasn't trained on). The classes bound the tables that are sent to tasks; the ratios of the
+rarer words are a table (word, ratio by state) that is joined to the texts' words. log P(text) is that of the forward recursion over the
+whole text, with the ratios in its emissions, plus the sum of log P(word | class) over its words.
 
 Counts of words are gathered from all training texts by aggregation, and looked up for the rarer words of a text by a join. A step of
-Baum-Welch runs over all training texts in their partitions; of each task only the expected counts go on to be summed.
+Baum-Welch runs over all training texts in their partitions; of each task only the expected counts go on to be summed, those of the
+rarer words by word.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ HEAD, SUFFIX_CLASSES, SUFFIX = 57_344, 4096, 3
 STRETCH = 256
 #: Weight of the plain class shares in each state's emissions, in tokens.
 PRIOR = 500.0
+#: Weight in a rarer word's ratios of equal ones in all states, beside the shares of its counts.
+EVEN = 0.01
 SEED = 5
 END = b""
 
@@ -87,6 +92,13 @@ def time_major(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
     return items, width, starts, order
 
 
+def tail_numbers(sequences: list[np.ndarray], head: int) -> np.ndarray:
+    """By position as in time_major: the item's number among those from class `head` on, in the order of the sequences, else -1."""
+    flat = np.concatenate(sequences) >= head
+    numbers = np.where(flat, np.cumsum(flat) - 1, -1)
+    return time_major(np.split(numbers, np.cumsum([len(s) for s in sequences])[:-1]))[0]
+
+
 class Model:
     """start (K), move (K, K) and emit (K, classes)."""
 
@@ -102,13 +114,18 @@ class Model:
         emit = shares * noise
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
 
-    def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each whole sequence of classes, by the scaled forward recursion."""
+    def log10(self, sequences: list[np.ndarray], ratios: np.ndarray | None = None, head: int = 0) -> np.ndarray:
+        """log10 probability of each whole sequence of classes, by the scaled forward recursion. ratios (items, K): factors of the emissions
+        of the items from class `head` on, in the order of the sequences."""
         items, width, starts, order = time_major(sequences)
+        own = None if ratios is None else tail_numbers(sequences, head)
         total = np.zeros(len(sequences))
         a, move = self.start[:, None], self.move.T.copy()
         for t, n in enumerate(width):
             e = self.emit[:, items[starts[t] : starts[t + 1]]]
+            if own is not None:
+                k = own[starts[t] : starts[t + 1]]
+                e[:, k >= 0] *= ratios[k[k >= 0]].T
             a = (move @ a[:, :n] if t else a) * e
             scale = a.sum(axis=0)
             a /= scale
@@ -117,13 +134,20 @@ class Model:
         out[order] = total
         return out
 
-    def expected(self, sequences: list[np.ndarray], opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts (of the sequences that open a text), moves and emissions; others start from the moves' own shares."""
+    def expected(self, sequences: list[np.ndarray], opens: np.ndarray, ratios: np.ndarray | None = None, head: int | None = None) -> tuple[np.ndarray, ...]:
+        """Expected counts of starts (of the sequences that open a text), moves and emissions; others start from the moves' own shares.
+        With head, also those of each item from class `head` on (items, K), in the order of the sequences; ratios as in log10."""
         rest = np.full(len(self.start), 1 / len(self.start))
         for _ in range(100):
             rest = rest @ self.move
         items, width, starts, order = time_major(sequences)
         alpha = self.emit[:, items]
+        if head is not None:
+            own = tail_numbers(sequences, head)
+            tail = own >= 0
+            if ratios is not None:
+                alpha[:, tail] *= ratios[own[tail]].T
+        emit = alpha.copy()
         scale = np.empty(len(items))
         a = np.where(opens[order][None, :], self.start[:, None], rest[:, None])
         move = self.move.T.copy()
@@ -138,7 +162,7 @@ class Model:
         for t in range(len(width) - 1, 0, -1):
             here = slice(starts[t], starts[t + 1])
             n = width[t]
-            ahead = self.emit[:, items[here]] * beta / scale[here]
+            ahead = emit[:, here] * beta / scale[here]
             moves += alpha[:, starts[t - 1] : starts[t - 1] + n] @ ahead.T
             alpha[:, here] *= beta
             before = np.ones((len(self.start), width[t - 1]))
@@ -146,7 +170,12 @@ class Model:
             beta = before
         alpha[:, : width[0]] *= beta
         emissions = np.stack([np.bincount(items, g, self.emit.shape[1]) for g in alpha])
-        return alpha[:, : width[0]][:, opens[order]].sum(axis=1), moves * self.move, emissions
+        out = alpha[:, : width[0]][:, opens[order]].sum(axis=1), moves * self.move, emissions
+        if head is None:
+            return out
+        by_item = np.empty((int(tail.sum()), len(self.start)))
+        by_item[own[tail]] = alpha[:, tail].T
+        return *out, by_item
 
 
 def _batches(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iterator[tuple[list[np.ndarray], list[pa.RecordBatch]]]:
@@ -166,30 +195,98 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Ite
         yield sequences, rows
 
 
-def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, steps: int = STEPS) -> Model:
-    """The model after so many steps over `classes` (binary, 16-bit) of all rows of encoded."""
+def _ratios_of(rows: list[pa.RecordBatch], column: int, n: int, states: int) -> np.ndarray:
+    """(n, K) ratios of the rows' tail words in order, 1 where a word has none. column: tail's; the next one is a list of (pos, ratio)."""
+    out, at = np.ones((n, states)), 0
+    for batch in rows:
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        begins = at + np.cumsum(sizes) - sizes
+        found = batch.column(column + 1)
+        each = found.flatten()
+        if len(each):
+            counts = pa.compute.fill_null(pa.compute.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+            values = np.frombuffer(b"".join(each.field("ratio").to_pylist()), "<f4").reshape(-1, states)
+            out[np.repeat(begins, counts) + each.field("pos").to_numpy(zero_copy_only=False)] = values
+        at += int(sizes.sum())
+    return out
+
+
+def first_ratios(words: DataFrame, states: int = STATES, seed: int = SEED) -> DataFrame:
+    """word and random ratios by state, from the word alone, as Model.first has random weights for the more frequent words."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.array([(zlib.crc32(w) << 32) | zlib.crc32(w, seed + 1) for w in batch.column(0).to_pylist()], np.uint64)[:, None]
+            u = []
+            for k in (0, 1):
+                x = h + np.uint64(0x9E3779B97F4A7C15) * np.arange(1 + k * states, 1 + k * states + states, dtype=np.uint64)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u.append(((x >> np.uint64(11)).astype(float) + 1) / 2.0**53)
+            r = np.exp(np.sqrt(-2 * np.log(u[0])) * np.cos(2 * np.pi * u[1])).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in r], pa.binary())], names=["word", "ratio"])
+
+    return words.select("word").mapInArrow(task, "word binary, ratio binary")
+
+
+def with_ratios(encoded: DataFrame, ratios: DataFrame | None) -> DataFrame:
+    """encoded with `found`: (pos, ratio) of those of its tail's words that are in ratios (word, ratio)."""
+    kind = "array<struct<pos:int,ratio:binary>>"
+    if ratios is None:
+        return encoded.withColumn("found", F.lit(None).cast(kind))
+    words = encoded.select("row", F.posexplode("tail").alias("pos", "word")).join(ratios, "word")
+    return encoded.join(words.groupBy("row").agg(F.collect_list(F.struct("pos", "ratio")).alias("found")), "row", "left")
+
+
+def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, steps: int = STEPS, n_head: int | None = None, ratios: DataFrame | None = None) -> tuple[Model, DataFrame | None]:
+    """The model after so many steps over `classes` (binary, 16-bit) and `tail` (the words of class n_head and on) of all rows of encoded,
+    and the ratios by state (binary, 32-bit floats) of each of those words, which start from the given ones."""
     model = Model.first(shares, states)
-    rows = encoded.select("classes")
+    head = len(shares) if n_head is None else n_head
+    names = [f"v{k}" for k in range(states)]
+    fields = ", ".join(f"{v} double" for v in names)
     for _ in range(steps):
 
         def task(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             start, move, emit = np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)
-            for sequences, _ in _batches(batches, 0, 400_000):
+            for sequences, rows in _batches(batches, 0, 400_000):
                 parts = [s[a : a + STRETCH] for s in sequences for a in range(0, len(s), STRETCH)]
                 opens = np.array([a == 0 for s in sequences for a in range(0, len(s), STRETCH)])
-                for total, more in zip((start, move, emit), model.expected(parts, opens), strict=True):
+                n = sum(int((s >= head).sum()) for s in sequences)
+                *sums, by_item = model.expected(parts, opens, _ratios_of(rows, 1, n, len(start)), head)
+                for total, more in zip((start, move, emit), sums, strict=True):
                     total += more
+                if n:
+                    words = pa.chunked_array([b.column(1).flatten() for b in rows], pa.binary()).combine_chunks().dictionary_encode()
+                    at = words.indices.to_numpy()
+                    classes = np.zeros(len(words.dictionary), np.int64)
+                    flat = np.concatenate(sequences)
+                    classes[at] = flat[flat >= head]
+                    yield pa.RecordBatch.from_arrays([pa.array(classes), words.dictionary, *(pa.array(np.bincount(at, g, len(classes))) for g in by_item.T)], names=["slot", "word", *names])
             used = np.flatnonzero(emit.any(axis=0))
             # rows of the emission table by class, of the moves at -1 - state, the starts at -1 - K
             slots = np.concatenate([used, -1 - np.arange(len(move)), [-1 - len(move)]])
             values = np.concatenate([emit[:, used].T, move, start[None]])
-            yield pa.RecordBatch.from_arrays([pa.array(slots), *(pa.array(v) for v in values.T)], names=["slot", *(f"v{k}" for k in range(len(start)))])
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.nulls(len(slots), pa.binary()), *(pa.array(v) for v in values.T)], names=["slot", "word", *names])
 
-        names = [f"v{k}" for k in range(states)]
-        sums = rows.mapInArrow(task, "slot long, " + ", ".join(f"{v} double" for v in names)).groupBy("slot").agg(*[F.sum(v).alias(v) for v in names]).toArrow()
+        rows = with_ratios(encoded, ratios).select("classes", "tail", "found")
+        counted = keep(rows.mapInArrow(task, f"slot long, word binary, {fields}").groupBy("slot", "word").agg(*[F.sum(v).alias(v) for v in names]))
+        sums = counted.where("word is null").drop("word").toArrow()
         slot, value = sums.column("slot").to_numpy(), np.stack([sums.column(v).to_numpy() for v in names], axis=1)
         emit = np.zeros_like(model.emit)
         emit[:, slot[slot >= 0]] = value[slot >= 0].T
+        in_class = emit[:, head:].T
+        held = in_class / np.maximum(in_class.sum(axis=1, keepdims=True), 1e-300)
+
+        def ratio(batches: Iterator[pa.RecordBatch], held: np.ndarray = held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of = held[batch.column(0).to_numpy() - head]
+                c = np.stack([v.to_numpy() for v in batch.columns[2:]], axis=1)
+                n = c.sum(axis=1, keepdims=True) + 0.5  # the expected counts of a word add up to its count
+                r = ((c + 0.5 * of + EVEN * n) / (n * (of + EVEN))).astype("<f4")
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in r], pa.binary())], names=["word", "ratio"])
+
+        ratios = counted.where("word is not null").select("slot", "word", *names).mapInArrow(ratio, "word binary, ratio binary")
         emit += PRIOR * shares
         move, start = np.full_like(model.move, 1e-3), np.full_like(model.start, 1e-3)
         for s, v in zip(slot[slot < 0], value[slot < 0], strict=True):
@@ -198,7 +295,7 @@ def baum_welch(encoded: DataFrame, shares: np.ndarray, states: int = STATES, ste
             else:
                 move[-1 - s] += v
         model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
-    return model
+    return model, ratios
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states: int = STATES, steps: int = STEPS, head: int = HEAD) -> DataFrame:
@@ -257,14 +354,16 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sta
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     encoded = keep(rows.mapInArrow(encode, f"doc_id {id_type}, held_out boolean, row long, n_tokens long, head_known long, head_base double, classes binary, tail array<binary>"))
-    model = baum_welch(encoded.where("not held_out"), shares, states, steps)
+    model, ratios = baum_welch(encoded.where("not held_out"), shares, states, steps, n_head, first_ratios(rare, states))
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sequences, parts in _batches(batches, 6, 2_000_000):
-            table = pa.Table.from_batches(parts).select(range(6)).append_column("of_classes", pa.array(model.log10(sequences)))
+        for sequences, parts in _batches(batches, 6, 500_000):
+            n = sum(int((s >= n_head).sum()) for s in sequences)
+            table = pa.Table.from_batches(parts).select(range(6)).append_column("of_classes", pa.array(model.log10(sequences, _ratios_of(parts, 7, n, states), n_head)))
             yield from table.to_batches()
 
-    scored = encoded.drop("tail").mapInArrow(forward, f"doc_id {id_type}, held_out boolean, row long, n_tokens long, head_known long, head_base double, of_classes double")
+    in_order = ("doc_id", "held_out", "row", "n_tokens", "head_known", "head_base", "classes", "tail", "found")
+    scored = with_ratios(encoded, ratios).select(*in_order).mapInArrow(forward, f"doc_id {id_type}, held_out boolean, row long, n_tokens long, head_known long, head_base double, of_classes double")
     # the rarer words: counts by a join on the word (none is frequent), then sums by row
     tail = encoded.select("row", F.explode("tail").alias("word")).join(rare.hint("shuffle_hash"), "word", "left").withColumn("class", _suffix_class("word"))
     tail = tail.join(F.broadcast(by_class), "class", "left")  # SUFFIX_CLASSES rows at most

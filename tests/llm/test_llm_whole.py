@@ -1,6 +1,7 @@
 """Queries and stages on rows that their SQL leaves out."""
 
 import corpus_pipeline
+from geocairn.llm import hmm
 from geocairn.llm.queries import QUERIES
 
 
@@ -13,3 +14,14 @@ def test_short_lines_on_many_sites_go(spark, tmp_path):
     assert got == {0: []} | {i: [1, 3] for i in range(1, 8)} | {20 + i: [] for i in range(10)}
     texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()}
     assert texts[0] == rows[0][1] and texts[7] == "own 7\n " and texts[25] == rows[13][1]
+
+
+def test_rarer_words_have_emissions_of_their_own(spark):
+    """Two kinds of texts whose words all share one class: only emissions by word tell the kinds apart."""
+    a, b = [f"a{k}same" for k in range(40)], [f"b{k}same" for k in range(40)]
+    pick = lambda words, i: " ".join(words[(i * 7 + j * j) % 40] for j in range(60))
+    rows = [(i, pick(a if i % 2 else b, i)) for i in range(400)]
+    got = hmm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), states=2, head=0).collect()
+    held = [r for r in got if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert held and gain > 0.2
