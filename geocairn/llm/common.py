@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared(df: DataFrame) -> str:
-    """A new place in spark.checkpoint.dir; only where that is unset (local tests) is a temporary folder taken for it."""
+    """A new place in spark.checkpoint.dir; only in a session of one machine, where that is unset, is a temporary folder taken for it."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp())
     return f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
 
 
@@ -33,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """df written as Parquet to the cluster's shared folder and read back, where later reads need only some of its columns."""
     folder = _shared(df)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -174,34 +174,56 @@ def test_forward_is_the_sum_over_all_paths():
     r = np.random.default_rng(0)
     model = hmm.Model(np.array([0.3, 0.7]), np.array([[0.9, 0.1], [0.2, 0.8]]), r.dirichlet(np.ones(5), 2))
     sequences = [r.integers(0, 5, n).astype(np.uint16) for n in (1, 7, 3, 7, 4)]
-
-    def plain(s):
-        a = model.start * model.emit[:, s[0]]
-        for x in s[1:]:
-            a = (a @ model.move) * model.emit[:, x]
+    ratios = r.uniform(0.2, 2, (6, 2))
+    own = [r.integers(0, 6, int((s >= 3).sum())) for s in sequences]
+
+    def plain(s, k):
+        e, k = model.emit[:, s].copy(), iter(k)
+        for t in np.flatnonzero(s >= 3):
+            e[:, t] *= ratios[next(k)]
+        a = model.start * e[:, 0]
+        for t in range(1, len(s)):
+            a = (a @ model.move) * e[:, t]
         return math.log10(a.sum())
 
-    assert np.allclose(model.log10(sequences), [plain(s) for s in sequences])
+    for piece in (1, 2, 3, 512):  # whatever the pieces, a text is scored as a whole
+        texts = hmm.Texts(np.concatenate(sequences), [len(s) for s in sequences], piece, 3, np.concatenate(own), ratios)
+        assert np.allclose(model.log10(texts), [plain(s, k) for s, k in zip(sequences, own, strict=True)])
 
 
-def test_expected_counts_are_those_of_all_paths():
+def test_expected_counts_are_those_of_all_paths(monkeypatch):
     import itertools
 
     r = np.random.default_rng(1)
     model = hmm.Model(np.array([0.4, 0.6]), np.array([[0.7, 0.3], [0.4, 0.6]]), r.dirichlet(np.ones(4), 2))
-    sequences = [r.integers(0, 4, n).astype(np.uint16) for n in (1, 5, 3)]
-    start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 4))
-    for s in sequences:
+    sequences = [r.integers(0, 4, n).astype(np.uint16) for n in (1, 5, 3, 8)]
+    own = [r.integers(0, 3, int((s >= 2).sum())) for s in sequences]
+    start, move, emit, words_ = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 4)), np.zeros((3, 2))
+    for s, k in zip(sequences, own, strict=True):
+        at = dict(zip(np.flatnonzero(s >= 2).tolist(), k.tolist(), strict=True))
         paths = list(itertools.product(range(2), repeat=len(s)))
         p = np.array([model.start[z[0]] * np.prod([model.emit[k, x] for k, x in zip(z, s)]) * np.prod([model.move[a, b] for a, b in zip(z, z[1:])]) for z in paths])
         for z, v in zip(paths, p / p.sum(), strict=True):
             start[z[0]] += v
-            for k, x in zip(z, s):
+            for t, (k, x) in enumerate(zip(z, s)):
                 emit[k, x] += v
+                if t in at:
+                    words_[at[t], k] += v
             for a, b in zip(z, z[1:]):
                 move[a, b] += v
-    for got, want in zip(model.expected(sequences, np.ones(3, bool)), (start, move, emit), strict=True):
-        assert np.allclose(got, want)
+    monkeypatch.setattr(hmm, "CHUNK", 4)
+    for piece in (1, 2, 3, 512):
+        texts = hmm.Texts(np.concatenate(sequences), [len(s) for s in sequences], piece, 2, np.concatenate(own))
+        for got, want in zip(model.expected(texts, 3), (start, move, emit, words_), strict=True):
+            assert np.allclose(got, want)
+
+
+def test_tokens_do_not_depend_on_slices(monkeypatch):
+    texts = [b"", b"  ", b"a B\nc  dd ", b"x" * 50, b"one two three four \x0bfive\n"]
+    whole = [[w for ws in hmm.tokens(t) for w in ws] for t in texts]
+    assert whole == [[*t.lower().split(), b""] for t in texts]
+    monkeypatch.setattr(hmm, "SLICE", 3)
+    assert [[w for ws in hmm.tokens(t) for w in ws] for t in texts] == whole
 
 
 @pytest.mark.parametrize("head", [57_344, 20])
@@ -219,8 +241,8 @@ def test_scores_and_counts(docs, corpus, head):
 
 def test_word_classes_agree(spark):
     ws = [b"a", b"ab", b"abc", "größe".encode(), b"longer-word"]
-    got = spark.createDataFrame([(bytearray(w),) for w in ws], "w binary").select(hmm._suffix_class("w")).collect()
-    assert [r[0] for r in got] == [hmm.suffix_class(w) for w in ws]
+    got = spark.createDataFrame([(bytearray(w),) for w in ws], "w binary").select(hmm._hash_class("w")).collect()
+    assert [r[0] for r in got] == [hmm.hash_class(w) for w in ws]
 
 
 # licences
