@@ -1,12 +1,16 @@
 """N-gram Jaccard join over a MinHash LSH forest, with exact verification.
 
-A document is its set of five-word shingles. Documents of equal sets form one class, of which only the first goes on. Each of a number
-of trees orders the classes by a signature of minhashes and pairs those that share a prefix; prefixes are shortened from the full
-depth, level by level, until a pair at the threshold shares one in some tree with the target probability.
-
-Classes that share prefixes, directly or through others, form candidate groups. A group is dealt into blocks and each pair of blocks is
-one unit of work: it intersects the shingle sets of all its pairs exactly and returns, for each class, the number of documents it links
-to and the local component it is in. So no pair is ever a row, and a group of any size is spread over tasks.
+A document is its set of five-word shingles. Documents of equal sets form one class, of which only the first goes on. Each tree of the
+forest is a prefix trie of signatures: sequences of minhashes, those with a common prefix standing together when sorted. Matched prefixes are
+shortened from the full depth until a pair at the threshold shares one in some tree with the target probability. From there on they are
+shortened only for documents that may have more links than were found, which verified links show that few trees caught, and only
+while that finds something.
+
+The sorted signatures of a trie node are walked once, with a bounded number of leaders: a document goes with a leader that is almost the
+same, else it becomes one, and is tied to each leader of which it may be near a follower. So a chain of weakly alike texts that meet
+by their prefixes doesn't become one group. Documents tied together, directly or through others, form candidate groups. A group is dealt
+into blocks, and each pair of blocks is one unit of work: it intersects the shingle sets of all its pairs exactly and returns, for each
+class, the number of documents it links to and the local component it is in. So no pair is ever a row, and a group of any size is spread over tasks.
 """
 
 from __future__ import annotations
@@ -24,9 +28,16 @@ from .words import BASE, mix, shingle_sets
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Trees, minhashes in a signature, and the probability that a pair at the threshold meets before evidence decides.
 TREES, DEPTH, RECALL = 48, 12, 0.999
-#: Classes in a block, and about in a unit of small groups.
-BLOCK = 1024
+#: Minhashes by which two signatures of a node are compared, and leaders that a node has at most; beyond these its rest is one group.
+MARKS, LEADERS = 256, 256
+#: Likeness of signatures at which a document goes with a leader.
+SAME = 0.97
+#: A link that no more trees than these caught shows that others may have been missed.
+FEW_TREES = 1
+#: Classes in a block, and about in a unit of small groups; bytes of text likewise.
+BLOCK, BLOCK_BYTES = 1024, 1 << 25
 #: Shingles in this many of a unit's sets and more are counted by matrix products, others by their lists.
 DENSE = 24
 SEED = 11
@@ -39,17 +50,25 @@ def shared_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recal
     return depth
 
 
+def tie_level(threshold: float, same: float = SAME, marks: int = MARKS) -> float:
+    """Share of equal minhashes at which a document is tied to a leader.
+
+    One within `threshold` of a follower is, by the triangle inequality of Jaccard distances, within threshold + (the follower's own
+    similarity) - 1 of its leader; both similarities may be five standard errors below what the signatures show."""
+    low = lambda s: s - 5 * (max(0.0, s * (1 - s)) / marks) ** 0.5
+    return low(max(0.0, threshold + low(same) - 1))
+
+
 class Signer:
-    """Hash of the minhash prefix of each tree."""
+    """The minhashes of all trees, one after the other, a byte each."""
 
     def __init__(self, trees: int, depth: int, seed: int = SEED):
         random = np.random.default_rng(seed)
-        self.shape = (trees, depth)
         self.flip = random.integers(0, 2**32, trees * depth, dtype=np.uint32)
         self.times = random.integers(0, 2**32, trees * depth, dtype=np.uint32) | np.uint32(1)
         self.room = np.empty((128, trees * depth), np.uint32)
 
-    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+    def __call__(self, shingles: np.ndarray) -> bytes:
         low = ((shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32))[:, None]
         least = np.full(len(self.flip), 2**32 - 1, np.uint32)
         with np.errstate(over="ignore"):
@@ -57,14 +76,11 @@ class Signer:
                 x = np.bitwise_xor(low[a : a + len(self.room)], self.flip, out=self.room[: len(low) - a])
                 x *= self.times
                 np.minimum(least, x.min(axis=0), out=least)
-            out = np.zeros(self.shape[0], np.uint64)
-            for column in least.reshape(self.shape).T:
-                out = mix(out * BASE + column)
-        return out.view(np.int64)
+            return (mix(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n (shingles), set_a and set_b (128 bits that name the set), prefixes (a hash per tree)."""
+    """doc_id, n (shingles), set_a and set_b (128 bits that name the set), signature (trees * depth bytes) and bytes of the text."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,17 +88,63 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
         signer = Signer(trees, depth)
         for batch in batches:
-            n, a, b, prefixes = [], [], [], []
+            n, a, b, signed, size = [], [], [], [], []
             texts = batch.column(1)
-            for s in (s for k in range(0, len(texts), 64) for s in shingle_sets(texts[k : k + 64].to_pylist(), shingle)):
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                n.append(len(s))
-                a.append(int.from_bytes(d[:8], "little", signed=True))
-                b.append(int.from_bytes(d[8:], "little", signed=True))
-                prefixes.append(signer(s) if len(s) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "set_a", "set_b", "prefixes"])
+            for k in range(0, len(texts), 64):
+                part = texts[k : k + 64].to_pylist()
+                size += map(len, part)
+                for s in shingle_sets(part, shingle):
+                    d = xxhash.xxh3_128_digest(s.tobytes())
+                    n.append(len(s))
+                    a.append(int.from_bytes(d[:8], "little", signed=True))
+                    b.append(int.from_bytes(d[8:], "little", signed=True))
+                    signed.append(signer(s) if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, a, b)), pa.array(signed, pa.binary()), pa.array(size, pa.int64())], names=["doc_id", "n", "set_a", "set_b", "signature", "bytes"])
+
+    return rows.mapInArrow(task, "doc_id long, n long, set_a long, set_b long, signature binary, bytes long")
+
+
+def trie_nodes(signed: DataFrame, shared: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """id, tree and node, a hash of the tree and of the first `shared` minhashes of the id's signature in it."""
+    node = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring("signature", t * depth + 1, F.lit(shared))))
+    return signed.select("id", F.posexplode(node).alias("tree", "node"))
 
-    return rows.mapInArrow(task, "doc_id long, n long, set_a long, set_b long, prefixes array<long>")
+
+def ties(signed: DataFrame, nodes: DataFrame, threshold: float, depth: int = DEPTH, leaders: int = LEADERS) -> DataFrame:
+    """Pairs a, b of ids of a trie node (id, tree, node) that may be near, each of them or through the node's leaders."""
+    least = tie_level(threshold)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, count = None, 0
+        marks, names, tied = np.empty((leaders, MARKS), np.uint8), np.empty(leaders, np.int64), np.empty(leaders, np.int64)
+        for batch in batches:
+            own, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            signs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
+            a, b = [], []
+            for i in range(len(ids)):
+                if own[i] != node:
+                    node, count = own[i], 0
+                sign, best, met = signs[i], 0.0, np.empty(0, np.int64)
+                if count:
+                    alike = np.count_nonzero(marks[:count, : len(sign)] == sign, axis=1) / len(sign)
+                    best = alike.max()
+                    near = alike >= least
+                    if best < SAME and count == leaders:
+                        near[0] = True
+                    met = np.unique(tied[:count][near])
+                    for k in met:  # leaders that are tied already need one tie
+                        a.append(ids[i])
+                        b.append(names[k])
+                    if len(met) > 1:
+                        tied[:count][np.isin(tied[:count], met)] = met[0]
+                if best < SAME and count < leaders:
+                    marks[count, : len(sign)], names[count], tied[count] = sign, ids[i], met[0] if len(met) else count
+                    count += 1
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held = nodes.join(signed.select("id", "signature"), "id").select("node", "id", F.substring("signature", 1, MARKS).alias("marks"), F.substring(F.col("signature"), F.col("tree") * depth + 1, F.lit(depth)).alias("sequence"))
+    in_order = held.repartition("node").sortWithinPartitions("node", "sequence", "id").select("node", "id", "marks")
+    return in_order.mapInArrow(walk, "a long, b long").where("a != b").distinct()
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -135,12 +197,34 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.nda
     return out
 
 
-def _verify(threshold: float, shingle: int):
-    """For a unit (all pairs of two blocks of one group, or whole small groups): id, links (documents) and root (an id of its component)."""
+def prefixes(signatures: list[bytes], trees: int, shared: int) -> np.ndarray:
+    """By signature and tree a hash of the first `shared` minhashes."""
+    sequences = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), trees, -1)
+    out = np.zeros(sequences.shape[:2], np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(shared):
+            out = mix(out * BASE + sequences[:, :, k])
+    return out
+
+
+def _few(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which links (rows against columns) no more than FEW_TREES trees caught; a, b: the nodes of the rows and of the columns, by tree."""
+    out = np.zeros_like(links)
+    i, j = np.nonzero(links)
+    for k in range(0, len(i), 65536):
+        part = slice(k, k + 65536)
+        out[i[part], j[part]] = np.count_nonzero(a[i[part]] == b[j[part]], axis=1) <= FEW_TREES
+    return out
+
+
+def _verify(threshold: float, shingle: int, trees: int, shared: int):
+    """For a unit (all pairs of two blocks of one group, or whole small groups): id, links (documents), few (classes whose link few
+    trees caught) and root (an id of its component)."""
 
     def unit(data: pa.Table) -> pa.Table:
         group, block, ids, weight = (data.column(c).to_numpy() for c in ("grp", "block", "id", "weight"))
         sets = shingle_sets(data.column("text").to_pylist(), shingle)
+        nodes = prefixes(data.column("signature").to_pylist(), trees, shared)
         low = data.column("low")[0].as_py()
         out: list[tuple] = []
         for g in np.unique(group):
@@ -148,26 +232,39 @@ def _verify(threshold: float, shingle: int):
             a, b = own[block[own] == low], own[block[own] != low]
             if len(b):
                 links = linked([sets[i] for i in a], [sets[i] for i in b], threshold)
+                few = _few(links, nodes[a], nodes[b])
                 ra, rb = local_roots(links)
-                out += zip(ids[a], links @ weight[b], ra, strict=True)
-                out += zip(ids[b], links.T @ weight[a], rb, strict=True)
                 names = np.concatenate([ids[a], ids[b]])
+                out += zip(ids[a], links @ weight[b], few.sum(axis=1), names[ra], strict=True)
+                out += zip(ids[b], links.T @ weight[a], few.sum(axis=0), names[rb], strict=True)
             elif data.column("high")[0].as_py() == low:
                 links = linked([sets[i] for i in a], [sets[i] for i in a], threshold)
                 np.fill_diagonal(links, False)
                 ra, _ = local_roots(links | np.eye(len(a), dtype=bool))
-                out += zip(ids[a], links @ weight[a], ra, strict=True)
-                names = ids[a]
-            else:
-                continue
-            n = len(a) + len(b)
-            out[-n:] = [(i, w, names[r]) for i, w, r in out[-n:]]
-        ids_, links_, roots = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"id": pa.array(ids_, pa.int64()), "links": pa.array(links_, pa.int64()), "root": pa.array(roots, pa.int64())})
+                out += zip(ids[a], links @ weight[a], _few(links, nodes[a], nodes[a]).sum(axis=1), ids[a][ra], strict=True)
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["id", "links", "few", "root"])
 
     return unit
 
 
+def verified(texts: DataFrame, groups: DataFrame, signed: DataFrame, threshold: float, shingle: int, shared: int, trees: int, block: int) -> DataFrame:
+    """All pairs within each group (id, component) compared exactly: id, links, few, root by unit. signed: id, weight, signature, bytes."""
+    sizes = groups.join(signed.select("id", "bytes"), "id").groupBy("component").agg(F.count("*").alias("__size"), F.sum("bytes").alias("__bytes"))
+    members = groups.join(sizes, "component").join(signed.select("id", "weight", "signature"), "id")
+    blocks = F.greatest(F.ceil(F.col("__size") / block), F.least(F.col("__size"), F.ceil(F.col("__bytes") / BLOCK_BYTES))).cast("int")
+    members = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    alone = F.col("blocks") == 1
+    total, size = groups.join(signed.select("id", "bytes"), "id").agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    bins = 1 + max(total * 4 // block, size * 4 // BLOCK_BYTES)
+    units = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.when(alone, -1 - F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")).alias("key"), F.when(alone, F.lit(0)).otherwise(F.lit(1)).alias("kind"),
+        F.col("component").alias("grp"), "id", "weight", "signature", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+    )
+    texts = texts.join(groups.select("id"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    return units.join(texts, "id").groupBy("kind", "key", "low", "high").applyInArrow(_verify(threshold, shingle, trees, shared), "id long, links long, few long, root long")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_links, class_id, kept, n_shingles.
 
@@ -177,32 +274,49 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one id share one document's links, so each of them is kept if one is; an empty table gives an empty result; other columns are
     ignored.
     """
-    signed = cut(signatures(docs, doc_id, text, shingle, trees, shared_depth(threshold, trees, depth, recall)))
+    signed = cut(signatures(docs, doc_id, text, shingle, trees, depth))
     filled = signed.where("n > 0")
     classes = cut(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")))
-    first = filled.select(F.col("doc_id").alias("id"), "prefixes").join(classes.groupBy("id").agg(F.max("weight").alias("weight")), "id").groupBy("id").agg(F.max("weight").alias("weight"), F.max("prefixes").alias("prefixes"))
-    entries = first.select("id", F.posexplode("prefixes").alias("tree", "prefix"))
-    shared = entries.groupBy("tree", "prefix").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("tree", "prefix", "least")
-    groups = components(entries.join(shared, ["tree", "prefix"]).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
-
-    sizes = groups.groupBy("component").agg(F.count("*").alias("__size"))
-    members = groups.join(sizes, "component").join(first.select("id", "weight"), "id")
-    blocks = F.ceil(F.col("__size") / block).cast("int")
-    members = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    alone = F.col("blocks") == 1
-    total = groups.count()
-    units = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.when(alone, -1 - F.pmod(F.xxhash64("component"), F.lit(1 + total * 4 // block))).otherwise(F.col("component")).alias("key"), F.when(alone, F.lit(0)).otherwise(F.lit(1)).alias("kind"),
-        F.col("component").alias("grp"), "id", "weight", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-    )
+    of_id = classes.groupBy("id").agg(F.max("weight").alias("weight"))
+    first = filled.select(F.col("doc_id").alias("id"), "signature", "bytes").join(of_id, "id").groupBy("id").agg(F.max("weight").alias("weight"), F.max_by("signature", F.struct("bytes", "signature")).alias("signature"), F.max("bytes").alias("bytes"))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    texts = texts.join(groups.select("id"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    compared = cut(units.join(texts, "id").groupBy("kind", "key", "low", "high").applyInArrow(_verify(threshold, shingle), "id long, links long, root long"))
-    links = compared.groupBy("id").agg(F.sum("links").alias("links"))
-    found = components(compared.select(F.col("id").alias("a"), F.col("root").alias("b")))
 
-    by_class = classes.join(links, "id", "left").join(found, "id", "left").select("set_a", "set_b", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("class_id"))
-    out = signed.drop("prefixes").join(by_class, ["set_a", "set_b"], "left")
+    shared = shared_depth(threshold, trees, depth, recall)
+    tied = groups = results = None
+    while True:
+        nodes = trie_nodes(first, shared, trees, depth)
+        if results is None:
+            held = nodes.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
+        else:  # only for documents whose links few trees caught
+            doubtful = results.where("few > 0").select("id", F.lit(True).alias("open"))
+            held = nodes.join(doubtful, "id", "left").groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("open").alias("open")).where("least != most and open")
+        new = cut(ties(first, nodes.join(held.select("node"), "node"), threshold, depth))
+        if results is not None:
+            of = groups.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
+            new = cut(new.join(of, "a", "left").join(of.withColumnsRenamed({"a": "b", "of_a": "of_b"}), "b", "left").where("of_a is null or of_b is null or of_a != of_b").select("a", "b"))
+            if new.isEmpty():
+                break
+        tied = new if tied is None else tied.unionByName(new)
+        groups = components(tied)
+        if results is None:
+            touched = groups
+        else:  # groups that grew are compared anew
+            grown = groups.join(new.select(F.col("a").alias("id")), "id", "left_semi").select("component").distinct()
+            touched = groups.join(grown, "component", "left_semi")
+        compared = cut(verified(texts, touched, first, threshold, shingle, shared, trees, block))
+        found = compared.groupBy("id").agg(F.sum("links").alias("links"), F.sum("few").alias("few"))
+        roots = compared.select("id", "root")
+        if results is not None:
+            found = found.unionByName(results.join(found, "id", "left_anti").withColumn("few", F.lit(0).cast("long")))
+            roots = roots.unionByName(kept_roots.join(touched.select("id"), "id", "left_anti"))
+        results, kept_roots = cut(found), roots
+        shared -= 1
+        if shared < 1 or results.where("few > 0").isEmpty():
+            break
+
+    found = components(kept_roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    by_class = classes.join(results, "id", "left").join(found, "id", "left").select("set_a", "set_b", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("class_id"))
+    out = signed.drop("signature", "bytes").join(by_class, ["set_a", "set_b"], "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", F.coalesce(F.col("weight") - 1 + F.col("links"), F.lit(0)).alias("n_links"), class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"), F.col("n").alias("n_shingles"))
 

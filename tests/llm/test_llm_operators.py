@@ -116,6 +116,51 @@ def test_shared_depth_reaches_its_recall():
     assert 1 - (1 - 0.8**d) ** 48 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 48
 
 
+def test_weak_chains_stay_apart(spark):
+    """Texts that meet in the forest's nodes, each about half like the next: the groups to verify stay small."""
+    parts = [prose(5000 + k, 40, 9000) for k in range(61)]
+    rows = [(k, parts[k] + " " + parts[k + 1], "en", "s", 0) for k in range(60)] + [(100 + k, parts[60] + f" end{k}", "en", "s", 0) for k in range(5)]
+    signed = near.signatures(spark.createDataFrame(rows, SCHEMA)).select(F.col("doc_id").alias("id"), "signature")
+    everyone = signed.select("id", F.lit(0).alias("tree"), F.lit(1).cast("long").alias("node"))  # one node that holds all of them
+    groups = near.components(near.ties(signed, everyone, 0.8))
+    assert sorted(x["id"] for x in groups.collect()) == [100, 101, 102, 103, 104]
+    few = near.components(near.ties(signed, everyone, 0.8, leaders=4))  # beyond the leaders the rest is one group, none is lost
+    assert few.where("component = 0").count() >= 60
+
+
+def test_leaders_lose_no_near_pair(spark):
+    r = np.random.default_rng(8)
+    base = prose(77, 200, 5000).split()
+    texts = []
+    for k in range(150):
+        base = list(base)
+        base[int(r.integers(0, 200))] = f"y{k}"  # each one word off the one before
+        texts.append(" ".join(base))
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    signed = near.signatures(spark.createDataFrame(rows, SCHEMA)).select(F.col("doc_id").alias("id"), "signature")
+    everyone = signed.select("id", F.lit(0).alias("tree"), F.lit(1).cast("long").alias("node"))
+    component = {x["id"]: x["component"] for x in near.components(near.ties(signed, everyone, 0.8)).collect()}
+    links = [(i, j) for i in range(150) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(links) > 150 and all(component[i] == component[j] for i, j in links)
+    got = near.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_links").collect()
+    assert {x["doc_id"]: x["n_links"] for x in got} == {i: sum(i in p for p in links) for i in range(150)}
+
+
+def test_few_trees_shorten_prefixes(spark, corpus, monkeypatch):
+    """With one tree many pairs are caught by few; shortening for their documents finds more, and never a wrong one."""
+    rows = sorted({r for r in corpus if r[0] is not None}, key=lambda r: r[0])
+    links = jaccard_links(rows)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = []
+    for few in (-1, 1):
+        monkeypatch.setattr(near, "FEW_TREES", few)
+        got = {r["doc_id"]: r["n_links"] for r in near.near_duplicates(docs, trees=2, depth=12, recall=0.3).collect()}
+        assert all(got[r[0]] <= len(links[i]) for i, r in enumerate(rows))
+        found.append(sum(got.values()))
+    assert found[1] >= found[0]
+
+
 def test_shingles_do_not_depend_on_slices(monkeypatch, corpus):
     texts = [(r[1] or "").encode() for r in corpus]
     whole = words.shingle_sets(texts)
