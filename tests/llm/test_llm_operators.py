@@ -469,28 +469,107 @@ def test_statistics(docs, corpus):
         assert got[d]["base_failed"] == (len(w) < 10 or 100 * len(again) > 20 * len(w))
 
 
+def plain_distances(x, lang, source):
+    """What quality.robust_distances gives, group by group."""
+    q, p = quality, x.shape[1]
+    floors = np.diag(q.FLOORS)
+
+    def distances(x, m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def nearest(x, m, c, share):
+        d2 = distances(x, m, c)
+        bins = np.where(d2 < 1e-9, -2000, np.floor(np.log2(np.maximum(d2, 1e-9)) * 64))
+        return x[bins <= np.sort(bins)[math.ceil(len(x) * share) - 1]]
+
+    def moments(x, factor):
+        return x.mean(axis=0), np.atleast_2d(np.cov(x.T, bias=True)) * factor + floors
+
+    def estimate(x):
+        m = np.percentile(x, 50, axis=0, method="inverted_cdf")
+        s2 = ((np.percentile(x, 75, axis=0, method="inverted_cdf") - np.percentile(x, 25, axis=0, method="inverted_cdf")) / 1.349) ** 2 + q.FLOORS
+        z = (x - m) / np.sqrt(s2)
+        starts = [(m, np.diag(s2))]
+        for y in (np.tanh(z), z / np.sqrt((z * z).sum(axis=1, keepdims=True) + 1e-12)):
+            v = np.atleast_2d(np.cov(y.T, bias=True))
+            d = np.sqrt(np.diag(v) + 1e-6)
+            r = v / np.outer(d, d)
+            np.fill_diagonal(r, 1)
+            starts.append((m, r * np.sqrt(np.outer(s2, s2))))
+        starts.append(moments(nearest(x, *starts[0], 0.5), 1.0))
+        for _ in range(q.FIRST_STEPS):
+            starts = [moments(nearest(x, *s, q.SHARE), q.CONSISTENCY) for s in starts]
+        best = min(starts, key=lambda s: np.linalg.slogdet(s[1])[1])
+        for _ in range(q.STEPS):
+            after = moments(nearest(x, *best, q.SHARE), q.CONSISTENCY)
+            if np.linalg.slogdet(after[1])[1] >= np.linalg.slogdet(best[1])[1] - 1e-6:
+                break
+            best = after
+        return len(x), *moments(x[distances(x, *best) <= q.REWEIGHT], q.REWEIGHT_CONSISTENCY)
+
+    def drawn(own, other):
+        (n, m, c), (om, oc) = own, other
+        w = n / (n + q.DRAW)
+        return w * m + (1 - w) * om, w * c + (1 - w) * oc
+
+    prose_ = np.array([v[0] for v in q.PROSE]), np.diag([v[1] for v in q.PROSE])
+    every = drawn(estimate(x), prose_)
+    out = np.empty(len(x))
+    for g in set(zip(lang, source, strict=True)):
+        own = np.array([k == g for k in zip(lang, source, strict=True)])
+        of_lang = drawn(estimate(x[np.array([k == g[0] for k in lang])]), every)
+        out[own] = distances(x[own], *drawn(estimate(x[own]), of_lang))
+    return out
+
+
 def test_robust_distances_match_a_plain_version(spark):
     r = np.random.default_rng(0)
-    x = r.normal(size=(300, 3)) @ np.array([[1, 0.4, 0], [0, 0.7, 0.2], [0, 0, 0.5]])
-    x[:30] += 8
-    rows = [(i, "en", "s", *map(float, v)) for i, v in enumerate(x)]
-    got = {v["i"]: v["__d2"] for v in quality.robust_distances(spark.createDataFrame(rows, "i long, lang string, source string, x0 double, x1 double, x2 double")).collect()}
-    centre, spread = np.percentile(x, 50, axis=0, method="lower"), (np.percentile(x, 75, axis=0, method="lower") - np.percentile(x, 25, axis=0, method="lower")) / 1.349
-    cov = np.diag(spread**2 + quality.FLOORS)
-    for _ in range(quality.STEPS):
-        d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
-        bins = np.floor(np.log2(d2) * 64)
-        near_ = x[bins <= np.sort(bins)[math.ceil(len(x) * quality.SHARE) - 1]]
-        centre, cov = near_.mean(axis=0), np.cov(near_.T, bias=True) * quality.CONSISTENCY + np.diag(quality.FLOORS)
-    d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
-    assert np.allclose([got[i] for i in range(300)], d2, rtol=1e-6)
-    assert set(np.flatnonzero(d2 > quality.BOUND)) == set(range(30))
-
-
-def test_small_groups_are_judged_together(spark):
-    rows = [(i, "en", f"s{i}" if i < 60 else "big", 0.0, 0.0, 0.0) for i in range(120)] + [(500, None, None, 9.0, 9.0, 9.0)]
-    got = {v["i"]: v["__d2"] for v in quality.robust_distances(spark.createDataFrame(rows, "i long, lang string, source string, x0 double, x1 double, x2 double")).collect()}
-    assert len(got) == 121 and got[500] is None and got[0] is not None
+    x = r.normal(size=(420, 5)) @ np.triu(r.uniform(0.1, 0.6, (5, 5)))
+    x[:40] += 6
+    x[200:210] += 9
+    lang = ["en" if i < 300 else "de" if i < 400 else None for i in range(420)]
+    source = [None if i % 7 == 0 else f"s{i % 3}" for i in range(420)]
+    source[410] = "alone"
+    columns = ", ".join(f"{s} double" for s in quality.STATS)
+    df = spark.createDataFrame([(i, lang[i], source[i], *map(float, v)) for i, v in enumerate(x)], f"i long, lang string, source string, {columns}").repartition(3)
+    got = {v["i"]: v["__d2"] for v in quality.robust_distances(df).collect()}
+    want = plain_distances(x, lang, source)
+    assert len(got) == 420 and np.allclose([got[i] for i in range(420)], want, rtol=1e-5)
+    assert (want[:40] > quality.BOUND).all() and (want[40:200] < quality.BOUND).all()
+
+
+def test_verdicts_are_those_of_a_plain_version(spark, corpus):
+    """The whole result: statistics, fixed rules and verdicts."""
+    rows = [r for r in corpus if r[0] is not None]
+    odd = [(700 + k, " ".join(["#$%&"] * (30 + k)) + " " + prose(k, 40), "en", "s1", 0) for k in range(3)] + [(710, " ".join(f"{'Q' * (3 + k % 9)}" + "xyz" * (k % 11) for k in range(60)), "en", "s0", 0)]
+    rows = list(dict.fromkeys(rows)) + odd
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    vectors_, ids = [], []
+    for d, t, *_ in rows:
+        w = re.findall(WORD, t or "")
+        c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        again = len({j for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)})
+        failed = len(w) < 10 or 100 * again > 20 * len(w)
+        assert got[d]["base_failed"] == failed and (got[d]["kept"] is False or not failed)
+        if not failed:
+            full = [x for x in t.split("\n") if re.search(WORD, x)]
+            n, chars, marks, capitals = len(w) + 20, sum(map(len, w)) + 100, sum(t.count(x) for x in "#*$%&|<>"), sum(x in quality.CAPITALS for x in t)
+            vectors_.append([math.log((chars - marks) / n), math.sqrt(marks / n), math.sqrt((capitals + 1) / chars), math.sqrt((len(full) - len(set(full))) / (len(full) + 10)), math.sqrt(again / n)])
+            ids.append(d)
+    by_id = {r[0]: r for r in rows}
+    d2 = plain_distances(np.array(vectors_), [by_id[d][2] for d in ids], [by_id[d][3] for d in ids])
+    assert {d: got[d]["kept"] for d in ids} == {d: bool(v <= quality.BOUND) for d, v in zip(ids, d2, strict=True)}
+    assert not any(got[d]["kept"] for d in (700, 701, 702)) and got[5]["kept"]
+
+
+def test_groups_of_any_size_are_judged(spark):
+    columns = ", ".join(f"{s} double" for s in quality.STATS)
+    rows = [(i, "en", f"s{i}" if i < 60 else "big", *(m for m, _ in quality.PROSE)) for i in range(120)] + [(500, None, None, 9.0, 9.0, 9.0, 9.0, 9.0)]
+    got = {v["i"]: v["__d2"] for v in quality.robust_distances(spark.createDataFrame(rows, f"i long, lang string, source string, {columns}")).collect()}
+    assert len(got) == 121 and got[500] > quality.BOUND and got[0] < 1
+    alone = quality.robust_distances(spark.createDataFrame(rows[:1], f"i long, lang string, source string, {columns}")).collect()
+    assert alone[0]["__d2"] < 1
 
 
 # classifier
