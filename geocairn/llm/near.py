@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, quoted
+from .common import cut, keep, quoted
 from .graph import components, local_roots
 from .words import BASE, mix, shingle_sets
 
@@ -36,6 +36,8 @@ MARKS, LEADERS = 256, 256
 SAME = 0.97
 #: A link that no more trees than these caught shows that others may have been missed.
 FEW_TREES = 1
+#: Documents whose trie nodes (trees * 16 bytes each) are broadcast, at most.
+BROADCAST_DOCS = 10_000
 #: Classes in a block, and about in a unit of small groups; bytes of text likewise.
 BLOCK, BLOCK_BYTES = 1024, 1 << 25
 #: Shingles in this many of a unit's sets and more are counted by matrix products, others by their lists.
@@ -105,13 +107,14 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
 
 def trie_nodes(signed: DataFrame, shared: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """id, tree and node, a hash of the tree and of the first `shared` minhashes of the id's signature in it."""
-    node = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring("signature", t * depth + 1, F.lit(shared))))
-    return signed.select("id", F.posexplode(node).alias("tree", "node"))
+    """id and node, a hash of the first `shared` minhashes of the id's signature in each tree, with the tree in its lowest bits."""
+    bits = (trees - 1).bit_length()
+    hashed = lambda t: F.shiftleft(F.xxhash64(t, F.substring("signature", t * depth + 1, F.lit(shared))), bits).bitwiseOR(t.cast("long"))
+    return signed.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), hashed)).alias("node"))
 
 
-def ties(signed: DataFrame, nodes: DataFrame, threshold: float, depth: int = DEPTH, leaders: int = LEADERS) -> DataFrame:
-    """Pairs a, b of ids of a trie node (id, tree, node) that may be near, each of them or through the node's leaders."""
+def ties(signed: DataFrame, nodes: DataFrame, threshold: float, trees: int = TREES, depth: int = DEPTH, leaders: int = LEADERS) -> DataFrame:
+    """Pairs a, b of ids of a trie node (id, node) that may be near, each of them or through the node's leaders."""
     least = tie_level(threshold)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +145,8 @@ def ties(signed: DataFrame, nodes: DataFrame, threshold: float, depth: int = DEP
                     count += 1
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    held = nodes.join(signed.select("id", "signature"), "id").select("node", "id", F.substring("signature", 1, MARKS).alias("marks"), F.substring(F.col("signature"), F.col("tree") * depth + 1, F.lit(depth)).alias("sequence"))
+    tree = F.col("node").bitwiseAND(F.lit((1 << (trees - 1).bit_length()) - 1)).cast("int")
+    held = nodes.join(signed.select("id", "signature"), "id").select("node", "id", F.substring("signature", 1, MARKS).alias("marks"), F.substring(F.col("signature"), tree * depth + 1, F.lit(depth)).alias("sequence"))
     in_order = held.repartition("node").sortWithinPartitions("node", "sequence", "id").select("node", "id", "marks")
     return in_order.mapInArrow(walk, "a long, b long").where("a != b").distinct()
 
@@ -274,47 +278,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one id share one document's links, so each of them is kept if one is; an empty table gives an empty result; other columns are
     ignored.
     """
-    signed = cut(signatures(docs, doc_id, text, shingle, trees, depth))
+    signed = keep(signatures(docs, doc_id, text, shingle, trees, depth))
     filled = signed.where("n > 0")
     classes = cut(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")))
     of_id = classes.groupBy("id").agg(F.max("weight").alias("weight"))
-    first = filled.select(F.col("doc_id").alias("id"), "signature", "bytes").join(of_id, "id").groupBy("id").agg(F.max("weight").alias("weight"), F.max_by("signature", F.struct("bytes", "signature")).alias("signature"), F.max("bytes").alias("bytes"))
+    first = filled.select(F.col("doc_id").alias("id"), "signature", "bytes").join(of_id, "id").groupBy("id")
+    first = keep(first.agg(F.max("weight").alias("weight"), F.max_by("signature", F.struct("bytes", "signature")).alias("signature"), F.max("bytes").alias("bytes")))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
 
     shared = shared_depth(threshold, trees, depth, recall)
-    tied = groups = results = None
+    groups = results = roots = None
     while True:
         nodes = trie_nodes(first, shared, trees, depth)
+        if results is not None:  # only for documents some of whose links few trees caught
+            doubtful = results.where("few > 0").select("id")
+            theirs = trie_nodes(first.join(doubtful, "id"), shared, trees, depth).select("node").distinct()
+            nodes = cut(nodes.join(F.broadcast(theirs) if doubtful.count() <= BROADCAST_DOCS else theirs, "node", "left_semi"))
+        held = nodes.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
+        new = cut(ties(first, nodes.join(held.select("node"), "node"), threshold, trees, depth))
         if results is None:
-            held = nodes.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
-        else:  # only for documents whose links few trees caught
-            doubtful = results.where("few > 0").select("id", F.lit(True).alias("open"))
-            held = nodes.join(doubtful, "id", "left").groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("open").alias("open")).where("least != most and open")
-        new = cut(ties(first, nodes.join(held.select("node"), "node"), threshold, depth))
-        if results is not None:
+            groups = touched = components(new)
+        else:
             of = groups.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
             new = cut(new.join(of, "a", "left").join(of.withColumnsRenamed({"a": "b", "of_a": "of_b"}), "b", "left").where("of_a is null or of_b is null or of_a != of_b").select("a", "b"))
             if new.isEmpty():
                 break
-        tied = new if tied is None else tied.unionByName(new)
-        groups = components(tied)
-        if results is None:
-            touched = groups
-        else:  # groups that grew are compared anew
+            groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
+            # groups that grew are compared anew
             grown = groups.join(new.select(F.col("a").alias("id")), "id", "left_semi").select("component").distinct()
             touched = groups.join(grown, "component", "left_semi")
         compared = cut(verified(texts, touched, first, threshold, shingle, shared, trees, block))
-        found = compared.groupBy("id").agg(F.sum("links").alias("links"), F.sum("few").alias("few"))
-        roots = compared.select("id", "root")
+        found, found_roots = compared.groupBy("id").agg(F.sum("links").alias("links"), F.sum("few").alias("few")), compared.select("id", "root")
         if results is not None:
             found = found.unionByName(results.join(found, "id", "left_anti").withColumn("few", F.lit(0).cast("long")))
-            roots = roots.unionByName(kept_roots.join(touched.select("id"), "id", "left_anti"))
-        results, kept_roots = cut(found), roots
+            found_roots = found_roots.unionByName(roots.join(touched.select("id"), "id", "left_anti"))
+        results, roots = cut(found), found_roots
         shared -= 1
         if shared < 1 or results.where("few > 0").isEmpty():
             break
 
-    found = components(kept_roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    found = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
     by_class = classes.join(results, "id", "left").join(found, "id", "left").select("set_a", "set_b", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("class_id"))
     out = signed.drop("signature", "bytes").join(by_class, ["set_a", "set_b"], "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
