@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 1_000_000
+#: Words whose counts a worker remembers, and characters of each at most.
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -43,45 +44,44 @@ class UnigramCounter:
                 self.find.add_word(piece, (len(piece), score))
         self.find.make_automaton()
         names = {p for p, _ in pieces}
+        self.longest = max([1, *map(len, names)])
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$") if not any(re.search(f"[^{MARK}]{MARK}", p) for p in names) else re.compile(".+", re.DOTALL)
         self.known: dict[str, int] = {}
 
     def path(self, word: str) -> int:
-        """Tokens of the best path over a whole word, without memory of others."""
-        n = len(word)
-        best: list[float] = [0.0] * (n + 1)
-        count, fused = [0] * (n + 1), [False] * (n + 1)
-        singles, done = [False] * (n + 1), 0
+        """Tokens of the best path over a whole word, without memory of others. Only as many places as the longest piece spans are held."""
+        n, held = len(word), self.longest + 1
+        best, count, fused = [0.0] * held, [0] * held, [False] * held
         ends = self.find.iter(word)
         end, hit = next(ends, (n, None))
-        while done < n:
-            best_score, start, unknown = None, 0, False
+        for done in range(n):
+            best_score, start, unknown, single = None, 0, False, False
             here = []
             while hit is not None and end == done:
                 here.append(hit)
                 end, hit = next(ends, (n, None))
             here.sort(reverse=True)  # longest first: of equal sums the first to start wins
             for length, score in here:
-                sum_ = score + best[done + 1 - length]
+                sum_ = score + best[(done + 1 - length) % held]
                 if best_score is None or sum_ > best_score:
                     best_score, start = sum_, done + 1 - length
-                if length == 1:
-                    singles[done] = True
-            if not singles[done]:
-                sum_ = self.unknown + best[done]
+                single |= length == 1
+            if not single:
+                sum_ = self.unknown + best[done % held]
                 if best_score is None or sum_ > best_score:
                     best_score, start, unknown = sum_, done, True
-            done += 1
-            best[done], fused[done] = best_score, unknown
+            at, before = (done + 1) % held, start % held
+            best[at] = best_score
             if not unknown:
-                count[done] = count[start] + 1
+                count[at] = count[before] + 1
             elif self.bytes:
-                count[done] = count[start] + len(word[start:done].encode("utf-8", "surrogatepass"))
+                count[at] = count[before] + len(word[start : done + 1].encode("utf-8", "surrogatepass"))
             else:
-                count[done] = count[start] + (0 if fused[start] else 1)
-        return count[n]
+                count[at] = count[before] + (0 if fused[before] else 1)
+            fused[at] = unknown
+        return count[n % held]
 
     def __call__(self, text: str) -> int:
         if not text:
@@ -91,12 +91,12 @@ class UnigramCounter:
         try:
             return sum(map(known.__getitem__, words))
         except KeyError:
-            new = set(words).difference(known)
+            new = {w for w in words if w not in known and len(w) <= CACHE_CHARS}
             if len(known) + len(new) > CACHE_WORDS:
                 known = self.known = {w: known[w] for w in set(words) & known.keys()}
             for w in new:
                 known[w] = self.path(w)
-            return sum(map(known.__getitem__, words))
+            return sum(known[w] if len(w) <= CACHE_CHARS else self.path(w) for w in words)
 
 
 _COUNTERS: dict[str, UnigramCounter] = {}
