@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fold
-from .words import windows, word_hashes
+from .words import SLICE, slices, windows, word_hashes
 
 #: Labelled rows to fit to, at most: those whose ids have the least hashes.
 TRAIN_ROWS = 20_000
@@ -30,26 +30,50 @@ for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRST
 _CLASS[128:], _CLASS[ord(".")] = 10, 11
 
 
+def _words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length in bytes and hash of each word."""
+    starts, h = word_hashes(joined)
+    space = np.concatenate([_CLASS[np.frombuffer(joined, np.uint8)] // 2 == 2, [True]])
+    return starts, np.flatnonzero(space[1:] & ~space[:-1]) + 1 - starts, h
+
+
+def _row(h: np.ndarray, size: np.ndarray, c: np.ndarray, n_bytes: int) -> tuple[float, ...]:
+    """FEATURES of a text with these word hashes and lengths, counts of byte classes and bytes."""
+    n, total, w = max(1, len(h)), max(1, n_bytes), windows(h, 5)
+    return (
+        np.log1p(len(h)), size.mean() if len(h) else 0, size.std() if len(h) else 0, c[2] / total, c[3] / total, c[6] / total, c[7] / total, c[8] / n, c[9] / n,
+        c[10] / total, c[5] / n, len(np.unique(h)) / n, (h[1:] == h[:-1]).sum() / n, len(np.unique(w)) / max(1, len(w)), (size <= 3).sum() / n, c[11] / n,
+    )
+
+
 def features(texts: list[bytes]) -> np.ndarray:
-    """A row of FEATURES per text; all 0 but where a ratio of nothing is taken as 1 for an empty one. Texts are read whole."""
+    """A row of FEATURES per text, ratios of nothing being 0. Texts are read whole, short ones many at a time, a long one in pieces."""
     out = np.zeros((len(texts), len(FEATURES)))
-    joined = b" ".join(texts) + b" "
-    chars = np.frombuffer(joined, np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    counts = np.bincount(np.repeat(np.arange(len(texts)) * 12, sizes) + _CLASS[chars], minlength=12 * len(texts)).reshape(-1, 12)
-    starts, h = word_hashes(joined)
-    space = np.concatenate([[True], _CLASS[chars] // 2 == 2])
-    ends = np.flatnonzero(space[1:] & ~space[:-1])
-    lengths = ends - starts if len(ends) == len(starts) else np.diff(np.append(starts, len(chars))) - 1
-    bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-    for i in range(len(texts)):
-        own, size = h[bounds[i] : bounds[i + 1]], lengths[bounds[i] : bounds[i + 1]]
-        n, c, total = max(1, len(own)), counts[i], max(1, len(texts[i]))
-        w = windows(own, 5)
-        out[i] = (
-            np.log1p(len(own)), size.mean() if len(own) else 0, size.std() if len(own) else 0, c[2] / total, c[3] / total, c[6] / total, c[7] / total, c[8] / n, c[9] / n,
-            c[10] / total, c[5] / n, len(np.unique(own)) / n, (own[1:] == own[:-1]).sum() / n, len(np.unique(w)) / max(1, len(w)), (size <= 3).sum() / n, c[11] / n,
-        )
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > SLICE:
+            counts = np.zeros(12, np.int64)
+            for a in range(0, len(texts[at]), SLICE):
+                counts += np.bincount(_CLASS[np.frombuffer(texts[at][a : a + SLICE], np.uint8)], minlength=12)
+            parts = [_words(p)[1:] for p in slices(texts[at])]
+            out[at] = _row(np.concatenate([h for _, h in parts]), np.concatenate([n for n, _ in parts]), counts, len(texts[at]))
+            at += 1
+            continue
+        to, size = at, 0
+        while to < len(texts) and size + len(texts[to]) <= SLICE:
+            size += len(texts[to]) + 1
+            to += 1
+        joined = b" ".join(texts[at:to])
+        ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
+        text = np.repeat(np.arange(to - at), np.diff(ends, prepend=0))[: len(joined)]
+        counts = np.bincount(text * 12 + _CLASS[np.frombuffer(joined, np.uint8)], minlength=12 * (to - at)).reshape(-1, 12)
+        counts[:-1, 4] -= 1  # the spaces between texts
+        starts, sizes, h = _words(joined)
+        bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
+        for i in range(at, to):
+            own = slice(bounds[i - at], bounds[i - at + 1])
+            out[i] = _row(h[own], sizes[own], counts[i - at], len(texts[i]))
+        at = to
     return out
 
 

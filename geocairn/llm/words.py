@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -19,6 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 POWERS = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0d]|$")
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +46,15 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def slices(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about SLICE bytes that end before white space (or hold one longer word)."""
+    a = 0
+    while a < len(text):
+        end = _SPACE.search(text, min(a + SLICE, len(text))).start()
+        yield text[a:end]
+        a = max(end, a + 1)
+
+
 def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; a text of fewer than n words has one shingle of all its words, an empty one
     none. Short texts are hashed many at a time, a long one in pieces."""
@@ -51,12 +62,7 @@ def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
     at = 0
     while at < len(texts):
         if len(texts[at]) > SLICE:
-            text, parts, a = texts[at], [], 0
-            while a < len(text):
-                end = re.compile(rb"[\x20\x09-\x0d]|$").search(text, min(a + SLICE, len(text))).start()
-                parts.append(word_hashes(text[a:end])[1])
-                a = max(end, a + 1)
-            hashes = [np.concatenate(parts)]
+            hashes = [np.concatenate([word_hashes(part)[1] for part in slices(texts[at])])]
             at += 1
         else:
             to, size = at, 0
