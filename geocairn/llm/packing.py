@@ -1,13 +1,13 @@
 """Packing tokenised examples into fixed-length sequences by vector bin packing.
 
-An example is a vector: its tokens, one segment, its loss-bearing tokens. A sequence has a limit on each. One sequence is filled at a
-time: of the examples that still fit, the one with the largest dot product of its vector and the room left (both as shares of the
-limits) goes in, until none fits. Where examples may be cut, what is longer than a sequence fills whole sequences first, and a gap
-of at least `min_piece` tokens is closed by cutting the longest example that is left.
+An example is a vector: its tokens, one segment, its loss-bearing tokens, which follow those that are only context. A sequence has a limit on
+each. One sequence is filled at a time: of the examples that still fit, the one with the largest dot product of its vector and the room
+left (both as shares of the limits) goes in, until none fits. Where examples may be cut, a gap of at least `min_piece` tokens is closed with
+the start of the example of which most goes in under all limits: when no more loss-bearing tokens may go in, that is an example's context.
 
 Each task packs the documents of its own input partition, in pools of bounded size that hand their unfilled sequence on to the next
 pool: no document moves to another task, so nothing is shuffled, no source or group can be hot, and a lost task is redone from its
-input alone. Only the last sequence of a task is left with a gap; cutting it at powers of two, which need no padding, closes that.
+input alone. Only the last sequences of a task are left with gaps; cutting them at powers of two, which need no padding, closes these.
 """
 
 from __future__ import annotations
@@ -25,12 +25,17 @@ from pyspark.sql import DataFrame
 END = 1
 LIMIT = 2048
 MAX_SEGMENTS = 128
+#: In the query: share of a document at its start that is only context, and loss-bearing tokens in a sequence at most.
+CONTEXT, MAX_LOSS = 0.25, 1664
+#: Weight of loss-bearing tokens in the dot product: examples that bear much loss go in first, so that the context which others have left over fills
+#: the gaps beside them, rather than being used up by examples that need no more.
+LOSS_WEIGHT = 4.0
 #: A shorter gap is padded rather than closed by cutting an example.
-MIN_PIECE = 16
+MIN_PIECE = 8
 #: A pool of examples packed together: so many at most, and so many tokens.
 POOL_EXAMPLES, POOL_TOKENS = 4096, 1 << 22
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+#: Words whose ids a worker remembers, and characters of each at most.
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
 #: Fixed value: how byte-level BPE of this family splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -77,12 +82,16 @@ class WordwiseTokenizer:
             rest.append(words)
         heads = self.encode(heads)
         known, new = self.ids, set().union(*rest)
+        long = [w for w in new if len(w) > CACHE_CHARS]
+        new.difference_update(long)
         used = list(new) if len(known) + len(new) > CACHE_WORDS else []
         new.difference_update(known)
         if used and len(known) + len(new) > CACHE_WORDS:
             known = {w: known[w] for w in used if w in known}
         known.update(zip(new, self.encode([" " + w for w in new]), strict=True))
         self.ids = known
+        if long:
+            known = known | dict(zip(long, self.encode([" " + w for w in long]), strict=True))
         return [h + b"".join([known[w] for w in words]) for h, words in zip(heads, rest, strict=True)]
 
 
@@ -121,7 +130,7 @@ def fill(items: list[list[int]], limits: tuple[int, int, int], loss, min_piece:
         while n_left and segments:
             a = int(np.searchsorted(-tokens, -room))  # kinds stand by tokens, most first
             fits = there[a:] & (bears[a:] <= room_loss)
-            dots = np.where(fits, tokens[a:] * (room / limits[0] ** 2) + bears[a:] * (room_loss / limits[2] ** 2) + segments / limits[1] ** 2, -1.0)
+            dots = np.where(fits, tokens[a:] * (room / limits[0] ** 2) + bears[a:] * (LOSS_WEIGHT * room_loss / limits[2] ** 2) + segments / limits[1] ** 2, -1.0)
             k = int(np.argmax(dots)) if len(dots) else 0
             if not len(dots) or dots[k] < 0:
                 if sequence:
@@ -130,17 +139,25 @@ def fill(items: list[list[int]], limits: tuple[int, int, int], loss, min_piece:
             x = take(a + k)
             room, segments, room_loss = room - x[2], segments - 1, room_loss - int(bears[a + k])
             sequence.append(x)
-        if min_piece and room >= min_piece and segments and n_left:
-            e, start, length = take(k := int(np.argmax(there)))
-            gap = min(room, length)
-            if gap < length and loss(e, start, gap) <= room_loss:
-                sequence.append((e, start, gap))
-                room -= gap
-                e, start, length = e, start + gap, length - gap
+        while min_piece and room >= min_piece and segments and n_left:
+            # how much of each kind's example goes in from its start: its context, and as much more as bears loss
+            goes = np.where(there, np.minimum(np.minimum(tokens, room), tokens - bears + room_loss), 0)
+            k = int(np.argmax(goes))
+            gap = int(goes[k])
+            if gap < min_piece:
+                break
+            e, start, length = take(k)
+            sequence.append((e, start, gap))
+            room, segments, room_loss = room - gap, segments - 1, room_loss - loss(e, start, gap)
+            if gap == length:
+                continue
+            start, length = start + gap, length - gap
             kind = (length, loss(e, start, length))
-            k = next((i for i in range(int(np.searchsorted(-tokens, -kind[0])), len(tokens)) if tokens[i] <= kind[0] and bears[i] <= kind[1]), len(tokens))
+            k = int(np.searchsorted(-tokens, -length))
+            while k < len(tokens) and tokens[k] == length and bears[k] > kind[1]:
+                k += 1
             if k == len(tokens) or (int(tokens[k]), int(bears[k])) != kind:
-                tokens, bears, there = np.insert(tokens, k, kind[0]), np.insert(bears, k, kind[1]), np.insert(there, k, True)
+                tokens, bears, there = np.insert(tokens, k, kind[0]), np.insert(bears, k, kind[1]), np.insert(there, k, False)
                 stacks.insert(k, [])
             stacks[k].append((e, start, length))
             there[k] = True
@@ -176,10 +193,11 @@ def cut_long(example: int, length: int, limit: int) -> tuple[list[list[tuple[int
     return whole, [[example, length - rest, rest]] if rest else []
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", loss_from: str | None = None, limit: int = LIMIT, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, min_piece: int = MIN_PIECE) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", loss_from: str | None = None, context: float = 0.0, limit: int = LIMIT, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, min_piece: int = MIN_PIECE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
-    A document is its ids and then END. Its tokens from index loss_from (a column; null or no such column: 0) on bear loss. At most
+    A document is its ids and then END. Its tokens from index loss_from (a column; null: 0) on bear loss; without such a column those
+    after the first share `context` of them. At most
     limit tokens, max_segments pieces and max_loss loss-bearing tokens (default: limit) go into a sequence, which is padded to limit
     unless its tokens are a power of two. min_piece 0 keeps documents that fit a sequence whole.
 
@@ -191,7 +209,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     max_loss = max_loss or limit
     if min_piece == 0 and max_loss < limit:
         raise ValueError("documents that are kept whole need max_loss of at least limit")
-    start = F.coalesce(F.col(loss_from).cast("long"), F.lit(0)) if loss_from else F.lit(0).cast("long")
+    start = F.coalesce(F.col(loss_from).cast("long"), F.lit(0)) if loss_from else F.lit(None).cast("long")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), start.alias("loss_from"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +241,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         def pool(last: bool) -> pa.RecordBatch:
             nonlocal items, whole, ids
             done, items = fill(items, limits, loss, min_piece, last)
-            if last and min_piece and done:
-                done[-1:] = at_powers_of_two(done[-1]) if max_loss >= limit else done[-1:]
+            if last and min_piece:
+                done = [part for x in done for part in (at_powers_of_two(x) if sum(y[2] for y in x) <= limit - min_piece else [x])]
             out = emit(whole + done)
             whole, ids = [], {x[0]: ids[x[0]] for x in items}
             return out
@@ -235,7 +253,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
             for a in range(0, len(texts), 256):
                 for doc, own, begin in zip(docs_[a : a + 256], tokenize(texts[a : a + 256]), starts[a : a + 256], strict=True):
                     own += END.to_bytes(4, "little")
-                    ids[n_examples] = (doc, own, begin)
+                    ids[n_examples] = (doc, own, int(len(own) // 4 * context) if begin is None else begin)
                     if max_loss >= limit:
                         full, rest = cut_long(n_examples, len(own) // 4, limit)
                         whole += full

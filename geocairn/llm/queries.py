@@ -42,7 +42,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(common.table(spark, sf_dir, "documents"), packing.token_file("byte_bpe_50k.json"))
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), packing.token_file("byte_bpe_50k.json"), context=packing.CONTEXT, max_loss=packing.MAX_LOSS)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

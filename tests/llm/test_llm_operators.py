@@ -445,6 +445,34 @@ def test_fill_keeps_all_limits_and_whole_examples():
     assert [sum(x[2] for x in s) for s in sequences] == [1024, 8, 1]
 
 
+def test_loss_limit_binds_where_examples_are_cut(spark, corpus):
+    rows = [(d, t) for d, t, *_ in corpus if d is not None and d < 300] + [(1000 + k, prose(k, 150 * (k + 1))) for k in range(20)]
+    path = packing.token_file("byte_bpe_50k.json")
+    pieces = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), path, context=0.25, max_loss=1664, max_segments=40).collect()
+    by_sequence = {}
+    for r in pieces:
+        first = int(r["doc_tokens"] * 0.25)
+        by_sequence.setdefault(r["sequence_id"], []).append((r["length"], max(0, r["start"] + r["length"] - max(r["start"], first))))
+    assert all(sum(n for n, _ in s) <= 2048 and sum(x for _, x in s) <= 1664 and len(s) <= 40 for s in by_sequence.values())
+    assert max(sum(x for _, x in s) for s in by_sequence.values()) > 1600  # the limit binds
+    assert sum(r["length"] for r in pieces) == sum({(r["doc_id"], r["doc_tokens"]): r["doc_tokens"] for r in pieces if r["start"] == 0}.values()) + sum(r["doc_tokens"] for r in pieces if r["start"] == 0 and r["doc_id"] == 0) - next(r["doc_tokens"] for r in pieces if r["doc_id"] == 0)
+    full = sum(sum(n for n, _ in s) > 2040 for s in by_sequence.values())
+    assert len(by_sequence) <= full + 2 * 12
+
+
+def test_fill_leaves_little_room_under_a_binding_loss_limit():
+    r = np.random.default_rng(0)
+    sizes = np.minimum(20000, np.exp(r.normal(6.2, 1.1, 800)).astype(int) + 1)
+    loss = lambda e, s, n: max(0, s + n - max(s, int(sizes[e] * 0.25)))
+    items = [[i, s, min(1664, int(n) - s)] for i, n in enumerate(sizes) for s in range(0, int(n), 1664)]
+    done, left = packing.fill(items, (2048, 128, 1664), loss, 8, True)
+    assert not left and len(done) <= sizes.sum() / 2048 * 1.01 + 2
+    assert all(sum(x[2] for x in s) <= 2048 and sum(loss(*x) for x in s) <= 1664 for s in done)
+    for i, n in enumerate(sizes):
+        own = sorted((s, k) for x in done for e, s, k in x if e == i)
+        assert [s for s, _ in own] == [sum(k for _, k in own[:j]) for j in range(len(own))] and sum(k for _, k in own) == n
+
+
 def test_instruction_examples_stay_whole(spark):
     rows = [(i, prose(i, 20 + 3 * i), 10) for i in range(40)]
     pieces = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, prompt long"), packing.token_file("byte_bpe_50k.json"), loss_from="prompt", limit=512, max_segments=4, min_piece=0)
@@ -584,6 +612,28 @@ def test_trees_learn_and_hold(spark):
     assert np.mean([r["predicted"] == int(r["doc_id"] % 3 != 0) for r in got if r["held_out"]]) > 0.97
 
 
+def test_features_are_those_of_a_plain_version(monkeypatch, corpus):
+    texts = [(r[1] or "").encode() for r in corpus] + ["Ünï | cödé! A.B  C\n\n#1 22,5 %".encode(), b"x" * 300, b" \n ", b"a b c d e a b c d e a a"]
+
+    def plain(t):
+        w = t.split()
+        n, total = max(1, len(w)), max(1, len(t))
+        size = [len(x) for x in w]
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        share = lambda chars: sum(t.count(c.encode()) for c in chars)
+        mean = sum(size) / n
+        return [
+            math.log1p(len(w)), mean, math.sqrt(sum((x - mean) ** 2 for x in size) / n) if w else 0, share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / total, share("0123456789") / total, share(",;:'\"()-?/") / total,
+            share("#*$%&<>@_=+~^\\{}[]") / total, share("|") / n, share("!") / n, sum(b > 127 for b in t) / total, share("\n") / n, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:])) / n,
+            len(set(grams)) / max(1, len(grams)), sum(x <= 3 for x in size) / n, share(".") / n,
+        ]
+
+    for slice_ in (1 << 22, 700, 40):  # whatever is read at a time
+        monkeypatch.setattr(classifier, "SLICE", slice_)
+        monkeypatch.setattr(words, "SLICE", slice_)
+        assert np.allclose(classifier.features(texts), [plain(t) for t in texts])
+
+
 def test_flat_trees_follow_the_rows_they_were_grown_on():
     r = np.random.default_rng(1)
     x = r.normal(size=(500, 4))
