@@ -19,6 +19,14 @@ MIN_WORDS = 5
 LG_K = 12
 #: Sketches of so few sites err by less than this share of the bound, or by one.
 MARGIN = 0.1
+#: Parts that the places of one line are dealt into where they meet what is known of the line.
+SALT = 16
+
+
+def _meet(lines: DataFrame, known: DataFrame, line: str, place: tuple[str, ...]) -> DataFrame:
+    """lines joined with known (one row per line): a line that stands on a third of all places goes to SALT tasks, not one."""
+    salted = lines.withColumn("__salt", F.pmod(F.xxhash64(*place), F.lit(SALT)).cast("int"))
+    return salted.join(known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [line, "__salt"]).drop("__salt")
 
 
 def spread_lines(lines: DataFrame, line: str = "line", site: str = "site", order: tuple[str, ...] = (), min_sites: int = MIN_SITES, lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
@@ -31,7 +39,7 @@ def spread_lines(lines: DataFrame, line: str = "line", site: str = "site", order
     slack = max(1.0, margin * min_sites)
     sketched = cut(sketched.where(F.col("n_sites") >= min_sites - slack))
     near = sketched.where(F.col("n_sites") <= min_sites + slack).select(line)
-    exact = lines.select(line, F.col(site).alias("__site")).join(near, line, "left_semi").distinct().groupBy(line).agg(F.count("*").alias("__exact"))
+    exact = _meet(lines, near, line, order).select(line, F.col(site).alias("__site")).distinct().groupBy(line).agg(F.count("*").alias("__exact"))
     settled = sketched.join(exact, line, "left").withColumn("n_sites", F.coalesce("__exact", "n_sites")).drop("__exact")
     return cut(settled.where(F.col("n_sites") >= min_sites))
 
@@ -53,7 +61,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sit
     # 128 bits tell lines apart: two of 10^12 differing lines share them with a probability of about 10^-15
     lines = cut(placed.select("__doc", "site", "pos", F.struct(F.xxhash64("__line").alias("a"), F.xxhash64(F.lit(1), "__line").alias("b")).alias("line")))
     spread = spread_lines(lines, "line", "site", ("__doc", "pos"), min_sites)
-    gone = lines.join(spread.select("line", "first"), "line").where(~(F.col("__doc").eqNullSafe(F.col("first.__doc")) & (F.col("pos") == F.col("first.pos"))))
+    gone = _meet(lines, spread.select("line", "first"), "line", ("__doc", "pos")).where(~(F.col("__doc").eqNullSafe(F.col("first.__doc")) & (F.col("pos") == F.col("first.pos"))))
     gone = gone.groupBy("__doc").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
     out = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__doc")), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     all_lines = F.split(F.col(text).cast("string"), "\n")

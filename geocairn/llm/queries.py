@@ -70,7 +70,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_line_dedup": r"""with d as (select doc_id, source, text, string_split(coalesce(text, ''), chr(10)) as ls from documents),
         p as (select doc_id, source, generate_subscripts(ls, 1) - 1 as pos, trim(unnest(ls), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as line from d),
-        l as (select * from p where len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5),
+        l as (select * from p where len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 1),
         b as (select line, min((doc_id, pos)) as first from l group by line having count(distinct coalesce('0' || source, '1')) >= 6),
         g as (select doc_id, list_sort(list(pos)) as removed from l join b using (line) where (doc_id, pos) <> first group by doc_id),
         o as (select d.doc_id, text, ls, coalesce(removed, []) as removed from d left join g on d.doc_id = g.doc_id),
