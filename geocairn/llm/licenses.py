@@ -3,7 +3,8 @@
 One automaton holds every phrase as words between single spaces; a text is brought to that form (A-Z lowered, everything else but
 digits, letters and characters outside ASCII taken as a gap), so a match is a place where the phrase's words stand one after the
 other. Where the tag phrase matches, the expression after the tag is parsed from the text as it stands: WITH binds tighter than AND,
-AND tighter than OR. Each task scans its own rows; nothing is shuffled.
+AND tighter than OR. Its identifiers and exceptions are looked up in a catalogue, which gives each licence one label whether it was found by
+tag or by notice; others are "unknown", and LicenseRef- identifiers "licenseref". Each task scans its own rows; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -35,8 +36,27 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 TAG = "spdx license identifier"
-#: How freely a licence lets a text be used, by the longest prefix of its label; WITH leaves its licence's grade.
-GRADES = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "unlicense": 1.0, "public-domain": 1.0, "cc0": 1.0, "cc-by": 0.9, "cc-by-sa": 0.6, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "all-rights-reserved": 0.0}
+#: Licence families: how freely each lets a text be used, its versions, and the forms its identifiers take ("{}" stands for the version).
+FAMILIES = {
+    "mit": (1.0, ("",), ("mit",)), "apache-2": (1.0, ("",), ("apache-2.0", "apache-2")), "apache": (1.0, ("1.0", "1.1"), ("apache-{}",)), "bsd": (1.0, ("1", "2", "3", "4"), ("bsd-{}-clause",)),
+    "0bsd": (1.0, ("",), ("0bsd",)), "isc": (1.0, ("",), ("isc",)), "bsl-1.0": (1.0, ("",), ("bsl-1.0",)), "zlib": (1.0, ("",), ("zlib",)), "unlicense": (1.0, ("",), ("unlicense",)), "mit-0": (1.0, ("",), ("mit-0",)),
+    "cc0": (1.0, ("1.0",), ("cc0-{}",)), "wtfpl": (1.0, ("",), ("wtfpl",)), "psf": (1.0, ("2.0",), ("psf-{}",)), "python": (1.0, ("2.0",), ("python-{}",)), "ncsa": (1.0, ("",), ("ncsa",)), "postgresql": (1.0, ("",), ("postgresql",)),
+    "afl": (1.0, ("1.1", "1.2", "2.0", "2.1", "3.0"), ("afl-{}",)), "artistic": (0.9, ("1.0", "2.0"), ("artistic-{}",)), "x11": (1.0, ("",), ("x11",)), "ofl": (0.9, ("1.0", "1.1"), ("ofl-{}",)), "blueoak": (1.0, ("1.0.0",), ("blueoak-{}",)),
+    "cc-by": (0.9, ("1.0", "2.0", "2.5", "3.0", "4.0"), ("cc-by-{}",)), "cc-by-sa": (0.6, ("1.0", "2.0", "2.5", "3.0", "4.0"), ("cc-by-sa-{}",)), "cc-by-nd": (0.2, ("1.0", "2.0", "2.5", "3.0", "4.0"), ("cc-by-nd-{}",)),
+    "cc-by-nc": (0.2, ("",), ("cc-by-nc", "cc-by-nc-1.0", "cc-by-nc-2.0", "cc-by-nc-2.5", "cc-by-nc-3.0", "cc-by-nc-4.0")), "cc-by-nc-sa": (0.2, ("1.0", "2.0", "2.5", "3.0", "4.0"), ("cc-by-nc-sa-{}",)), "cc-by-nc-nd": (0.1, ("1.0", "2.0", "2.5", "3.0", "4.0"), ("cc-by-nc-nd-{}",)),
+    "mpl": (0.7, ("1.0", "1.1", "2.0"), ("mpl-{}",)), "epl": (0.7, ("1.0", "2.0"), ("epl-{}",)), "cddl": (0.7, ("1.0", "1.1"), ("cddl-{}",)), "cpl": (0.7, ("1.0",), ("cpl-{}",)), "eupl": (0.6, ("1.0", "1.1", "1.2"), ("eupl-{}",)), "ms-pl": (0.9, ("",), ("ms-pl",)), "ms-rl": (0.7, ("",), ("ms-rl",)),
+    "lgpl": (0.6, ("2.0", "2.1", "3.0"), ("lgpl-{}", "lgpl-{}+", "lgpl-{}-only", "lgpl-{}-or-later")), "gpl": (0.4, ("1.0", "2.0", "3.0"), ("gpl-{}", "gpl-{}+", "gpl-{}-only", "gpl-{}-or-later")), "agpl": (0.3, ("1.0", "3.0"), ("agpl-{}", "agpl-{}+", "agpl-{}-only", "agpl-{}-or-later")),
+    "sspl": (0.2, ("1.0",), ("sspl-{}",)), "busl": (0.2, ("1.1",), ("busl-{}",)), "public-domain": (1.0, ("",), ("public-domain",)), "all-rights-reserved": (0.0, ("",), ("all-rights-reserved",)), "none": (0.0, ("",), ("none",)), "noassertion": (0.5, ("",), ("noassertion",)),
+}
+#: Identifier to label: the family's where it has no versions, else the identifier itself.
+LABELS = {form.format(v): label if versions == ("",) else form.format(v) for label, (_, versions, forms) in FAMILIES.items() for v in versions for form in forms}
+GRADES = {label: g for label, (g, _, _) in FAMILIES.items()} | {form.format(v): g for g, versions, forms in FAMILIES.values() for v in versions for form in forms}
+#: What may stand after WITH.
+EXCEPTIONS = {
+    "autoconf-exception-2.0", "autoconf-exception-3.0", "bison-exception-2.2", "bootloader-exception", "classpath-exception-2.0", "ecos-exception-2.0", "font-exception-2.0", "freertos-exception-2.0", "gcc-exception-2.0",
+    "gcc-exception-3.1", "libtool-exception", "linux-syscall-note", "llvm-exception", "openssl-exception", "openvpn-openssl-exception", "qt-gpl-exception-1.0", "qt-lgpl-exception-1.1", "u-boot-exception-2.0", "wxwindows-exception-3.1",
+}
+UNKNOWN, REFERENCE = "unknown", "licenseref"
 UNKNOWN_GRADE = 0.5
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string"
 
@@ -83,26 +103,32 @@ def parse(expression: str) -> list[str] | None:
     return best
 
 
+def label_of(identifier: str) -> str:
+    """The catalogue's label of an identifier (lower case); a later version of a licence, "+", is the licence itself."""
+    if identifier.startswith(("licenseref-", "documentref-")):
+        return REFERENCE
+    return LABELS.get(identifier) or LABELS.get(identifier.removesuffix("+")) or UNKNOWN
+
+
 def grade(label: str) -> float:
-    known = [k for k in GRADES if label == k or label.startswith((k + "-", k + "+"))]
-    return GRADES[max(known, key=len)] if known else UNKNOWN_GRADE
+    return GRADES.get(label, UNKNOWN_GRADE)
 
 
 def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
-    """The grade of an expression (OR: the better side, AND: the worse one) and its licences."""
-    stack: list[float] = []
-    labels, exceptions = [], []
+    """The grade of an expression (OR: the better side, AND: the worse one, WITH: that of its licence) and its licences' labels."""
+    stack: list[tuple[float, str]] = []
+    labels: list[str] = []
     for x in postfix:
         if x not in _BINDS:
-            stack.append(grade(x))
-            labels.append(x)
+            stack.append((grade(label_of(x)), x))
+            labels.append(label_of(x))
             continue
-        b, a = stack.pop(), stack.pop()
+        (b, exception), (a, licence) = stack.pop(), stack.pop()
         if x == "with":
-            exceptions.append(labels.pop())
-            labels[-1] += " with " + exceptions[-1]
-        stack.append({"or": max, "and": min, "with": lambda a, b: a}[x](a, b))
-    return stack[0], set(labels)
+            labels.pop()
+            labels[-1] += " with " + (exception if exception in EXCEPTIONS else UNKNOWN)
+        stack.append(({"or": max, "and": min, "with": lambda a, b: a}[x](a, b), licence))
+    return stack[0][0], set(labels)
 
 
 class Scanner:

@@ -327,6 +327,35 @@ def test_expressions_are_evaluated(spark):
     assert licenses.evaluate("mit gpl-2.0 and".split())[0] == 0.4
 
 
+def test_identifiers_are_those_of_the_catalogue(spark):
+    texts = [
+        "under the apache license version 2\nSPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: see LICENSE file", "spdx-license-identifier: BSD-3-Clause OR NOTALICENSE", "SPDX-License-Identifier: LicenseRef-own AND MIT",
+        "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "SPDX-License-Identifier: MIT WITH nothing-such", "SPDX-License-Identifier: CC-BY-NC-4.0", "SPDX-License-Identifier: MPL-2.0+",
+    ]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [
+        ("apache-2", 1.0), ("unknown", 0.5), ("bsd-3-clause,unknown", 1.0), ("licenseref,mit", 0.5), ("gpl-2.0-or-later with classpath-exception-2.0", 0.4), ("mit with unknown", 1.0), ("cc-by-nc", 0.2), ("mpl-2.0", 0.7),
+    ]
+    assert all(licenses.grade(x) == licenses.grade(y) for x, y in licenses.LABELS.items())
+
+
+def test_base_columns_are_those_of_a_plain_scan(spark, corpus):
+    """The whole result's base columns, on texts with phrases that overlap, break over lines and stand thousands of times."""
+    r = np.random.default_rng(4)
+    pool = ["under", "the", "mit", "license", "Apache", "LICENSE", "version", "2", "cc", "by", "nc", "x", "é", "under the MIT license", "cc-by-nc", "cc by nc"]
+    rows = [(d, t) for d, t, *_ in corpus if d is not None] + [(2000 + k, "".join(pool[i] + [" ", "\n", "-", ", "][j] for i, j in zip(r.integers(0, len(pool), 200 * (k + 1)), r.integers(0, 4, 200 * (k + 1))))) for k in range(30)]
+    rows = list(dict.fromkeys(rows))
+    got = {x["doc_id"]: x for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    lower = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    for d, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+        hits = [(i, label) for p, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        x = got[d]
+        assert (x["n_words"], x["n_base"], x["first_word"], x["last_word"]) == (len(w), len(hits), min((i for i, _ in hits), default=None), max((i for i, _ in hits), default=None))
+        assert x["base_labels"] == ",".join(sorted({label for _, label in hits})) and {label for _, label in hits} <= set(x["labels"].split(","))
+        assert 0 <= x["score"] <= 1
+
+
 # lines
 
 
