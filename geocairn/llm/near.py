@@ -3,8 +3,8 @@
 A document is its set of five-word shingles. Documents of equal sets form one class, of which only the first goes on. Each tree of the
 forest is a prefix trie of signatures: sequences of minhashes, those with a common prefix standing together when sorted. Matched prefixes are
 shortened from the full depth until a pair at the threshold shares one in some tree with the target probability. From there on they are
-shortened only for documents that may have more links than were found, which verified links show that few trees caught, and only
-while that finds something.
+shortened only for documents that may have more links than were found, as verified links of theirs show that few trees caught: until,
+by the number of such links, no more than a tenth of a link is expected to be missed.
 
 The sorted signatures of a trie node are walked once, with a bounded number of leaders: a document goes with a leader that is almost the
 same, else it becomes one, and is tied to each leader of which it may be near a follower. So a chain of weakly alike texts that meet
@@ -34,10 +34,10 @@ TREES, DEPTH, RECALL = 48, 12, 0.999
 MARKS, LEADERS = 256, 256
 #: Likeness of signatures at which a document goes with a leader.
 SAME = 0.97
-#: A link that no more trees than these caught shows that others may have been missed.
-FEW_TREES = 1
-#: Documents whose trie nodes (trees * 16 bytes each) are broadcast, at most.
-BROADCAST_DOCS = 10_000
+#: A link that no more trees than these caught shows that others may have been missed; so many may be, by expectation, in the end.
+FEW_TREES, MISSED = 1, 0.1
+#: Documents whose trie nodes (trees * 16 bytes each), and ids of documents, that are broadcast, at most.
+BROADCAST_DOCS, BROADCAST_IDS = 10_000, 250_000
 #: Classes in a block, and about in a unit of small groups; bytes of text likewise.
 BLOCK, BLOCK_BYTES = 1024, 1 << 25
 #: Shingles in this many of a unit's sets and more are counted by matrix products, others by their lists.
@@ -113,6 +113,17 @@ def trie_nodes(signed: DataFrame, shared: int, trees: int = TREES, depth: int =
     return signed.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), hashed)).alias("node"))
 
 
+def shared_nodes(nodes: DataFrame) -> DataFrame:
+    """The rows of nodes (id, node) whose node holds another id too."""
+    held = nodes.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
+    return nodes.join(held.select("node"), "node")
+
+
+def small(rows: DataFrame, n: int, bound: int) -> DataFrame:
+    """rows, to be broadcast where their number n is known to be within the bound."""
+    return F.broadcast(rows) if n <= bound else rows
+
+
 def ties(signed: DataFrame, nodes: DataFrame, threshold: float, trees: int = TREES, depth: int = DEPTH, leaders: int = LEADERS) -> DataFrame:
     """Pairs a, b of ids of a trie node (id, node) that may be near, each of them or through the node's leaders."""
     least = tie_level(threshold)
@@ -265,7 +276,7 @@ def verified(texts: DataFrame, groups: DataFrame, signed: DataFrame, threshold:
         F.when(alone, -1 - F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")).alias("key"), F.when(alone, F.lit(0)).otherwise(F.lit(1)).alias("kind"),
         F.col("component").alias("grp"), "id", "weight", "signature", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
     )
-    texts = texts.join(groups.select("id"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    texts = texts.join(small(groups.select("id"), total, BROADCAST_IDS), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     return units.join(texts, "id").groupBy("kind", "key", "low", "high").applyInArrow(_verify(threshold, shingle, trees, shared), "id long, links long, few long, root long")
 
 
@@ -287,35 +298,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
 
     shared = shared_depth(threshold, trees, depth, recall)
-    groups = results = roots = None
-    while True:
-        nodes = trie_nodes(first, shared, trees, depth)
-        if results is not None:  # only for documents some of whose links few trees caught
-            doubtful = results.where("few > 0").select("id")
-            theirs = trie_nodes(first.join(doubtful, "id"), shared, trees, depth).select("node").distinct()
-            nodes = cut(nodes.join(F.broadcast(theirs) if doubtful.count() <= BROADCAST_DOCS else theirs, "node", "left_semi"))
-        held = nodes.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
-        new = cut(ties(first, nodes.join(held.select("node"), "node"), threshold, trees, depth))
-        if results is None:
-            groups = touched = components(new)
-        else:
-            of = groups.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
-            new = cut(new.join(of, "a", "left").join(of.withColumnsRenamed({"a": "b", "of_a": "of_b"}), "b", "left").where("of_a is null or of_b is null or of_a != of_b").select("a", "b"))
-            if new.isEmpty():
-                break
+    nodes = trie_nodes(first, shared, trees, depth)
+    groups = components(ties(first, shared_nodes(nodes), threshold, trees, depth))
+    compared = cut(verified(texts, groups, first, threshold, shingle, shared, trees, block))
+    results, roots = cut(compared.groupBy("id").agg(F.sum("links").alias("links"), F.sum("few").alias("few"))), compared.select("id", "root")
+    doubtful = results.where("few > 0").select("id", "few")
+    n_doubtful, n_few = doubtful.agg(F.count("*"), F.coalesce(F.sum("few"), F.lit(0))).first()
+    shorter = shared
+    while n_few and shorter > 1 and (shorter == shared or n_few * (1 - threshold**shorter) ** trees > MISSED):
+        shorter -= 1
+    if shorter < shared:  # for the doubtful documents alone
+        theirs = trie_nodes(first.join(doubtful.select("id"), "id"), shorter, trees, depth).select("node").distinct()
+        nodes = cut(trie_nodes(first, shorter, trees, depth).join(small(theirs, n_doubtful, BROADCAST_DOCS), "node", "left_semi"))
+        new = ties(first, shared_nodes(nodes), threshold, trees, depth)
+        of = groups.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
+        new = cut(new.join(of, "a", "left").join(of.withColumnsRenamed({"a": "b", "of_a": "of_b"}), "b", "left").where("of_a is null or of_b is null or of_a != of_b").select("a", "b"))
+        if not new.isEmpty():  # groups that grew are compared anew
             groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new))
-            # groups that grew are compared anew
             grown = groups.join(new.select(F.col("a").alias("id")), "id", "left_semi").select("component").distinct()
-            touched = groups.join(grown, "component", "left_semi")
-        compared = cut(verified(texts, touched, first, threshold, shingle, shared, trees, block))
-        found, found_roots = compared.groupBy("id").agg(F.sum("links").alias("links"), F.sum("few").alias("few")), compared.select("id", "root")
-        if results is not None:
-            found = found.unionByName(results.join(found, "id", "left_anti").withColumn("few", F.lit(0).cast("long")))
-            found_roots = found_roots.unionByName(roots.join(touched.select("id"), "id", "left_anti"))
-        results, roots = cut(found), found_roots
-        shared -= 1
-        if shared < 1 or results.where("few > 0").isEmpty():
-            break
+            touched = cut(groups.join(grown, "component", "left_semi"))
+            compared = cut(verified(texts, touched, first, threshold, shingle, shorter, trees, block))
+            anew = compared.groupBy("id").agg(F.sum("links").alias("links"), F.sum("few").alias("few"))
+            results = cut(anew.unionByName(results.join(touched, "id", "left_anti")))
+            roots = compared.select("id", "root").unionByName(roots.join(touched.select("id"), "id", "left_anti"))
 
     found = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
     by_class = classes.join(results, "id", "left").join(found, "id", "left").select("set_a", "set_b", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("class_id"))
