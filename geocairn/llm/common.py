@@ -18,14 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared(df: DataFrame) -> str:
-    """A new place in spark.checkpoint.dir; only in a session of one machine, where that is unset, is a temporary folder taken for it."""
+    """A new place in spark.checkpoint.dir; only in a session of one machine, where that is unset, is a temporary folder taken for it.
+
+    All that an application keeps lies in one folder named after it, which can go when the application has ended."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp())
-    return f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+    return f"{context._jsc.sc().getCheckpointDir().get()}/kept-{context.applicationId}/{uuid.uuid4()}"
 
 
 def cut(df: DataFrame) -> DataFrame:

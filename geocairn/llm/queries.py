@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import classifier, common, hmm, licenses, lines, mixing, near, packing, quality, tokencount, vectors
+from . import classifier, common, hmm, licenses, lines, mixing, near, packing, pipeline, quality, tokencount, vectors
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +62,7 @@ QUERIES = {
     "op8_pack": op8_pack,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

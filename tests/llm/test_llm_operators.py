@@ -395,35 +395,41 @@ def test_counts_are_those_of_the_tokenizer(corpus):
 # mixing
 
 
-def test_mixing_is_systematic_sampling_in_order(spark, corpus):
+def plain_mix(rows, max_repeat=2):
+    """Copies and target by position of rows (id, size, source)."""
     import hashlib
 
-    rows = [(d, len(re.findall(WORD, t or "")), s) for d, t, _, s, _ in corpus if d is not None]
-    rows = list(dict.fromkeys(rows))
-    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, size long, source string").repartition(3), run_rows=4).collect()
-    sources = sorted({r[2] for r in rows if r[2] is not None}) + [None]
+    sources = [*sorted({r[2] for r in rows if r[2] is not None}), *([None] if any(r[2] is None for r in rows) else [])]
     size = {s: sum(r[1] for r in rows if r[2] == s) for s in sources}
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
     target, open_, left = {}, set(sources), 1.5 * sum(size.values())
     while open_:
         level = left / sum(weight[s] for s in open_)
-        over = {s for s in open_ if level * weight[s] > 2 * size[s]}
+        over = {s for s in open_ if level * weight[s] > max_repeat * size[s]}
         for s in over or open_:
-            target[s] = 2 * size[s] if over else level * weight[s]
+            target[s] = max_repeat * size[s] if over else level * weight[s]
             left -= target[s] if over else 0
         open_ = open_ - over if over else set()
 
     def size_class(n):
         return n if n < 16 else n.bit_length() * 8 + ((n >> (n.bit_length() - 4)) & 7)
 
-    want = {}
+    copies = {}
     for s in sources:
-        own = sorted((r for r in rows if r[2] == s), key=lambda r: (size_class(r[1]), hashlib.md5(str(r[0]).encode()).hexdigest()))
+        own = sorted((i for i, r in enumerate(rows) if r[2] == s), key=lambda i: (size_class(rows[i][1]), hashlib.md5(("" if rows[i][0] is None else str(rows[i][0])).encode()).hexdigest()))
         rate = target[s] / size[s] if size[s] else 0.0
         offset = int(hashlib.md5(f"7:{'1' if s is None else '0' + s}".encode()).hexdigest()[:8], 16) / 2**32
-        for k, r in enumerate(own, 1):
-            want[r[0]] = math.floor(rate * k + offset) - math.floor(rate * (k - 1) + offset)
-    assert {r["doc_id"]: r["copies"] for r in got} == want
+        for k, i in enumerate(own, 1):
+            copies[i] = math.floor(rate * k + offset) - math.floor(rate * (k - 1) + offset)
+    return copies, target
+
+
+def test_mixing_is_systematic_sampling_in_order(spark, corpus):
+    rows = [(d, len(re.findall(WORD, t or "")), s) for d, t, _, s, _ in corpus if d is not None]
+    rows = list(dict.fromkeys(rows))
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, size long, source string").repartition(3), run_rows=4).collect()
+    copies, target = plain_mix(rows)
+    assert {r["doc_id"]: r["copies"] for r in got} == {rows[i][0]: n for i, n in copies.items()}
     assert all(math.isclose(r["target"], target[r["source"]]) for r in got)
     emitted = mixing.emit_copies(spark.createDataFrame([(1, 0), (2, 2), (3, 1)], "a long, copies long")).collect()
     assert sorted(r["a"] for r in emitted) == [2, 2, 3]
