@@ -1,54 +1,5 @@
-"""The document pipeline: quality rules, line dedup, near-duplicate join, mixing, packing.
+"""The document pipeline: its stages in order, run(), and the SQL of its rows (None, as SQL has no form of the stages)."""
 
-Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with the columns it was given; the last returns packed
-pieces. What a stage decides takes effect: rejected documents go, boilerplate lines are out of the texts, one document of each
-near-duplicate class stays, and a document appears as often as the mix takes it.
-"""
+from geocairn.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from geocairn.llm import common, lines, mixing, near, packing, quality
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs)
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines out of the texts, n_chars brought up to date; a document of which nothing is left goes."""
-    out = lines.dedup_lines(docs, min_words=1).where((F.col("n_removed") == 0) | (common.n_words(F.col("text")) > 0))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*common.quoted(docs.columns))
-
-
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.keep_one(docs)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = docs.withColumn("__words", common.n_words(F.col("text")))
-    return mixing.emit_copies(mixing.mix_sources(sized, size="__words")).select(*common.quoted(docs.columns))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, packing.token_file("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("quality rules", quality_stage),
-    ("line dedup", line_stage),
-    ("n-gram Jaccard join", near_stage),
-    ("mixing sources", mixing_stage),
-    ("packing", packing_stage),
-]
-#: SQL has no form of the estimates, of set similarity over all pairs or of the packing; tests/llm hold each stage against a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
