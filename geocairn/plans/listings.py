@@ -33,9 +33,12 @@ def page_courses(t):
     return t("pages").select("page_id", F.array_sort(pages.course_links(F.col("html"), F.col("url"))).alias("courses"))
 
 
-@query("address_distances", "select p_partkey, case p_size % 4 when 0 then p_size || ' km' when 1 then case when p_size = 1 then '1.6 km' else null end when 2 then '21 km' else 'backyard' end as distance from part where p_size % 4 <> 1 or p_size = 1")
+@query(
+    "address_distances",
+    """select p_partkey, case p_size % 4 when 0 then p_size || ' km' when 1 then regexp_replace(round(p_size * 1.60934::decimal(7, 5), 1)::decimal(6, 1)::varchar, '\\.0$', '') || ' km' when 2 then '21 km' else 'backyard' end as distance from part""",
+)
 def address_distances(t):
-    """Distances in four kinds of addresses. The SQL answers for addresses in miles only where it is one mile."""
+    """Distances in four kinds of addresses."""
     size = F.col("p_size").cast("string")
     ways = F.array(F.concat(F.lit("https://a.se/race/"), size, F.lit("-km?x=1")), F.concat(F.lit("https://a.se/"), size, F.lit("mi/")), F.lit("https://a.se/half-marathon"), F.lit("https://a.se/Backyard-ultra/x"))
     return t("part").select("p_partkey", pages.address_distance(ways[(F.col("p_size") % 4).cast("int")]).alias("distance"))

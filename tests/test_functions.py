@@ -115,6 +115,20 @@ def test_date_ranges_types_countries(spark):
     assert one(spark, text.infer_race_type(F.lit("Swimrun Cup"), F.lit(None)), text.infer_race_type(F.lit("Duathlon run"))) == ("swimrun", None)
 
 
+@pytest.mark.parametrize(
+    "url,key",
+    [
+        ("https://www.facebook.com/profile.php?a=1&id=77&b=2", "facebook.com~profile.php?id=77"), ("https://facebook.com/my/club?x=1", "facebook.com~my~club"), ("https://instagram.com/club/", "instagram.com~club"),
+        ("https://runsignup.com/Race/Events/MN/City/Run", "runsignup.com~Race~MN~City~Run"), ("https://runsignup.com/Race/a/b/c/d", "runsignup.com~Race~b~c~d"), ("https://ultrasignup.com/register.aspx?did=5", "ultrasignup.com~register.aspx?did=5"),
+        ("https://raceroster.com/events/2026/1/name/more", "raceroster.com~events~2026~1~name"), ("https://sites.google.com/view/race/home", "sites.google.com~view~race"), ("https://sites.google.com/race/home", "sites.google.com~race"),
+        ("https://docs.google.com/forms/d/abc/edit", "docs.google.com~forms~d~abc"), ("https://mittlopp.se/x/anm/12/y", "mittlopp.se~anm~12"), ("https://mittlopp.se/x/y", "mittlopp.se~x"), ("https://betrail.run/en/race/trail/2026", "betrail.run~race~trail"),
+        ("https://itra.run/Races/RaceDetails/9/x", "itra.run~Races~RaceDetails~9"), ("https://nestelop.no/a/b", "nestelop.no~a~b"), ("https://klikego.com/en/inscription/r/1", "klikego.com~inscription~r"),
+    ],
+)
+def test_organizers_on_shared_hosts(spark, url, key):
+    assert one(spark, text.organizer_key(F.lit(url)))[0] == key
+
+
 def test_names_ids_urls(spark):
     assert one(spark, text.sanitize_name(F.lit("10 Sätila Trail 85km"), F.lit(42.0)), text.sanitize_name(F.lit("50 km Trail"), F.lit(50.0)), text.sanitize_name(F.lit("Run 43.0"), F.lit(None).cast("double"))) == ("Sätila Trail", "50 km Trail", "Run")
     assert one(spark, text.organizer_key(F.lit("https://www.facebook.com/my/club/")), text.organizer_key(F.lit("https://WWW.Example.org/a")), text.organizer_key(F.lit("https://bit.ly/a/b"))) == ("facebook.com~my~club", "example.org", "bit.ly~a")
