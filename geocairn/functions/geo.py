@@ -138,11 +138,18 @@ def _block(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
 
 
 def tiles_of_box(box: Column, zoom: int) -> Column:
-    return _block(tile_x(box["min_lng"], zoom), tile_x(box["max_lng"], zoom), tile_y(box["max_lat"], zoom), tile_y(box["min_lat"], zoom))
+    """Tiles that a box meets. A box that goes beyond 180 degrees on either side meets the columns of the other side too."""
+    n = 1 << zoom
+    column = lambda lng: F.floor((lng + 180.0) / 360.0 * n)
+    first = F.when(box["min_lng"] < -180, column(box["min_lng"])).otherwise(F.least(F.lit(n - 1), column(box["min_lng"])))
+    last = F.when(box["max_lng"] > 180, column(box["max_lng"])).otherwise(F.least(F.lit(n - 1), column(box["max_lng"])))
+    columns = F.array_distinct(F.transform(F.sequence(first, F.greatest(first, F.least(last, first + (n - 1)))), lambda x: F.pmod(x, F.lit(n)).cast("int")))
+    rows = F.sequence(tile_y(box["max_lat"], zoom), tile_y(box["min_lat"], zoom))
+    return F.flatten(F.transform(columns, lambda x: F.transform(rows, lambda y: F.struct(x.alias("x"), y.cast("int").alias("y")))))
 
 
 def tiles_in_radius(lng: Column, lat: Column, metres: float, zoom: int) -> Column:
-    """Tiles that cover the circle's box."""
+    """Tiles that cover the circle's box, on both sides of the 180th meridian where it is crossed."""
     here = F.struct(lng.alias("min_lng"), lat.alias("min_lat"), lng.alias("max_lng"), lat.alias("max_lat"))
     return tiles_of_box(padded(here, metres), zoom)
 

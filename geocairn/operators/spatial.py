@@ -38,11 +38,17 @@ def points_near_routes(points: DataFrame, routes: DataFrame, metres: float = 50.
 
 
 def points_within(points: DataFrame, lng: float, lat: float, metres: float) -> DataFrame:
-    """points (lng, lat, ...) with metres, those within the radius of one place; a box filter that a scan can use goes first."""
+    """points (lng, lat, ...) with metres, those within the radius of one place; a box filter that a scan can use goes first, as two boxes
+    where it crosses the 180th meridian, and by latitude alone about a pole."""
     centre = geo.haversine_m(F.col("lng"), F.col("lat"), F.lit(lng), F.lit(lat))
     dlat = metres / (geo.POLAR_CIRCUMFERENCE_M / 360)
-    dlng = dlat / max(1e-6, math.cos(math.radians(min(89.9, abs(lat) + dlat))))
-    box = F.col("lat").between(lat - dlat, lat + dlat) & F.col("lng").between(lng - dlng, lng + dlng)
+    polar = abs(lat) + dlat >= 89.9
+    dlng = 180.0 if polar else dlat / math.cos(math.radians(abs(lat) + dlat))
+    west, east = lng - dlng, lng + dlng
+    box = F.col("lat").between(lat - dlat, lat + dlat)
+    if dlng < 180:
+        at = F.col("lng").between(west, east)
+        box &= at | (F.col("lng") >= west + 360) if west < -180 else at | (F.col("lng") <= east - 360) if east > 180 else at
     return points.where(box).withColumn("metres", centre).where(F.col("metres") <= metres)
 
 

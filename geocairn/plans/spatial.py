@@ -43,6 +43,30 @@ def points_in_radius(t):
     return spatial.points_within(_customers(t), 11.0, 60.0, 40_000).select("point_id", F.round("metres", 3).alias("metres"))
 
 
+def _far(key: str):
+    """lng and lat of a place within a degree of the 180th meridian, on either side of it."""
+    lng, lat = place(key)
+    turned = F.pmod(lng + (180 - 11 + 180), F.lit(360.0)) - 180
+    return [turned.alias("lng"), lat]
+
+
+def _far_sql(k: str) -> str:
+    return f"(({lng_sql(k)} + 349) % 360 - 180)"
+
+
+@query("radius_across_meridian", f"select c_custkey as point_id, round({metres_sql('179.999::DOUBLE', '60.0::DOUBLE', _far_sql('c_custkey'), _C[1])}, 3) as metres from customer where {metres_sql('179.999::DOUBLE', '60.0::DOUBLE', _far_sql('c_custkey'), _C[1])} <= 40000")
+def radius_across_meridian(t):
+    return spatial.points_within(t("customer").select(F.col("c_custkey").alias("point_id"), *_far("c_custkey")), 179.999, 60.0, 40_000).select("point_id", F.round("metres", 3).alias("metres"))
+
+
+@query("semi_join_across_meridian", f"select distinct user_id as route_id, s_suppkey as point_id from events, supplier where user_id is not null and {metres_sql(_far_sql('event_id'), _E[1], _far_sql('s_suppkey'), _S[1])} <= {NEAR_M}")
+def semi_join_across_meridian(t):
+    points = t("supplier").select(F.col("s_suppkey").alias("point_id"), *_far("s_suppkey"))
+    vertices = t("events").where("user_id is not null").select(F.col("user_id").alias("route_id"), *_far("event_id"))
+    lines = vertices.groupBy("route_id").agg(F.collect_list(geo.point(F.col("lng"), F.col("lat"))).alias("line"))
+    return spatial.points_near_routes(points, lines, NEAR_M)
+
+
 @query("points_in_polygons", f"select c_custkey as point_id, polygon_id from customer, ({BOX_SQL}) where {_C[0]} between x0 and x0 + 0.35::DOUBLE and {_C[1]} between y0 and y0 + 0.35::DOUBLE")
 def points_in_polygons(t):
     return spatial.points_in_polygons(_customers(t), boxes(t), 11)

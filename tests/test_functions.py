@@ -187,3 +187,15 @@ def test_feeds_replace_reprocessed_activities(spark, tmp_path):
         feeds.keep_facts(stream, lambda b: b.where("feature_id is not null"), str(tmp_path / "facts"), str(tmp_path / "c")).awaitTermination()
     got = feeds.fact_sets(feeds.current_facts(spark, str(tmp_path / "facts"))).collect()
     assert [(r["feature_id"], r["activity_ids"]) for r in got] == [(5, [11])]
+
+
+def test_circles_cross_the_180th_meridian(spark):
+    at = lambda x, y: geo.point(F.lit(x), F.lit(y))
+    tiles = one(spark, geo.tiles_in_radius(F.lit(179.9999), F.lit(10.0), 500.0, 8), geo.tiles_in_radius(F.lit(-179.9999), F.lit(10.0), 500.0, 8), geo.tiles_in_radius(F.lit(0.0), F.lit(10.0), 5e7, 2))
+    assert {t["x"] for t in tiles[0]} == {t["x"] for t in tiles[1]} == {0, 255} and {t["x"] for t in tiles[2]} == {0, 1, 2, 3}
+    points = spark.createDataFrame([(1, 179.99, 0.0), (2, -179.99, 0.0), (3, 170.0, 0.0), (4, 180.0, 0.0)], "point_id long, lng double, lat double")
+    for lng in (179.99, -179.99, 180.0):
+        assert {r["point_id"] for r in spatial.points_within(points, lng, 0.0, 2500.0).collect()} == {1, 2, 4}
+    routes = spark.range(1).select(F.lit(7).alias("route_id"), F.array(at(179.9999, 0.0)).alias("line"))
+    assert {r["point_id"] for r in spatial.points_near_routes(points, routes, 2500.0).collect()} == {1, 2, 4}
+    assert {r["point_id"] for r in spatial.points_within(spark.createDataFrame([(1, 20.0, 89.99), (2, -160.0, 89.99), (3, 0.0, 80.0)], "point_id long, lng double, lat double"), 0.0, 90.0, 5000.0).collect()} == {1, 2}
