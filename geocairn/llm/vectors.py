@@ -52,13 +52,19 @@ def fit_cells(sample: DataFrame, cells: int, steps: int = STEPS) -> np.ndarray:
             total = np.zeros_like(centres)
             for batch in batches:
                 x = _unit_rows(batch.column(0))
-                np.add.at(total, (x @ centres.T).argmax(axis=1), x)
-            cell, at = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(at), pa.array(total[cell, at])], names=["cell", "at", "value"])
+                for a in range(0, len(x), 512):
+                    np.add.at(total, (x[a : a + 512] @ centres.T).argmax(axis=1), x[a : a + 512])
+            cell = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array([v.tobytes() for v in total[cell]], pa.binary())], names=["cell", "total"])
 
-        rows = sample.select("vector").mapInArrow(sums, "cell long, at long, value double").groupBy("cell", "at").agg(F.sum("value").alias("value")).toArrow()
+        def add(part: pa.Table) -> pa.Table:
+            return pa.table({"cell": part.column("cell")[:1], "total": pa.array([sum(np.frombuffer(v, float) for v in part.column("total").to_pylist()).tobytes()], pa.binary())})
+
+        # one row a cell and task, and one a cell to the driver, which holds the centroids anyway
+        rows = sample.select("vector").mapInArrow(sums, "cell long, total binary").groupBy("cell").applyInArrow(add, "cell long, total binary").toArrow()
         moved = np.zeros_like(centres)
-        moved[rows.column("cell").to_numpy(), rows.column("at").to_numpy()] = rows.column("value").to_numpy()
+        for cell, total in zip(rows.column("cell").to_pylist(), rows.column("total").to_pylist(), strict=True):
+            moved[cell] = np.frombuffer(total, float)
         size = np.sqrt((moved * moved).sum(axis=1, keepdims=True))
         centres = np.where(size > 1e-9, moved / np.maximum(size, 1e-9), centres)
     return centres
@@ -69,7 +75,6 @@ def place(classes: DataFrame, centres: np.ndarray, threshold: float) -> DataFram
 
     Pairs of two cells are compared in the later one. Vectors of another length than the centroids' have a cell for each length."""
     sine = np.sqrt(1 - threshold * threshold) if threshold > 0 else 1.0
-    apart = np.sqrt(np.maximum(0, ((centres[:, None] - centres[None]) ** 2).sum(axis=2))) if len(centres) <= 1024 else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +88,7 @@ def place(classes: DataFrame, centres: np.ndarray, threshold: float) -> DataFram
                     near = _unit_rows(column.take(pa.array(usual))) @ centres.T
                     own = near.argmax(axis=1)
                     gap = near[np.arange(len(own)), own][:, None] - near
-                    wide = apart[own] if apart is not None else np.sqrt(np.maximum(0, 2 - 2 * centres[own] @ centres.T)) + 1e-7
+                    wide = np.sqrt(np.maximum(0, 2 - 2 * centres[own] @ centres.T)) + 1e-7
                     reach = (gap <= sine * wide + 1e-9) & (np.arange(len(centres))[None, :] > own[:, None])
                     cell[usual] = own
                     for k, i in enumerate(usual):
