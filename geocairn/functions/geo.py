@@ -64,6 +64,11 @@ def bounds(line: Column) -> Column:
     return F.struct(F.array_min(lng).alias("min_lng"), F.array_min(lat).alias("min_lat"), F.array_max(lng).alias("max_lng"), F.array_max(lat).alias("max_lat"))
 
 
+def vertex_count(rings: Column) -> Column:
+    """Vertices of all lines or rings together."""
+    return F.aggregate(rings, F.lit(0).cast("long"), lambda n, r: n + F.size(r))
+
+
 def contains(box: Column, lng: Column, lat: Column) -> Column:
     return lng.between(box["min_lng"], box["max_lng"]) & lat.between(box["min_lat"], box["max_lat"])
 

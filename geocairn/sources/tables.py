@@ -62,11 +62,14 @@ def tracks(files: DataFrame, gpx: str = "value") -> DataFrame:
 
 
 def overpass_elements(files: DataFrame, value: str = "value") -> DataFrame:
-    """One row per element of map-query answers (JSON texts): type, id, lng, lat, tags, nodes as a line."""
-    schema = "elements array<struct<type:string,id:bigint,lat:double,lon:double,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>"
+    """One row per element of map-query answers (JSON texts): type, id, lng, lat, tags, nodes as a line, and outers, the lines of a relation's
+    outer members."""
+    path = "array<struct<lat:double,lon:double>>"
+    schema = f"elements array<struct<type:string,id:bigint,lat:double,lon:double,tags:map<string,string>,geometry:{path},members:array<struct<type:string,ref:bigint,role:string,geometry:{path}>>>>"
     e = files.select(F.explode(F.from_json(value, schema)["elements"]).alias("e"))
-    line = F.transform("e.geometry", lambda p: geo.point(p["lon"], p["lat"]))
-    return e.select("e.type", "e.id", F.col("e.lon").alias("lng"), F.col("e.lat").alias("lat"), "e.tags", line.alias("line"))
+    line = lambda nodes: F.transform(F.filter(nodes, lambda p: p.isNotNull()), lambda p: geo.point(p["lon"], p["lat"]))
+    outers = F.transform(F.filter("e.members", lambda m: (m["role"] == "outer") & m["geometry"].isNotNull()), lambda m: line(m["geometry"]))
+    return e.select("e.type", "e.id", F.col("e.lon").alias("lng"), F.col("e.lat").alias("lat"), "e.tags", line(F.col("e.geometry")).alias("line"), outers.alias("outers"))
 
 
 def geojson_features(rows: DataFrame, id_column: str, kind: str, rings: str, properties: list[str]) -> DataFrame:
