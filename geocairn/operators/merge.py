@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key that stands first in `order`; all columns stay."""
-    return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rank = 1").drop("__rank")
+def latest_per_key(rows: DataFrame, keys: list[str], by: list[str | Column]) -> DataFrame:
+    """The row of each key that is greatest by `by` (nulls least); all columns stay. Folded before the shuffle, so a hot key is no large task."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*by)).alias("__r")).select("__r.*")
 
 
-def distinct_by(rows: DataFrame, key: Column, prefer: list[Column]) -> DataFrame:
-    """One row per key, the preferred one: stored rows before pointers to them, say."""
-    return latest_per_key(rows.withColumn("__key", key), ["__key"], prefer).drop("__key")
+def distinct_by(rows: DataFrame, key: Column, prefer: list[str | Column]) -> DataFrame:
+    """One row per key, the one that is least by `prefer`: stored rows (false) before pointers to them (true), say."""
+    return rows.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*rows.columns), F.struct(*prefer)).alias("__r")).select("__r.*")
 
 
 def last_write_wins(current: DataFrame, incoming: DataFrame, keys: list[str], updated: str = "updated_at", deleted: str = "deleted", value: str = "value") -> DataFrame:
@@ -59,15 +59,17 @@ def resolve_redirects(keys: DataFrame, redirects: DataFrame, depth: int = 8) ->
     """keys (key) with target, where the chain of redirects (source, target; without case) from key ends, at most so many steps on; a
     chain that runs into a circle stops before the repeated key. Sources redirect once: of several targets the least counts.
 
-    Steps are joins, so nothing is walked row by row; a cycle is seen by the keys passed, which are at most `depth`.
+    The chains are followed among the redirects alone, step by step as joins, and the keys meet their ends once; a circle is seen by the
+    keys passed, which are at most `depth`.
     """
     to = redirects.groupBy(F.lower("source").alias("__s")).agg(F.min("target").alias("__t"))
-    out = keys.select("key", F.col("key").alias("target"), F.array(F.lower("key")).alias("__seen"))
+    ends = to.select(F.col("__s").alias("__key"), F.col("__s").alias("__end"), F.array("__s").alias("__seen"), F.lit(False).alias("__gone"))
     for _ in range(depth):
-        met = out.join(to, F.lower("target") == F.col("__s"), "left")
+        met = ends.join(to, F.lower("__end") == F.col("__s"), "left")
         go = F.col("__t").isNotNull() & ~F.coalesce(F.array_contains("__seen", F.lower("__t")), F.lit(False))
-        out = met.select("key", F.when(go, F.col("__t")).otherwise(F.col("target")).alias("target"), F.when(go, F.array_append("__seen", F.lower("__t"))).otherwise(F.col("__seen")).alias("__seen"))
-    return out.select("key", "target")
+        ends = met.select("__key", F.when(go, F.col("__t")).otherwise(F.col("__end")).alias("__end"), F.when(go, F.array_append("__seen", F.lower("__t"))).otherwise(F.col("__seen")).alias("__seen"), (F.col("__gone") | go).alias("__gone"))
+    moved = ends.where("__gone").select("__key", "__end")
+    return keys.join(moved, F.lower("key") == F.col("__key"), "left").select("key", F.coalesce("__end", "key").alias("target"))
 
 
 def first_by_priority(rows: DataFrame, keys: list[str], fields: list[str], priority: Column) -> DataFrame:

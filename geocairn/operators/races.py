@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .graph import components
 
 #: Distances that are about the same differ by less than this factor, so they lie in neighbouring steps of its logarithm.
 STEP = -math.log(1 - text.ROUGH)
@@ -62,33 +62,17 @@ def merge_discoveries(rows: DataFrame, fields: list[str], priority: Column) -> D
 
 def same_event_groups(rows: DataFrame) -> DataFrame:
     """rows (id, organizer, name, km as an array) with group, the least id of those that are one event: same organizer and name and a
-    distance about the same, directly or through others. A name's rows are few (editions of one race), so they are grouped in one task."""
-
-    def groups(part: pd.DataFrame) -> pd.DataFrame:
-        root = list(range(len(part)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        near = lambda a, b: a == b or (max(a, b) > 0 and abs(a - b) < text.ROUGH * max(a, b))
-        flat = sorted((float(v), i) for i, km in enumerate(part["km"]) if km is not None for v in km)
-        for k, (v, i) in enumerate(flat):
-            for w, j in flat[k + 1 :]:
-                if not near(v, w):
-                    break
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-        ids = part["id"].to_numpy()
-        tops: dict[int, int] = {}
-        for i in range(len(part)):
-            tops[find(i)] = min(tops.get(find(i), ids[i]), ids[i])
-        return pd.DataFrame({"id": ids, "group": [tops[find(i)] for i in range(len(part))]})
-
-    keyed = rows.withColumn("__name", F.lower(F.trim("name")))
-    found = keyed.where("__name is not null").select("organizer", "__name", "id", "km").groupBy("organizer", "__name").applyInPandas(groups, "id long, group long")
-    return rows.join(found, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    distance about the same, directly or through others.
+
+    In order of distance, what is about the same as a later distance is about the same as all between, so each distance is tied to the one before it only;
+    the ties of all names are closed together.
+    """
+    each = rows.withColumn("__name", F.lower(F.trim("name"))).where("__name is not null").select("id", "organizer", "__name", F.explode("km").alias("__km")).where("__km is not null")
+    order = Window.partitionBy("organizer", "__name").orderBy("__km", "id")
+    before = F.lag(F.struct("__km", "id")).over(order)
+    tied = each.withColumn("__before", before).where(text.roughly_equal(F.col("__before.__km"), F.col("__km")))
+    found = components(tied.select(F.col("id").alias("a"), F.col("__before.id").alias("b")))
+    return rows.join(found, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
 
 
 def slots(rows: DataFrame, tie: str) -> DataFrame:
@@ -100,13 +84,17 @@ def slots(rows: DataFrame, tie: str) -> DataFrame:
 def assign_distances(routes: DataFrame, verbose: DataFrame) -> DataFrame:
     """organizer, route_id and distances: each listed distance of verbose (organizer, distances as text) goes to the organizer's nearest route
     (organizer, route_id, km) within 25 %, else to the nearest of all; of equally near ones the least route_id. Those within 25 % come first,
-    each in the list's order. Both sides of an organizer are a page's routes and its list, so a join by organizer stays small.
+    each in the list's order. Routes are folded to one a distance, and a listed distance looks at the nearest below and above it only.
     """
     parts = verbose.select("organizer", F.posexplode(F.transform(text.distance_tokens(F.col("distances")), text.distance_km)).alias("pos", "listed")).where("listed is not null")
-    off = F.abs(F.col("km") - F.col("listed"))
-    far = ~F.coalesce(text.within_share(F.col("listed"), F.col("km"), 0.25), F.lit(False))
+    at = routes.where("km is not null").groupBy("organizer", F.col("km").alias("at")).agg(F.min("route_id").alias("route_id"))
+    side = F.when(F.col("route_id").isNotNull(), F.struct("at", "route_id"))
+    both = at.withColumn("pos", F.lit(None).cast("int")).unionByName(parts.select("organizer", F.col("listed").alias("at"), F.lit(None).cast(at.schema["route_id"].dataType).alias("route_id"), "pos"))
+    order = Window.partitionBy("organizer").orderBy("at")
+    both = both.withColumns({"below": F.last(side, True).over(order), "above": F.first(side, True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("at")).alias("off"), F.col(f"{c}.route_id").alias("route_id"), (~F.coalesce(text.within_share(F.col("at"), F.col(f"{c}.at"), 0.25), F.lit(False))).alias("far")))
     # the nearest route is within 25 % if any is
-    best = parts.join(routes.where("km is not null"), "organizer").groupBy("organizer", "pos", "listed").agg(F.min(F.struct(off.alias("off"), "route_id", far.alias("far"))).alias("b"))
+    best = both.where("pos is not null").select("organizer", "pos", F.col("at").alias("listed"), F.array_min(F.array_compact(F.array(near("below"), near("above")))).alias("b")).where("b is not null")
     given = F.array_sort(F.collect_list(F.struct(F.col("b.far").alias("far"), "pos", text.format_km(F.col("listed")).alias("label"))))
     lists = best.groupBy("organizer", F.col("b.route_id").alias("route_id")).agg(F.transform(given, lambda g: g["label"]).alias("distances"))
     return routes.select("organizer", "route_id").join(lists, ["organizer", "route_id"], "left").withColumn("distances", F.coalesce("distances", F.array().cast("array<string>")))

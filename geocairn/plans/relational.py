@@ -144,13 +144,13 @@ def last_write_wins(t):
 
 @query("latest_per_user", "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
 def latest_per_user(t):
-    return merge.latest_per_key(t("events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+    return merge.latest_per_key(t("events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("preferred_rows", "select p_brand, p_partkey from part qualify row_number() over (partition by p_brand order by p_size > 25, p_partkey) = 1")
 def preferred_rows(t):
     """Stored rows before pointers to them."""
-    return merge.distinct_by(t("part"), F.col("p_brand"), [(F.col("p_size") > 25).asc(), F.asc("p_partkey")]).select("p_brand", "p_partkey")
+    return merge.distinct_by(t("part"), F.col("p_brand"), [F.col("p_size") > 25, "p_partkey"]).select("p_brand", "p_partkey")
 
 
 @query("retracted_facts", f"""select user_id, feature_id, len(list_filter(activity_ids, lambda x: x % 7 <> 0 or x >= 700)) as n_left, case when n_left = 0 then 'delete' else 'patch' end as action from ({VISITS_SQL})
