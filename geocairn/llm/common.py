@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, new_folder
+
+__all__ = ["cut", "fold", "keep", "n_words", "new_folder", "quoted", "table"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,28 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared(df: DataFrame) -> str:
-    """A new place in spark.checkpoint.dir; only in a session of one machine, where that is unset, is a temporary folder taken for it.
-
-    All that an application keeps lies in one folder named after it, which can go when the application has ended."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp())
-    return f"{context._jsc.sc().getCheckpointDir().get()}/kept-{context.applicationId}/{uuid.uuid4()}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the cluster's shared folder, so that a lost executor loses no work."""
-    _shared(df)
-    return df.checkpoint(eager=True)
-
-
 def keep(df: DataFrame) -> DataFrame:
     """df written as Parquet to the cluster's shared folder and read back, where later reads need only some of its columns."""
-    folder = _shared(df)
+    folder = new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -56,8 +37,3 @@ def fold(doc_id: Column, of: int = 5) -> Column:
 def quoted(names) -> list[str]:
     """Column names as select() takes them, whatever characters they hold."""
     return ["`" + x.replace("`", "``") + "`" for x in names]
-
-
-def tasks_for(df: DataFrame, at_least: int = 1) -> int:
-    """Partitions for a keyed exchange: the session's setting."""
-    return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
