@@ -37,6 +37,18 @@ def points_near_routes(points: DataFrame, routes: DataFrame, metres: float = 50.
     return (joined if where is None else joined.where(where)).select("route_id", "point_id").distinct()
 
 
+def points_near_routes_by(strategy: str, points: DataFrame, routes: DataFrame, metres: float = 50.0) -> DataFrame:
+    """points_near_routes() by "tiles", or for few points and routes by "box" (each route's box, grown by the distance, against the points) or "all" (each
+    route against all points): both compare every route with every point, which the tile join never does."""
+    if strategy == "tiles":
+        return points_near_routes(points, routes, metres)
+    some = points.where("lng is not null and lat is not null")
+    boxed = routes.withColumn("__box", geo.padded(geo.bounds(F.col("line")), metres))
+    test = {"all": F.lit(True), "box": geo.contains(F.col("__box"), F.col("lng"), F.col("lat"))}[strategy]
+    near = F.exists("line", lambda p: (F.abs(p["lat"] - F.col("lat")) <= metres / 111_000.0) & (geo.haversine_m(p["lng"], p["lat"], F.col("lng"), F.col("lat")) <= metres))
+    return boxed.join(some, test).where(near).select("route_id", "point_id").distinct()
+
+
 def points_within(points: DataFrame, lng: float, lat: float, metres: float) -> DataFrame:
     """points (lng, lat, ...) with metres, those within the radius of one place; a box filter that a scan can use goes first, as two boxes
     where it crosses the 180th meridian, and by latitude alone about a pole."""

@@ -199,3 +199,11 @@ def test_circles_cross_the_180th_meridian(spark):
     routes = spark.range(1).select(F.lit(7).alias("route_id"), F.array(at(179.9999, 0.0)).alias("line"))
     assert {r["point_id"] for r in spatial.points_near_routes(points, routes, 2500.0).collect()} == {1, 2, 4}
     assert {r["point_id"] for r in spatial.points_within(spark.createDataFrame([(1, 20.0, 89.99), (2, -160.0, 89.99), (3, 0.0, 80.0)], "point_id long, lng double, lat double"), 0.0, 90.0, 5000.0).collect()} == {1, 2}
+
+
+def test_strategies_find_the_same_pairs(spark):
+    r = np.random.default_rng(2)
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(r.uniform(0, 0.2, (60, 2)))] + [(99, None, 0.0)], "point_id long, lng double, lat double")
+    routes = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in r.uniform(0.05 * k, 0.05 * k + 0.05, (20, 2))]) for k in range(4)] + [(9, None)], "route_id long, line array<struct<lng:double,lat:double>>")
+    found = {s: {tuple(x) for x in spatial.points_near_routes_by(s, points, routes, 900.0).collect()} for s in ("tiles", "box", "all")}
+    assert found["tiles"] == found["box"] == found["all"] and len(found["all"]) > 5
