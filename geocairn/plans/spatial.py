@@ -190,3 +190,40 @@ def way_zoom(t):
     seen = F.when(F.col("p_size") % 3 == 0, "bad").otherwise("good")
     sac = F.when(F.col("p_size") % 4 == 0, "difficult_alpine_hiking").when(F.col("p_size") % 4 == 1, "alpine_hiking")
     return t("part").select("p_partkey", text.least_zoom(kinds[(F.col("p_partkey") % 9).cast("int")], F.lit(None).cast("string"), seen, sac).alias("zoom"))
+
+
+@query(
+    "lines_near_lines",
+    f"""select distinct a.user_id as a_id, b.o_custkey as b_id from events a, orders b where a.user_id < 10 and b.o_custkey < 30 and {metres_sql(*_E, lng_sql('o_orderkey'), lat_sql('o_orderkey'))} <= 800""",
+)
+def lines_near_lines(t):
+    """Routes of some users against the places of some customers' orders."""
+    o = t("orders").where("o_custkey < 30").select(F.col("o_custkey").alias("b_id"), *place("o_orderkey"))
+    b = o.groupBy("b_id").agg(F.collect_list(geo.point(F.col("lng"), F.col("lat"))).alias("line"))
+    return spatial.lines_within(routes(t).where("route_id < 10").withColumnRenamed("route_id", "a_id"), b, 800.0)
+
+
+@query(
+    "sampled_routes",
+    f"""with v as (select user_id as route_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, count(*) over (partition by user_id) as n, {_E[0]} as x, {_E[1]} as y from events where user_id is not null)
+    select route_id, count(*) filter (i % 7 = 0 or i = n - 1) as n_sampled, any_value(n) >= 2 as is_track, count(distinct ({tile_x_sql('x', 9)}, {tile_y_sql('y', 9)})) as n_tiles from v group by 1""",
+)
+def sampled_routes(t):
+    """Every seventh vertex and the last, whether a line is a track, and its tiles."""
+    line = F.col("line")
+    return routes(t).select("route_id", F.size(geo.every(line, 7)).cast("long").alias("n_sampled"), geo.valid_track(line).isNotNull().alias("is_track"), F.size(geo.tiles_of_line(line, 9)).cast("long").alias("n_tiles"))
+
+
+_TRIANGLE = "select n_nationkey as polygon_id, 10.0::DOUBLE + (n_nationkey % 5) * 0.4::DOUBLE as x0, 59.0::DOUBLE + (n_nationkey // 5) * 0.4::DOUBLE as y0 from nation"
+
+
+@query(
+    "points_in_triangles",
+    f"select c_custkey as point_id, polygon_id from customer, ({_TRIANGLE}) where {_C[1]} >= y0 and {_C[0]} >= x0 and ({_C[0]} - x0) / 0.35::DOUBLE + ({_C[1]} - y0) / 0.3::DOUBLE < 1",
+)
+def points_in_triangles(t):
+    """Polygons whose edges are no lines of the grid."""
+    n = F.col("n_nationkey")
+    x, y = 10.0 + (n % 5) * 0.4, 59.0 + F.floor(n / 5) * 0.4
+    ring = F.array(geo.point(x, y), geo.point(x + 0.35, y), geo.point(x, y + 0.3), geo.point(x, y))
+    return spatial.points_in_polygons(_customers(t), t("nation").select(n.alias("polygon_id"), F.array(ring).alias("rings")), 11)

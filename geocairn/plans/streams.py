@@ -42,11 +42,28 @@ def streamed_facts(spark: SparkSession, sf_dir: str):
     return sets.select("user_id", "feature_id", F.size("activity_ids").cast("long").alias("n"), F.array_min("activity_ids").alias("first_id"))
 
 
-QUERIES |= {"streamed_state": streamed_state, "streamed_work_lists": streamed_work_lists, "streamed_facts": streamed_facts}
+def streamed_windows(spark: SparkSession, sf_dir: str):
+    """Counts of the hours that the watermark has closed."""
+    folder = shared.new_folder(spark)
+    counts = feeds.minute_counts(_feed(spark, sf_dir), "ts", ["event_type"], 60)
+    feeds.append_to(counts.select(F.col("window.start").alias("start"), "event_type", "n"), folder, shared.new_folder(spark)).awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n long").parquet(folder)
+
+
+def streamed_marks(spark: SparkSession, sf_dir: str):
+    """Users and kinds of events, each marked once."""
+    folder = shared.new_folder(spark)
+    feeds.append_to(feeds.mark_once(_feed(spark, sf_dir), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"), folder, shared.new_folder(spark)).awaitTermination()
+    return spark.read.schema("user_id long, event_type string").parquet(folder)
+
+
+QUERIES |= {"streamed_state": streamed_state, "streamed_work_lists": streamed_work_lists, "streamed_facts": streamed_facts, "streamed_windows": streamed_windows, "streamed_marks": streamed_marks}
 ORACLES |= {
     "streamed_state": """select user_id, event_type, max(ts) as updated_at, arg_max(event_type = 'error', (ts, event_id)) as deleted, arg_max(case when event_type <> 'error' then event_id::varchar end, (ts, event_id)) as value
         from events where user_id is not null group by 1, 2""",
     "streamed_work_lists": """select event_id, 'peaks' as list from events where event_type not in ('error', 'signup') union all select event_id, 'areas' from events where event_type <> 'error'
         union all select event_id, 'paths' from events where event_type in ('view', 'click') and value < 50""",
     "streamed_facts": "select user_id, event_type as feature_id, count(distinct event_id) as n, min(event_id) as first_id from events where value >= 50 group by 1, 2",
+    "streamed_windows": """select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by 1, 2 having start + interval '1 hour' <= (select max(ts) - interval '10 minutes' from events)""",
+    "streamed_marks": "select distinct user_id, event_type from events",
 }

@@ -68,11 +68,21 @@ def keep_log(stream: DataFrame, folder: str, checkpoint: str, good: Column | Non
     return _start(stream, each, checkpoint)
 
 
+def _timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
+    """The stream with a watermark; times without a zone are taken in the session's."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def mark_once(stream: DataFrame, keys: list[str], ts: str, late: str = "1 day") -> DataFrame:
     """The first row of each key, for counters that may count a stage once; state is kept until the watermark passes."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return _timed(stream, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 def minute_counts(stream: DataFrame, ts: str, by: list[str], minutes: int = 1, late: str = "10 minutes") -> DataFrame:
     """Tumbling counts by key; rows later than the watermark are left out."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, f"{minutes} minutes"), *by).agg(F.count("*").alias("n"))
+    return _timed(stream, ts, late).groupBy(F.window(ts, f"{minutes} minutes"), *by).agg(F.count("*").alias("n"))
+
+
+def append_to(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """What a stream with a watermark gives off, as Parquet: rows that nothing later can change, each once, a repeated batch not twice."""
+    return stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
