@@ -105,7 +105,16 @@ def area_metrics(t):
     return out.select("polygon_id", "n_peaks", "tallest", "tallest_elevation", of("BUILDING"), of("MACHINERY"))
 
 
-@query("polygon_tiles")
+_WEST, _NORTH = "(x / 2048.0::DOUBLE * 360 - 180)", "degrees(atan(sinh(pi() * (1 - 2 * {} / 2048.0::DOUBLE))))"
+
+
+@query(
+    "polygon_tiles",
+    f"""with b as (select polygon_id, x0, y0, x0 + 0.35::DOUBLE as x1, y0 + 0.35::DOUBLE as y1 from ({BOX_SQL})),
+    t as (select *, unnest(range({tile_x_sql("x0", 11)}, {tile_x_sql("x1", 11)} + 1)) as x from b), u as (select *, unnest(range({tile_y_sql("y1", 11)}, {tile_y_sql("y0", 11)} + 1)) as y from t),
+    c as (select *, {_WEST} as w, {_WEST} + 360 / 2048.0::DOUBLE as e, {_NORTH.format("y")} as n, {_NORTH.format("(y + 1)")} as s from u)
+    select polygon_id, x::integer as x, y::integer as y, not (w > x0 and e < x1 and s > y0 and n < y1) as border from c""",
+)
 def polygon_tiles(t):
     return spatial.polygon_tiles(boxes(t), 11).select("polygon_id", "x", "y", "border")
 

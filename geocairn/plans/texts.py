@@ -57,7 +57,10 @@ def page_text(t):
     return t("pages").select("page_id", text.visible_text(F.col("html")).alias("body"))
 
 
-@query("page_titles")
+@query(
+    "page_titles",
+    r"""select page_id, trim(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&')) as title from pages""",
+)
 def page_titles(t):
     return t("pages").select("page_id", kernels.unescape(text.strip_tags(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))).alias("title"))
 
@@ -75,7 +78,13 @@ def nearest_discovery(t):
     return races.best_discovery(r, d)
 
 
-@query("distance_clusters")
+@query(
+    "distance_clusters",
+    f"""with recursive d as (select c_nationkey as organizer, km, row_number() over (partition by c_nationkey order by km) as i from (select distinct c_nationkey, {_KM} as km from customer)),
+    f as (select organizer, km, i, km as canon from d where i = 1 union all
+        select d.organizer, d.km, d.i, case when d.km = f.canon or abs(d.km - f.canon) < 0.09::DOUBLE * greatest(d.km, f.canon) then f.canon else d.km end from f join d on d.organizer = f.organizer and d.i = f.i + 1)
+    select organizer, km, canon from f""",
+)
 def distance_clusters(t):
     c = t("customer").select(F.col("c_nationkey").alias("organizer"), _km().alias("km"))
     return races.canonical_distances(c, "organizer", "km")
