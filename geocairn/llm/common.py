@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, new_folder
 
-__all__ = ["cut", "fold", "keep", "n_words", "new_folder", "quoted", "table"]
+__all__ = ["cut", "discard", "fold", "keep", "n_words", "new_folder", "quoted", "stored", "table"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,11 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the cluster's shared folder and read back, where later reads need only some of its columns."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet to the cluster's shared folder and read back, and its folder there."""
     folder = new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the cluster's shared folder and read back, where later reads need only some of its columns."""
+    return stored(df)[0]
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of stored() that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def n_words(text: Column) -> Column:

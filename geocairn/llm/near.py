@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep, quoted
+from .common import cut, discard, keep, quoted, stored
 from .graph import components, local_roots
 from .words import BASE, mix, shingle_sets
 
@@ -114,9 +114,9 @@ def trie_nodes(signed: DataFrame, shared: int, trees: int = TREES, depth: int =
 
 
 def shared_nodes(nodes: DataFrame) -> DataFrame:
-    """The rows of nodes (id, node) whose node holds another id too."""
+    """The rows of nodes (id, node) whose node holds another id too, with the node's least id."""
     held = nodes.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
-    return nodes.join(held.select("node"), "node")
+    return nodes.join(held.select("node", "least"), "node")
 
 
 def small(rows: DataFrame, n: int, bound: int) -> DataFrame:
@@ -125,7 +125,9 @@ def small(rows: DataFrame, n: int, bound: int) -> DataFrame:
 
 
 def ties(signed: DataFrame, nodes: DataFrame, threshold: float, trees: int = TREES, depth: int = DEPTH, leaders: int = LEADERS) -> DataFrame:
-    """Pairs a, b of ids of a trie node (id, node) that may be near, each of them or through the node's leaders."""
+    """Pairs a, b of ids of a trie node (id, node, least: the node's least id) that may be near, each of them or through the node's leaders.
+
+    The least id is the node's first leader, so that a group of near copies is tied to few ids whatever the trees."""
     least = tie_level(threshold)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +159,8 @@ def ties(signed: DataFrame, nodes: DataFrame, threshold: float, trees: int = TRE
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     tree = F.col("node").bitwiseAND(F.lit((1 << (trees - 1).bit_length()) - 1)).cast("int")
-    held = nodes.join(signed.select("id", "signature"), "id").select("node", "id", F.substring("signature", 1, MARKS).alias("marks"), F.substring(F.col("signature"), tree * depth + 1, F.lit(depth)).alias("sequence"))
-    in_order = held.repartition("node").sortWithinPartitions("node", "sequence", "id").select("node", "id", "marks")
+    held = nodes.join(signed.select("id", "signature"), "id").select("node", "id", (F.col("id") != F.col("least")).alias("later"), F.substring("signature", 1, MARKS).alias("marks"), F.substring(F.col("signature"), tree * depth + 1, F.lit(depth)).alias("sequence"))
+    in_order = held.repartition("node").sortWithinPartitions("node", "later", "sequence", "id").select("node", "id", "marks")
     return in_order.mapInArrow(walk, "a long, b long").where("a != b").distinct()
 
 
@@ -289,12 +291,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one id share one document's links, so each of them is kept if one is; an empty table gives an empty result; other columns are
     ignored.
     """
-    signed = keep(signatures(docs, doc_id, text, shingle, trees, depth))
-    filled = signed.where("n > 0")
-    classes = cut(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")))
+    whole, folder = stored(signatures(docs, doc_id, text, shingle, trees, depth))
+    signed = cut(whole.drop("signature", "bytes"))
+    filled = whole.where("n > 0")
+    classes = cut(signed.where("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")))
     of_id = classes.groupBy("id").agg(F.max("weight").alias("weight"))
     first = filled.select(F.col("doc_id").alias("id"), "signature", "bytes").join(of_id, "id").groupBy("id")
     first = keep(first.agg(F.max("weight").alias("weight"), F.max_by("signature", F.struct("bytes", "signature")).alias("signature"), F.max("bytes").alias("bytes")))
+    discard(docs.sparkSession, folder)  # from here on only the first of each class has a signature
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
 
     shared = shared_depth(threshold, trees, depth, recall)
@@ -324,7 +328,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     found = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
     by_class = classes.join(results, "id", "left").join(found, "id", "left").select("set_a", "set_b", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("class_id"))
-    out = signed.drop("signature", "bytes").join(by_class, ["set_a", "set_b"], "left")
+    out = signed.join(by_class, ["set_a", "set_b"], "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", F.coalesce(F.col("weight") - 1 + F.col("links"), F.lit(0)).alias("n_links"), class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"), F.col("n").alias("n_shingles"))
 

@@ -121,7 +121,7 @@ def test_weak_chains_stay_apart(spark):
     parts = [prose(5000 + k, 40, 9000) for k in range(61)]
     rows = [(k, parts[k] + " " + parts[k + 1], "en", "s", 0) for k in range(60)] + [(100 + k, parts[60] + f" end{k}", "en", "s", 0) for k in range(5)]
     signed = near.signatures(spark.createDataFrame(rows, SCHEMA)).select(F.col("doc_id").alias("id"), "signature")
-    everyone = signed.select("id", F.lit(64).cast("long").alias("node"))  # one node that holds all of them
+    everyone = signed.select("id", F.lit(64).cast("long").alias("node"), F.lit(0).cast("long").alias("least"))  # one node that holds all of them
     groups = near.components(near.ties(signed, everyone, 0.8))
     assert sorted(x["id"] for x in groups.collect()) == [100, 101, 102, 103, 104]
     few = near.components(near.ties(signed, everyone, 0.8, leaders=4))  # beyond the leaders the rest is one group, none is lost
@@ -139,7 +139,7 @@ def test_leaders_lose_no_near_pair(spark):
     rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
     sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
     signed = near.signatures(spark.createDataFrame(rows, SCHEMA)).select(F.col("doc_id").alias("id"), "signature")
-    everyone = signed.select("id", F.lit(64).cast("long").alias("node"))
+    everyone = signed.select("id", F.lit(64).cast("long").alias("node"), F.lit(0).cast("long").alias("least"))
     component = {x["id"]: x["component"] for x in near.components(near.ties(signed, everyone, 0.8)).collect()}
     links = [(i, j) for i in range(150) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(links) > 150 and all(component[i] == component[j] for i, j in links)
