@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, n_words, quoted
+from .common import WORD, cut, quoted
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
