@@ -40,9 +40,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def crc_of(doc_id: Column) -> Column:
+    """crc32 of the id as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
 def fold(doc_id: Column, of: int = 5) -> Column:
     """crc32 of the id as text, modulo `of`; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
+    return crc_of(doc_id) % of
 
 
 def quoted(names) -> list[str]:

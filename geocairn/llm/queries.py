@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, common, hmm, licenses, lines, mixing, near, packing, pipeline, quality, tokencount, vectors
+from . import classifier, common, hmm, licenses, lines, mixing, near, negatives, packing, pages, pipeline, quality, runs, tokencount, vectors
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, vec_id = common.table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    moved = rows.withColumn("label", F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine_negatives(moved, vec_id % 100 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", runs.repeated_tail(F.col("text"), common.crc_of(F.col("doc_id"))).alias("text"))
+    found = runs.periodic_runs(planted).withColumn("r", runs.longest_run(F.col("runs")))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    exponent = F.floor(1000 * F.col("r.length") / F.col("r.period")).cast("long")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "r.start", "r.length", "r.period", exponent.alias("exponent_milli"),
+        F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_text(common.table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_hmm_scores": op2_hmm_scores,
@@ -62,6 +84,9 @@ QUERIES = {
     "op8_pack": op8_pack,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_page_text": op13_page_text,
     "pipeline": pipeline.run,
 }
 
@@ -90,6 +115,13 @@ ORACLES: dict[str, str] = {
         m as (select id, min(c) as c from r group by id), l as (select a as id, count(*) as l from e group by a)
         select d.doc_id, coalesce(l, 0) as n_links, least(d.doc_id, coalesce(c, d.doc_id)) as class_id, c is null or c >= d.doc_id as kept, coalesce(n.n, 0) as n_shingles
         from d left join n using (doc_id) left join m on m.id = d.doc_id left join l on l.id = d.doc_id""",
+    "op11_hard_negatives": """with r as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+            where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        u as (select id, min({'label': label, 'v': v}) as b from r group by id),
+        s as materialized (select x.id as anchor_id, y.id as other, x.b.label = y.b.label as same, list_inner_product(x.b.v, y.b.v)::bigint as score from u x join u y on x.id <> y.id and len(x.b.v) = len(y.b.v) where x.id % 100 = 0),
+        p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+        select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other)::integer as rank, other as negative_id, positive_score, score as negative_score
+        from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score qualify rank <= 10""",
     "op7_mix_sources": r"""with d as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, case when source is null then '1' else '0' || source end as k, md5(coalesce(doc_id::varchar, '')) as md from documents),
         t as (select k, sum(size)::bigint as source_size from d group by k),
         w as (select *, ([5, 2, 1])[(row_number() over (order by k) - 1) % 3 + 1]::double as w, source_size * 2::double as cap from t),

@@ -12,7 +12,7 @@ def test_short_lines_on_many_sites_go(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["removed"] for r in QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {0: []} | {i: [1, 3] for i in range(1, 8)} | {20 + i: [] for i in range(10)}
-    texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).collect()}
+    texts = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, str(tmp_path)).collect()}
     assert texts[0] == rows[0][1] and texts[7] == "own 7\n " and texts[25] == rows[13][1]
 
 
