@@ -208,10 +208,15 @@ def longest_run(runs: Column) -> Column:
 def repeated_tail(text: Column, seed: Column, min_repeats: int = 3) -> Column:
     """The text with its words from a place on replaced by the first of them, over and over, for every tenth seed: place and period follow
     from the seed. A planted run for measuring what finds runs."""
+    g = F.floor(seed / 10)
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"))
-    n, g = F.size(words).cast("long"), F.floor(seed / 10)
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (min_repeats + F.pmod(g, F.lit(8))))
-    place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p))
-    tiled = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i).cast("int"))), " ")
-    return F.when((F.pmod(seed, F.lit(10)) == 0) & (n > 0), tiled).otherwise(text)
+
+    def tiled(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (min_repeats + F.pmod(g, F.lit(8))))
+        place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, place(i).cast("int"))), " "))
+
+    # the words are bound once: within the inner function they would be read out of the text again for each word
+    return F.when(F.pmod(seed, F.lit(10)) == 0, F.coalesce(F.get(F.transform(F.array(words), tiled), 0), text)).otherwise(text)

@@ -150,7 +150,7 @@ def plain_row(doc_id, text):
 
 def test_run_rows_are_those_of_a_plain_version(spark, tmp_path):
     rows = [(i, " ".join(words_of(i))) for i in range(300)]
-    rows += [(None, "a b " * 20), (None, None), (7, None), (8, ""), (9, " \n\t"), rows[3], rows[3], (400, "é x ß\x0b" * 30), (401, "x\ty\r\nz  x y z x y z x y z x y"), (402, "one " * 5000), (403, " ".join(f"u{i % 977}" for i in range(30_000)))]
+    rows += [(None, "a b " * 20), (None, None), (7, None), (8, ""), (9, " \n\t"), rows[3], rows[3], (400, "é x ß\x0b" * 30), (401, "x\ty\r\nz  x y z x y z x y z x y"), (402, "one " * 700), (403, " ".join(f"u{i % 97}" for i in range(3000)))]
     spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("start", "length", "period", "runs", "collapsed", "n_words")}).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["op12_periodic_runs"](spark, str(tmp_path))
     assert got.columns == "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256 n_words".split()
