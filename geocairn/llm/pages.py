@@ -28,6 +28,8 @@ NEIGHBOURS = 3
 COPY = 0.8
 #: Pages of one content that meet what is known of it in one task; rows of removals that are small enough to be sent to all tasks.
 SALT_ROWS, SENT = 4096, 100_000
+#: Places of the order that one task aligns.
+RUN_PLACES = 256
 LINE = "struct<hash:bigint,size:int,block:int>"
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -299,22 +301,35 @@ def parsed_pages(pages: DataFrame, page_id: str, url: str, html: str) -> DataFra
     return rows.mapInArrow(task, f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, blocks array<string>, host string, path string, lines array<{LINE}>, a long, b long")
 
 
-def neighbours(variants: DataFrame, reach: int = NEIGHBOURS) -> DataFrame:
-    """variants (host, path, a, b, lines) with others: the hashes of the lines of those up to so many places before and after it among its host's, in order of path.
+def by_neighbours(variants: DataFrame, task, schema: str, kinds: pa.Schema, reach: int = NEIGHBOURS) -> DataFrame:
+    """What task(row, others) gives for each of variants (host, path, a, b, n, lines), a row of the schema's columns (kinds: the same for Arrow) or
+    None: others are the hashes of the lines of those up to so many places before and after it among its host's, in order of path.
 
-    The order is one over all hosts, by ranges, so that a host of very many pages is many tasks; places are numbered by each range's
-    count, and neighbours are found by their numbers.
+    The order is one over all hosts, by ranges, so that a host of very many pages is many tasks; places are numbered by each range's count. Runs of
+    places, with those just before and after, go to one task, so that lines move once.
     """
     spread = cut(variants.repartitionByRange("host", "path", "a", "b").sortWithinPartitions("host", "path", "a", "b"))
     numbered = spread.withColumn("__id", F.monotonically_increasing_id()).withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id")
-    counts = cut(numbered.groupBy("__part").agg(F.count("*").alias("__n")))  # one row a range
+    counts = numbered.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a range
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    placed = cut(numbered.join(before, "__part").withColumn("place", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before"))
-    steps = F.array(*[F.lit(k) for k in range(-reach, reach + 1) if k])
-    told = placed.select(F.col("host").alias("__host"), F.col("lines.hash").alias("__other"), "place", F.explode(steps).alias("__step"))
-    told = told.select("__host", "__other", "__step", (F.col("place") + F.col("__step")).alias("place"))
-    met = placed.select("host", "place").join(told, "place").where(F.col("host") == F.col("__host")).groupBy("place").agg(F.array_sort(F.collect_list(F.struct("__step", "__other"))).alias("__met"))
-    return placed.join(met, "place", "left").withColumn("others", F.coalesce(F.col("__met.__other"), F.array().cast("array<array<bigint>>"))).drop("__met", "place")
+    placed = numbered.join(before, "__part").withColumn("place", F.col("__before") + F.col("__at"))
+    runs = F.array_distinct(F.array(*[F.floor((F.col("place") + k) / RUN_PLACES) for k in (-reach, 0, reach)]))
+    dealt = placed.select("a", "b", "n", "host", "lines", "place", F.explode(runs).alias("run"))
+
+    def unit(data: pa.Table) -> pa.Table:
+        data = data.sort_by("place")
+        run, places, hosts, lines = data.column("run")[0].as_py(), data.column("place").to_pylist(), data.column("host").to_pylist(), data.column("lines")
+        hashes = [x.values.field("hash").to_pylist() for x in lines]
+        out = []
+        for i, place in enumerate(places):
+            if place // RUN_PLACES == run:
+                others = [hashes[j] for j in range(max(0, i - reach), min(len(places), i + reach + 1)) if j != i and hosts[j] == hosts[i]]
+                row = task({"a": data.column("a")[i].as_py(), "b": data.column("b")[i].as_py(), "n": data.column("n")[i].as_py(), "lines": lines[i].as_py()}, others)
+                if row is not None:
+                    out.append(row)
+        return pa.Table.from_pylist(out, kinds)
+
+    return dealt.groupBy("run").applyInArrow(unit, schema)
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", reach: int = NEIGHBOURS, copy: float = COPY) -> DataFrame:
@@ -330,17 +345,14 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     parsed = keep(parsed_pages(pages, page_id, url, html))
     variants = parsed.where("host is not null").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("host").alias("host"), F.first("path").alias("path"), F.first("lines").alias("lines"))
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = []
-            for lines, others in zip(batch.column(3), batch.column(4), strict=True):
-                own = [(x["hash"], x["size"], x["block"]) for x in lines.as_py()]
-                shared = shared_lines(own, others.as_py(), copy)[1] if any(x[2] >= 0 for x in own) else []
-                gone.append([own[i][2] for i in shared if own[i][2] >= 0])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(gone, pa.list_(pa.int32()))], names=["a", "b", "n", "gone"])
-
-    found = neighbours(variants, reach).select("a", "b", "n", "lines", "others").mapInArrow(align, "a long, b long, n long, gone array<int>")
-    found = cut(found.where(F.size("gone") > 0))
+    def align(row: dict, others: list[list[int]]) -> dict | None:
+        own = [(x["hash"], x["size"], x["block"]) for x in row["lines"]]
+        shared = shared_lines(own, others, copy)[1]
+        gone = [own[i][2] for i in shared if own[i][2] >= 0]
+        return {"a": row["a"], "b": row["b"], "n": row["n"], "gone": gone} if gone else None
+
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("gone", pa.list_(pa.int32()))])
+    found = cut(by_neighbours(variants, align, "a long, b long, n long, gone array<int>", kinds, reach))
     size = found.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
     if not size:
         out = parsed.withColumn("kept", F.col("blocks"))
