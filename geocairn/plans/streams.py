@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merge
 from ..sources import shared
-from ..streaming import feeds
+from ..streaming import feeds, status
 from .registry import ORACLES, QUERIES
 
 
@@ -57,8 +57,22 @@ def streamed_marks(spark: SparkSession, sf_dir: str):
     return spark.read.schema("user_id long, event_type string").parquet(folder)
 
 
-QUERIES |= {"streamed_state": streamed_state, "streamed_work_lists": streamed_work_lists, "streamed_facts": streamed_facts, "streamed_windows": streamed_windows, "streamed_marks": streamed_marks}
+def streamed_status(spark: SparkSession, sf_dir: str):
+    """Activities by user, stage and feature, and by status, after a feed of finds and deletes."""
+    folder, kind = shared.new_folder(spark), F.col("event_type")
+    stage = F.when(kind == "view", "peaks").when(kind == "click", "paths").when(kind == "purchase", "areas")
+    rows = _feed(spark, sf_dir).select("user_id", (F.col("event_id") % 11).alias("activity_id"), stage.alias("kind"), F.floor(F.col("value") / 25).cast("string").alias("feature_id"), F.col("ts").alias("at"), (kind == "error").alias("deleted"))
+    status.keep_status(rows, folder, shared.new_folder(spark)).awaitTermination()
+    return status.counters(spark, folder, ["user_id", "what", "name"])
+
+
+QUERIES |= {"streamed_status": streamed_status, "streamed_state": streamed_state, "streamed_work_lists": streamed_work_lists, "streamed_facts": streamed_facts, "streamed_windows": streamed_windows, "streamed_marks": streamed_marks}
 ORACLES |= {
+    "streamed_status": """with e as (select user_id, event_id % 11 as activity_id, case event_type when 'view' then 'peaks' when 'click' then 'paths' when 'purchase' then 'areas' end as kind, (floor(value / 25)::bigint)::varchar as name, ts, event_type = 'error' as deleted from events where user_id is not null),
+        a as (select user_id, activity_id, max(case when deleted then ts end) as gone from e group by all),
+        f as (select user_id, activity_id, kind, name from e join a using (user_id, activity_id) where kind is not null group by all having max(ts) > coalesce(any_value(gone), timestamp '1900-01-01')),
+        s as (select a.user_id, a.activity_id, case when count(distinct kind) = 3 then 'done' when count(kind) > 0 then 'partial' when any_value(gone) is not null then 'deleted' else 'queued' end as name from a left join f using (user_id, activity_id) group by all)
+        select user_id, kind as what, name, count(*) as n from f group by all union all select user_id, 'status', name, count(*) from s group by all""",
     "streamed_state": """select user_id, event_type, max(ts) as updated_at, arg_max(event_type = 'error', (ts, event_id)) as deleted, arg_max(case when event_type <> 'error' then event_id::varchar end, (ts, event_id)) as value
         from events where user_id is not null group by 1, 2""",
     "streamed_work_lists": """select event_id, 'peaks' as list from events where event_type not in ('error', 'signup') union all select event_id, 'areas' from events where event_type <> 'error'
