@@ -234,3 +234,18 @@ def valid_track(line: Column) -> Column:
     """The points within the world's degrees; null when fewer than two are left."""
     kept = F.filter(line, lambda p: p["lng"].between(-180.0, 180.0) & p["lat"].between(-90.0, 90.0))
     return F.when(F.size(kept) >= 2, kept)
+
+
+def _spread_bits(v: Column) -> Column:
+    """Bit i of the number as bit 2i: its binary digits read in base 4."""
+    return F.conv(F.bin(v.cast("long")), 4, 10).cast("long")
+
+
+def tile_key(x: Column, y: Column) -> Column:
+    """One number for a tile, the bits of x and y in turn: the tiles below a parent are one range of it, and near tiles have near keys mostly."""
+    return _spread_bits(x) + 2 * _spread_bits(y)
+
+
+def parent_key(key: Column, levels: int) -> Column:
+    """The key of the tile so many zooms up."""
+    return F.shiftright(key, 2 * levels)
