@@ -63,6 +63,42 @@ def douglas_peucker(points: np.ndarray, epsilon: float) -> np.ndarray:
     return keep
 
 
+def vertex_ranks(points: np.ndarray) -> np.ndarray:
+    """Of each vertex the tolerance from which douglas_peucker() leaves it out: it stays for any less. The ends always stay."""
+    n = len(points)
+    rank = np.full(n, np.inf)
+    spans = [(0, n - 1, np.inf)]
+    while spans:
+        a, b, above = spans.pop()
+        if b - a < 2:
+            continue
+        p, q = points[a], points[b]
+        d = q - p
+        inner = points[a + 1 : b]
+        size = float(d @ d)
+        t = np.clip((inner - p) @ d / size, 0, 1) if size > 0 else np.zeros(len(inner))
+        off = np.hypot(*(inner - p - t[:, None] * d).T)
+        k = a + 1 + int(off.argmax())
+        rank[k] = above = min(above, float(off[k - a - 1]))
+        spans += [(a, k, above), (k, b, above)]
+    return rank
+
+
+def tolerance_for(ranks: np.ndarray, sizes: np.ndarray, limit: float) -> float:
+    """The least tolerance at which the sizes of the vertices that stay sum to no more than the limit: -1 where all may stay, and the greatest at which
+    any goes where even the ends are too large."""
+    order = np.argsort(-ranks, kind="stable")
+    sums, r = np.cumsum(sizes[order]), ranks[order]
+    fits = np.flatnonzero(sums <= limit)
+    if len(fits) == len(r):
+        return -1.0
+    finite = r[np.isfinite(r)]
+    if not len(finite):
+        return -1.0
+    first_out = r[len(fits)]  # it goes, and so do all of its rank
+    return float(first_out if np.isfinite(first_out) else finite[0])
+
+
 def clip(points: np.ndarray, box: tuple[float, float, float, float]) -> list[np.ndarray]:
     """Pieces of the line inside the box (min_lng, min_lat, max_lng, max_lat), by clipping each segment to the box's four half-planes."""
     low, high = np.array(box[:2]), np.array(box[2:])
@@ -192,3 +228,23 @@ def track(text: str) -> tuple[str | None, list[dict] | None]:
 def read_track(gpx: pd.Series) -> pd.DataFrame:
     found = [(None, None) if t is None else track(t) for t in gpx]
     return pd.DataFrame({"name": pd.Series([n for n, _ in found], dtype=object), "line": pd.Series([x for _, x in found], dtype=object)})
+
+
+def _ring_ranks(points: np.ndarray) -> np.ndarray:
+    rank = vertex_ranks(points)
+    if len(points) >= 4 and np.array_equal(points[0], points[-1]):
+        rank[np.argsort(-rank, kind="stable")[:4]] = np.inf  # a ring keeps three vertices
+    return rank
+
+
+@F.arrow_udf(ArrayType(ArrayType(DoubleType())))
+def ring_ranks(rings: pa.Array) -> pa.Array:
+    """vertex_ranks() of each of a feature's lines or rings; closed rings always keep the two inner vertices that go last. Null for null."""
+    return pa.array([None if x is None else [_ring_ranks(_points(r)) for r in x] for x in rings.to_pylist()], pa.list_(pa.list_(pa.float64())))
+
+
+@F.arrow_udf(DoubleType())
+def fitting_tolerance(ranks: pa.Array, sizes: pa.Array, limit: pa.Array) -> pa.Array:
+    """tolerance_for() the ranks and sizes of a feature's vertices; null where any is null."""
+    rows = zip(ranks.to_pylist(), sizes.to_pylist(), limit.to_pylist(), strict=True)
+    return pa.array([None if r is None or s is None or n is None else tolerance_for(np.array(r, float), np.array(s, float), n) for r, s, n in rows], pa.float64())

@@ -128,7 +128,7 @@ def _day(year: Column, month: Column, day: Column) -> Column:
 
 def iso_date(text: Column, as_of: Column) -> Column:
     """yyyy-MM-dd of a date in many forms: ISO, compact, day.month.year, month/day/year, or a day and a month's name in several languages,
-    beside times and week days; without a year the next such day from as_of on. Null where it can't be read.
+    beside times and week days; without a year the next such day from as_of on. Null where it can't be read, as with years of two digits between marks.
 
     A text is read by what its parts are, not by its form: numbers of four digits are years, shorter ones days, words are looked up as
     months; only where no word names a month does the mark between the numbers tell their order."""
@@ -146,9 +146,11 @@ def _read_date(low: Column, as_of: Column) -> Column:
         coming = _let(_day(F.year(as_of), month, day), lambda d: F.when(d >= as_of, d).otherwise(_day(F.year(as_of) + 1, month, day)))
         by_name = F.when(year.isNotNull(), _day(year, month, day)).otherwise(coming)
         a, b, c = (F.get(n, F.lit(k)) for k in range(3))
-        by_mark = F.when(F.length(a) == 4, _day(a, b, c)).when(s["mark"] == ".", _day(c, b, a)).when(s["mark"] == "/", _day(c, a, b))
+        by_mark = F.when(F.length(a) == 4, _day(a, b, c)).when(F.length(c) == 4, F.when(s["mark"] == ".", _day(c, b, a)).when(s["mark"] == "/", _day(c, a, b)))
         return F.date_format(F.when(month.isNotNull(), by_name).otherwise(by_mark), "yyyy-MM-dd")
 
+    # of days that stand before a month's name the last counts
+    low = F.regexp_replace(low, r"\b\d{1,2}\.?\s*[-–]\s*(\d{1,2}\.?\s+\p{L})", "$1")
     return _let(F.struct(_numbers(low).alias("n"), _month_number(low).alias("month"), F.regexp_extract(low, r"\d([./-])\d", 1).alias("mark")), read)
 
 

@@ -50,3 +50,19 @@ def retile(features: DataFrame, to: int) -> DataFrame:
     """features (centroid, ...) with x, y and zoom of the tile of their centroid at another zoom."""
     c = F.col("centroid")
     return features.withColumns({"x": geo.tile_x(c["lng"], to), "y": geo.tile_y(c["lat"], to), "zoom": F.lit(to)})
+
+
+def fitted(features: DataFrame, limit: int, rings: str = "rings") -> DataFrame:
+    """features with their rings (or lines, as one ring each) simplified no more than it takes for them to need at most so many bytes as JSON, and
+    tolerance, in degrees (-1: nothing was left out).
+
+    Vertices are ranked once, by the tolerance at which each goes; the tolerance for a size is then looked up, in no loop of simplifications. Closed rings keep
+    the two inner vertices that go last, and so stay rings. What doesn't fit with the fewest vertices is left with these.
+    """
+    size = lambda p: F.octet_length(F.to_json(F.array(p["lng"], p["lat"]))) + 1
+    ranked = features.withColumn("__ranks", kernels.ring_ranks(rings))
+    sizes = F.flatten(F.transform(rings, lambda r: F.transform(r, size)))
+    brackets = 2 * F.size(rings) + 2
+    found = ranked.withColumn("tolerance", kernels.fitting_tolerance(F.flatten("__ranks"), sizes.cast("array<int>"), (F.lit(limit) - brackets).cast("double")))
+    kept = F.zip_with(rings, "__ranks", lambda r, k: F.filter(r, lambda p, i: F.get(k, i) > F.col("tolerance")))
+    return found.withColumn(rings, kept).drop("__ranks")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import tile_store
+from ..operators import shards, tile_store, tiles
 from ..sources import keyed, shared
-from .registry import BOX_SQL, boxes, lat_sql, lng_sql, place, query, tile_x_sql, tile_y_sql
+from .registry import BOX_SQL, boxes, lat_sql, lng_sql, place, query, routes, tile_x_sql, tile_y_sql
 
 KINDS = {"1-URGENT": 30, "2-HIGH": 180, "3-MEDIUM": 365}
 
@@ -126,3 +126,25 @@ def bulk_fetch_report(t):
     spark = t("nation").sparkSession
     _, report = tile_store.bulk_fetch(spark, asked, boxes(t).where(n % 4 == 0).select(code.alias("code")), answers)
     return spark.createDataFrame([(k, v) for k, v in report.items() if k != "pointers" and v], "state string, n long")
+
+
+@query("packed_shards", f"""with e as (select user_id, event_id, ts, {lng_sql('event_id')} as lng, {lat_sql('event_id')} as lat from events where user_id is not null),
+        s as (select distinct {tile_x_sql(lng_sql('s_suppkey'), 11)} as x, {tile_y_sql(lat_sql('s_suppkey'), 11)} as y from supplier where s_nationkey = 3),
+        l as (select user_id as id, count(*) as n_points, list(round(lng * 1e7::double)::bigint order by ts, event_id) as lngs, list(round(lat * 1e7::double)::bigint order by ts, event_id) as lats, bool_or(({tile_x_sql('lng', 11)}, {tile_y_sql('lat', 11)}) in (select (x, y) from s)) as here from e group by user_id)
+    select id, n_points::integer as n_points, md5(array_to_string(lngs, ',') || ';' || array_to_string(lats, ',')) as points_md5 from l where here""")
+def packed_shards(t):
+    """Lines packed by tile and read back on the tiles of some suppliers, each line once, to a ten-millionth of a degree."""
+    folder = shared.new_folder(t("events").sparkSession)
+    shards.write_shards(shards.build_shards(routes(t).withColumnRenamed("route_id", "id"), 11), folder, 8)
+    asked = t("supplier").where("s_nationkey = 3").select(*place("s_suppkey")).select(geo.tile_x(F.col("lng"), 11).alias("x"), geo.tile_y(F.col("lat"), 11).alias("y"))
+    found = shards.shard_features(t("events").sparkSession.read.parquet(folder), asked)
+    units = lambda c: F.array_join(F.transform("line", lambda p: F.round(p[c] * 1e7).cast("long").cast("string")), ",")
+    return found.select("id", F.size("line").alias("n_points"), F.md5(F.concat(units("lng"), F.lit(";"), units("lat")).cast("binary")).alias("points_md5"))
+
+
+@query("fitted_lines")
+def fitted_lines(t):
+    """Lines that need at most 2,000 bytes, simplified no more than that takes."""
+    lines = routes(t).select("route_id", F.array("line").alias("rings"))
+    out = tiles.fitted(lines, 2000)
+    return out.select("route_id", "tolerance", F.size(F.col("rings")[0]).alias("n_points"))

@@ -59,7 +59,7 @@ def test_a_fetch_reads_few_row_groups_and_no_geometry(spark, tmp_path):
     assert schemas and not any("geometry" in x for x in schemas)
     below = spark.createDataFrame([(0, 0), (8 * 7919 % (4 * side), 1)], "x int, y int")  # lower than stored: by the centroid's tile
     one = rows.where("id = 'peak:77'").first()
-    deeper = spark.createDataFrame([(one["x"] * 4 + 2, one["y"] * 4 + 2)], "x int, y int").union(below)
+    deeper = spark.createDataFrame([one], rows.schema).select(geo.tile_x(F.col("lng"), 13).alias("x"), geo.tile_y(F.col("lat"), 13).alias("y")).union(below)
     assert "peak:77" in {r["id"] for r in tile_store.fetch_at_zoom(store, deeper, "peak", 13, 11).collect()}
 
 
