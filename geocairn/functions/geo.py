@@ -73,6 +73,17 @@ def contains(box: Column, lng: Column, lat: Column) -> Column:
     return lng.between(box["min_lng"], box["max_lng"]) & lat.between(box["min_lat"], box["max_lat"])
 
 
+def contains_round(box: Column, lng: Column, lat: Column) -> Column:
+    """contains() for boxes that may go beyond 180 degrees on either side."""
+    return contains(box, lng, lat) | contains(box, lng + 360, lat) | contains(box, lng - 360, lat)
+
+
+def unwrapped(rings: Column) -> Column:
+    """Rings that cross the 180th meridian (an edge spans more than half the world) with their western longitudes 360 degrees further on, others as they are."""
+    jumps = lambda r: F.exists(F.zip_with(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda a, b: F.abs(a["lng"] - b["lng"])), lambda d: d > 180)
+    return F.transform(rings, lambda r: F.when(jumps(r), F.transform(r, lambda p: point(F.when(p["lng"] < 0, p["lng"] + 360).otherwise(p["lng"]), p["lat"]))).otherwise(r))
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["min_lng"] <= b["max_lng"]) & (b["min_lng"] <= a["max_lng"]) & (a["min_lat"] <= b["max_lat"]) & (b["min_lat"] <= a["max_lat"])
 
@@ -103,6 +114,11 @@ def in_geometry(lng: Column, lat: Column, rings: Column) -> Column:
     return F.exists(rings, lambda r: in_ring(lng, lat, r))
 
 
+def in_geometry_round(lng: Column, lat: Column, rings: Column) -> Column:
+    """in_geometry() for unwrapped() rings."""
+    return in_geometry(lng, lat, rings) | (F.exists(rings, lambda r: F.exists(r, lambda p: p["lng"] > 180)) & in_geometry(lng + 360, lat, rings))
+
+
 def tile_x(lng: Column, zoom: int) -> Column:
     n = 1 << zoom
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((lng + 180.0) / 360.0 * n))).cast("int")

@@ -23,7 +23,7 @@ def element_geometry(elements: DataFrame) -> DataFrame:
 
 def fetch_tiles(features: DataFrame, tiles: DataFrame, kind: str) -> DataFrame:
     """The features of a kind on tiles (x, y): markers of empty tiles left out, pointers (stored_id) followed to what they point to wherever
-    that is stored, each id once, from its least tile.
+    that is stored, each id once, from its least tile (of several rows of one id there, the least by their other columns).
 
     features: id, kind, x, y, stored_id, is_empty and more. Filters by kind and columns reach the scan; the pointers are few and meet
     the stored rows in a semi-join.
@@ -33,7 +33,8 @@ def fetch_tiles(features: DataFrame, tiles: DataFrame, kind: str) -> DataFrame:
     pointed = here.where("stored_id is not null").select(F.col("stored_id").alias("id")).distinct()
     stored = of_kind.where("stored_id is null").join(pointed, "id", "left_semi")
     both = here.where("stored_id is null").select(*features.columns).unionByName(stored.select(*features.columns))
-    first = F.min_by(F.struct(*features.columns), F.struct("x", "y"))
+    plain = [f.name for f in features.schema if f.dataType.typeName() not in ("map", "variant") and f.name not in ("id", "x", "y")]
+    first = F.min_by(F.struct(*features.columns), F.struct("x", "y", *plain))
     return both.groupBy("id").agg(first.alias("f")).select("f.*")
 
 
@@ -104,11 +105,11 @@ def containing_with_level(points: DataFrame, boundaries: DataFrame, level: int,
     return spatial.points_in_polygons(points, boundaries.where(F.col("admin_level") == level), zoom).select("polygon_id").distinct()
 
 
-def route_regions(routes: DataFrame, boundaries: DataFrame, zoom: int = 8, at_most: int = 120) -> DataFrame:
-    """Pairs route_id, polygon_id: boundaries that hold one of the route's vertices, of which every so many are tested, at most as said; a route
-    whose tiles meet one boundary alone is in it without a test, and one in none of those its tiles meet counts for all of them."""
-    step = F.greatest(F.lit(1), F.ceil(F.size("line") / at_most).cast("int"))
-    sampled = F.when(F.size("line") <= at_most, F.col("line")).otherwise(F.filter("line", lambda p, i: (i % step == 0) | (i == F.size("line") - 1)))
+def route_regions(routes: DataFrame, boundaries: DataFrame, zoom: int = 8, at_most: int | None = 120) -> DataFrame:
+    """Pairs route_id, polygon_id: boundaries that hold one of the route's vertices, of which every so many are tested, at most as said (a sample, as
+    the rule has it; with at_most None all are, and the answer is exact); a route whose tiles meet one boundary alone is in it without a test, and one in none of those its tiles meet counts for all of them."""
+    step = F.greatest(F.lit(1), F.ceil(F.size("line") / (at_most or 1)).cast("int"))
+    sampled = F.col("line") if at_most is None else F.when(F.size("line") <= at_most, F.col("line")).otherwise(F.filter("line", lambda p, i: (i % step == 0) | (i == F.size("line") - 1)))
     vertices = routes.select("route_id", F.explode(sampled).alias("v")).select("route_id", "v.lng", "v.lat", geo.tile_x(F.col("v.lng"), zoom).alias("x"), geo.tile_y(F.col("v.lat"), zoom).alias("y"))
     cover = spatial.polygon_tiles(boundaries.select("polygon_id", "rings"), zoom).select("polygon_id", "x", "y")
     near = vertices.select("route_id", "x", "y").distinct().join(cover, ["x", "y"]).select("route_id", "polygon_id").distinct()

@@ -44,7 +44,7 @@ def points_near_routes_by(strategy: str, points: DataFrame, routes: DataFrame, m
         return points_near_routes(points, routes, metres)
     some = points.where("lng is not null and lat is not null")
     boxed = routes.withColumn("__box", geo.padded(geo.bounds(F.col("line")), metres))
-    test = {"all": F.lit(True), "box": geo.contains(F.col("__box"), F.col("lng"), F.col("lat"))}[strategy]
+    test = {"all": F.lit(True), "box": geo.contains_round(F.col("__box"), F.col("lng"), F.col("lat"))}[strategy]
     near = F.exists("line", lambda p: (F.abs(p["lat"] - F.col("lat")) <= metres / 111_000.0) & (geo.haversine_m(p["lng"], p["lat"], F.col("lng"), F.col("lat")) <= metres))
     return boxed.join(some, test).where(near).select("route_id", "point_id").distinct()
 
@@ -68,14 +68,17 @@ def polygon_tiles(polygons: DataFrame, zoom: int) -> DataFrame:
     """Tiles a polygon may meet: its columns, x, y and border.
 
     border is false where the tile lies wholly inside: no edge's box meets it and its centre is in a ring. Tiles that no edge's box meets
-    and whose centre is outside are left out.
+    and whose centre is outside are left out. Polygons may cross the 180th meridian; their rings come out unwrapped.
     """
     box = F.col("__box")
+    polygons = polygons.withColumn("rings", geo.unwrapped(F.col("rings")))
     ring_boxes = F.flatten(F.transform(F.col("rings"), lambda r: F.zip_with(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda a, b: F.struct(F.least(a["lng"], b["lng"]).alias("min_lng"), F.least(a["lat"], b["lat"]).alias("min_lat"), F.greatest(a["lng"], b["lng"]).alias("max_lng"), F.greatest(a["lat"], b["lat"]).alias("max_lat")))))
     tiles = polygons.withColumn("__box", geo.bounds(F.flatten("rings"))).withColumn("__edges", ring_boxes).withColumn("__t", F.explode(geo.tiles_of_box(box, zoom)))
     tiles = tiles.withColumns({"x": F.col("__t.x"), "y": F.col("__t.y"), "__tb": geo.tile_bounds(F.col("__t.x"), F.col("__t.y"), zoom)})
-    tiles = tiles.withColumn("border", F.exists("__edges", lambda e: geo.overlaps(e, F.col("__tb"))))
-    centre = geo.tile_centre(F.col("x"), F.col("y"), zoom)
+    # a tile stands where the ring does, once round the world if need be
+    tb = F.when((F.col("__tb.max_lng") < box["min_lng"]) & (box["max_lng"] > 180), F.struct((F.col("__tb.min_lng") + 360).alias("min_lng"), F.col("__tb.min_lat").alias("min_lat"), (F.col("__tb.max_lng") + 360).alias("max_lng"), F.col("__tb.max_lat").alias("max_lat"))).otherwise(F.col("__tb"))
+    tiles = tiles.withColumn("__tb", tb).withColumn("border", F.exists("__edges", lambda e: geo.overlaps(e, F.col("__tb"))))
+    centre = geo.point((F.col("__tb.min_lng") + F.col("__tb.max_lng")) / 2, (F.col("__tb.min_lat") + F.col("__tb.max_lat")) / 2)
     return tiles.where(F.col("border") | geo.in_geometry(centre["lng"], centre["lat"], F.col("rings"))).drop("__box", "__edges", "__t", "__tb")
 
 
@@ -86,7 +89,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, zoom: int = 8) ->
     """
     cover = polygon_tiles(polygons.select("polygon_id", "rings"), zoom).withColumn("rings", F.when(F.col("border"), F.col("rings")))
     at = points.select("point_id", "lng", "lat", geo.tile_x(F.col("lng"), zoom).alias("x"), geo.tile_y(F.col("lat"), zoom).alias("y"))
-    inside = ~F.col("border") | geo.in_geometry(F.col("lng"), F.col("lat"), F.col("rings"))
+    inside = ~F.col("border") | geo.in_geometry_round(F.col("lng"), F.col("lat"), F.col("rings"))
     return at.join(cover, ["x", "y"]).where(inside).select("point_id", "polygon_id").distinct()
 
 
@@ -103,11 +106,16 @@ def paths_by_thirds(routes: DataFrame, paths: DataFrame, side: float = geo.CELL_
     A third without vertices (paths of one or two) counts as visited; paths without vertices match nothing.
     """
     n = F.size("line")
+    key = lambda c: F.shiftleft(c["row"].cast("long"), 32) + c["col"]
     cells = paths.select("path_id", n.alias("n"), F.posexplode("line").alias("pos", "p"))
-    cells = cells.select("path_id", F.least("n", F.lit(3)).alias("wanted"), geo.section(F.col("pos"), F.col("n")).alias("section"), geo.cell(F.col("p"), side).alias("cell")).distinct()
-    visited = routes.select("route_id", F.explode("line").alias("p")).select("route_id", F.explode(geo.cells_around(F.col("p"), side)).alias("cell")).distinct()
-    met = visited.join(cells, "cell").groupBy("route_id", "path_id", "wanted").agg(F.bit_or(F.expr("shiftleft(1, section)")).alias("met"))  # folds before its shuffle
-    return met.where("bit_count(met) = wanted").select("route_id", "path_id")
+    cells = cells.select("path_id", "n", F.call_function("shiftleft", F.lit(1), geo.section(F.col("pos"), F.col("n"))).alias("bit"), key(geo.cell(F.col("p"), side)).alias("cell"))
+    # one row a path and cell, with the sections that have a vertex in it and those that are wanted
+    cells = cells.groupBy("path_id", "cell").agg((F.bit_or("bit") + 8 * (F.call_function("shiftleft", F.lit(1), F.least(F.max("n"), F.lit(3))) - 1)).alias("bits"))
+    own = routes.select("route_id", F.explode("line").alias("p")).select("route_id", geo.cell(F.col("p"), side).alias("c")).distinct()
+    around = F.array(*[F.struct((F.col("c.row") + i).alias("row"), (F.col("c.col") + j).alias("col")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    visited = own.select("route_id", F.explode(around).alias("c")).select("route_id", key(F.col("c")).alias("cell")).distinct()
+    met = visited.join(cells, "cell").groupBy("route_id", "path_id").agg(F.bit_or("bits").alias("bits"))  # folds before its shuffle
+    return met.where("(bits & 7) = shiftright(bits, 3)").select("route_id", "path_id")
 
 
 def lines_within(a: DataFrame, b: DataFrame, metres: float = 50.0) -> DataFrame:
@@ -123,10 +131,13 @@ def area_metrics(peaks: DataFrame, areas: DataFrame, boundaries: DataFrame, zoom
     peaks: point_id, lng, lat, elevation, name; areas: point_id, lng, lat, area_type; boundaries: polygon_id, rings. Boundaries without
     any have zeros and nulls; of equally tall peaks the least name counts.
     """
-    in_peaks = points_in_polygons(peaks, boundaries, zoom).join(peaks.select("point_id", "elevation", "name"), "point_id")
+    rest = ["elevation", "name", "area_type"]
+    both = peaks.select(F.lit(True).alias("peak"), "point_id", "lng", "lat", "elevation", "name", F.lit(None).cast("string").alias("area_type"))
+    both = both.unionByName(areas.select(F.lit(False).alias("peak"), "point_id", "lng", "lat", F.lit(None).cast(peaks.schema["elevation"].dataType).alias("elevation"), F.lit(None).cast("string").alias("name"), "area_type"))
+    # boundaries are covered once, for peaks and areas together
+    inside = points_in_polygons(both.withColumn("point_id", F.struct("peak", "point_id", *rest)), boundaries, zoom).select("polygon_id", "point_id.*")
     tallest = F.max_by(F.col("name"), F.struct(F.coalesce("elevation", F.lit(float("-inf"))), -F.col("point_id")))
-    by_peak = in_peaks.groupBy("polygon_id").agg(F.count("*").alias("n_peaks"), tallest.alias("tallest"), F.max("elevation").alias("tallest_elevation"))
-    in_areas = points_in_polygons(areas, boundaries, zoom).join(areas.select("point_id", "area_type"), "point_id")
-    by_type = in_areas.groupBy("polygon_id", "area_type").agg(F.count("*").alias("n")).groupBy("polygon_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("area_type", "n")))).alias("areas_by_type"))
+    by_peak = inside.where("peak").groupBy("polygon_id").agg(F.count("*").alias("n_peaks"), tallest.alias("tallest"), F.max("elevation").alias("tallest_elevation"))
+    by_type = inside.where("not peak").groupBy("polygon_id", "area_type").agg(F.count("*").alias("n")).groupBy("polygon_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("area_type", "n")))).alias("areas_by_type"))
     out = boundaries.select("polygon_id").join(by_peak, "polygon_id", "left").join(by_type, "polygon_id", "left")
     return out.withColumn("n_peaks", F.coalesce("n_peaks", F.lit(0)))

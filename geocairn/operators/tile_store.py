@@ -102,7 +102,7 @@ def containing(points: DataFrame, pointers: DataFrame, polygons: DataFrame, zoom
     if where is not None:
         met = met.join(polygons.where(where).select("polygon_id"), "polygon_id", "left_semi")
     met = cut(met.select("point_id", "polygon_id", "lng", "lat", "border"))
-    tested = met.where("border").join(polygons.select("polygon_id", "rings"), "polygon_id").where(geo.in_geometry(F.col("lng"), F.col("lat"), F.col("rings")))
+    tested = met.where("border").join(polygons.select("polygon_id", "rings"), "polygon_id").where(geo.in_geometry_round(F.col("lng"), F.col("lat"), geo.unwrapped(F.col("rings"))))
     return met.where("not border").select("point_id", "polygon_id").unionByName(tested.select("point_id", "polygon_id")).distinct()
 
 

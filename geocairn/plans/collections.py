@@ -34,9 +34,10 @@ def fetched_tiles(t):
     return features.fetch_tiles(_features(t), _tiles(t), "peak").select("id", "x", "y")
 
 
-@query("missing_tiles", f"select x, y from ({_TILES}) anti join (select x, y from ({_FEATURES}) where kind = 'path' and id < 300) using (x, y)")
+@query("missing_tiles", f"select (x + 2)::integer as x, y from ({_TILES}) t where not exists (select 1 from ({_FEATURES}) f where kind = 'path' and f.x = t.x + 2 and f.y = t.y)")
 def missing_tiles(t):
-    return features.missing_tiles(_features(t).where("id < 300"), _tiles(t), "path")
+    """Of the tiles two columns east of some suppliers' those without a path."""
+    return features.missing_tiles(_features(t), _tiles(t).withColumn("x", F.col("x") + 2), "path")
 
 
 @query("deleted_rows", "select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_nationkey = 3)")
@@ -71,12 +72,12 @@ def deleted_activities(t):
 
 @query(
     "due_boundaries",
-    f"""select distinct polygon_id from (select {_C[0]} as x, {_C[1]} as y from customer where c_custkey % 40 = 1 and c_mktsegment in ('BUILDING', 'MACHINERY')), ({BOX_SQL}) where x between x0 and x0 + 0.35::DOUBLE and y between y0 and y0 + 0.35::DOUBLE""",
+    f"""select distinct polygon_id from (select {_C[0]} as x, {_C[1]} as y from customer where c_mktsegment in ('BUILDING', 'MACHINERY')), ({BOX_SQL}) where x between x0 and x0 + 0.35::DOUBLE and y between y0 and y0 + 0.35::DOUBLE""",
 )
 def due_boundaries(t):
-    """Some customers are changed features, of which two segments count."""
+    """Customers are changed features, of which two segments count."""
     kind = F.when(F.col("c_mktsegment") == "BUILDING", "peak").when(F.col("c_mktsegment") == "MACHINERY", "protectedArea").otherwise("path")
-    c = t("customer").where("c_custkey % 40 = 1").select(F.col("c_custkey").cast("string").alias("feature_id"), kind.alias("kind"), F.lit(None).cast("string").alias("stored_id"), geo.point(*place("c_custkey")).alias("centroid"))
+    c = t("customer").select(F.col("c_custkey").cast("string").alias("feature_id"), kind.alias("kind"), F.lit(None).cast("string").alias("stored_id"), geo.point(*place("c_custkey")).alias("centroid"))
     return features.due_boundaries(c, boxes(t), 11)
 
 
@@ -228,10 +229,10 @@ def moved_features(t):
     return t("part").agg(F.count("*").alias("scanned"), F.count_if(moved).alias("moved"), F.count_if(~moved).alias("skipped"))
 
 
-@query("sorted_statuses", "select user_id, last, n from (select user_id, max(case when event_type = 'purchase' then ts end) as last, count(*) as n from events where user_id % 3 = 0 group by 1) order by n desc, last desc nulls last, user_id limit 20")
+@query("sorted_statuses", "select user_id, last, n from (select user_id, max(case when event_type = 'purchase' then ts end) as last, count(*) as n from events group by 1) order by n desc, last desc nulls last, user_id limit 20")
 def sorted_statuses(t):
     """Three keys, missing days last."""
-    by_user = t("events").where("user_id % 3 = 0").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("last"), F.count("*").alias("n"))
+    by_user = t("events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("last"), F.count("*").alias("n"))
     return by_user.orderBy(F.desc("n"), F.desc_nulls_last("last"), "user_id").limit(20)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, kernels, text
-from ..operators import spatial
+from ..operators import features, spatial
 from .registry import BOX_SQL, boxes, lat_sql, lng_sql, metres_sql, place, query, routes, tile_x_sql, tile_y_sql
 
 NEAR_M = 1500.0
@@ -203,13 +203,15 @@ def way_zoom(t):
 
 @query(
     "lines_near_lines",
-    f"""select distinct a.user_id as a_id, b.o_custkey as b_id from events a, orders b where a.user_id < 10 and b.o_custkey < 30 and {metres_sql(*_E, lng_sql('o_orderkey'), lat_sql('o_orderkey'))} <= 800""",
+    f"""with a as (select distinct user_id as a_id, {_E[0]} as x, {_E[1]} as y from events where user_id is not null), b as (select o_custkey as b_id, {lng_sql('o_orderkey')} as u, {lat_sql('o_orderkey')} as v from orders),
+    n as (select *, floor(v * 1000)::bigint + i as band from b, range(-1, 2) r(i))
+    select distinct a_id, b_id from a join n on floor(y * 1000)::bigint = band where {metres_sql('x', 'y', 'u', 'v')} <= 80""",
 )
 def lines_near_lines(t):
-    """Routes of some users against the places of some customers' orders."""
-    o = t("orders").where("o_custkey < 30").select(F.col("o_custkey").alias("b_id"), *place("o_orderkey"))
+    """Routes of users against the places of customers' orders."""
+    o = t("orders").select(F.col("o_custkey").alias("b_id"), *place("o_orderkey"))
     b = o.groupBy("b_id").agg(F.collect_list(geo.point(F.col("lng"), F.col("lat"))).alias("line"))
-    return spatial.lines_within(routes(t).where("route_id < 10").withColumnRenamed("route_id", "a_id"), b, 800.0)
+    return spatial.lines_within(routes(t).withColumnRenamed("route_id", "a_id"), b, 80.0)
 
 
 @query(
@@ -236,3 +238,13 @@ def points_in_triangles(t):
     x, y = 10.0 + (n % 5) * 0.4, 59.0 + F.floor(n / 5) * 0.4
     ring = F.array(geo.point(x, y), geo.point(x + 0.35, y), geo.point(x, y + 0.3), geo.point(x, y))
     return spatial.points_in_polygons(_customers(t), t("nation").select(n.alias("polygon_id"), F.array(ring).alias("rings")), 11)
+
+
+@query("route_regions", f"""with v as (select distinct user_id as route_id, {_E[0]} as x, {_E[1]} as y from events where user_id is not null), b as ({BOX_SQL}),
+    n as (select distinct route_id, polygon_id from (select distinct route_id, {tile_x_sql('x', 9)} as tx, {tile_y_sql('y', 9)} as ty from v), b where tx between {tile_x_sql('x0', 9)} and {tile_x_sql('(x0 + 0.35::double)', 9)} and ty between {tile_y_sql('(y0 + 0.35::double)', 9)} and {tile_y_sql('y0', 9)}),
+    i as (select distinct route_id, polygon_id from v, b where x between x0 and x0 + 0.35::double and y between y0 and y0 + 0.35::double),
+    m as (select n.*, i.route_id is not null as inside from n left join i using (route_id, polygon_id)), c as (select route_id, count(*) as n, count(*) filter (inside) as k from m group by 1)
+    select route_id, polygon_id from m join c using (route_id) where inside or n = 1 or k = 0""")
+def route_regions(t):
+    """Boundaries that routes go through, all vertices tested, with the rules for routes that meet one boundary alone or are in none."""
+    return features.route_regions(routes(t), boxes(t), 9, None)
