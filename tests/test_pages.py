@@ -1,7 +1,10 @@
 """Pages, jobs, merging of features and vector tiles against golden values."""
 
+import gzip
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +169,34 @@ def test_vector_tiles(spark):
     assert (first[1], second[1], first[3]) == (7, 8, 2) and first[2] == bytes([0, 0, 1, 1]) and second[2] == bytes([0, 0])
     commands = list(first[4])
     assert commands[0] == 9 and first[4] == second[4]
+
+
+def test_tiles_equal_those_of_one_call(spark):
+    """Bytes made feature by feature against layer(), which writes a whole tile."""
+    r = random.Random(6)
+    rows = []
+    for i in range(60):
+        lng, lat = 10 + r.random(), 59 + r.random()
+        line = [{"lng": lng + k * 0.01, "lat": lat + r.random() / 50} for k in range(r.choice([1, 2, 5]))]
+        rows.append((i % 50, line, r.choice(["path", "road", "å", None]), r.choice([1, 2, None]), r.choice([0.5, None, float("nan")]), r.choice([True, False])))
+    schema = "id long, line array<struct<lng:double,lat:double>>, highway string, grade int, slope double, lit boolean"
+    df = spark.createDataFrame(rows + rows[:3], schema)
+    pieces = tiles.clip_to_tiles(df.where("size(line) > 1"), 9).unionByName(df.where("size(line) = 1").withColumns({"x": geo.tile_x(F.col("line")[0]["lng"], 9), "y": geo.tile_y(F.col("line")[0]["lat"], 9), "fragment": F.lit(0)}))
+    names = ["highway", "grade", "slope", "lit"]
+    got = {(g["x"], g["y"]): (g["n_features"], bytes(g["tile"])) for g in vector_tiles.encode_tiles(pieces, "ways", 9, names).collect()}
+    zipped = {(g["x"], g["y"]): gzip.decompress(bytes(g["tile"])) for g in vector_tiles.encode_tiles(pieces, "ways", 9, names, zipped=True).collect()}
+    assert zipped == {k: v for k, (_, v) in got.items()}
+    unit = F.transform("line", lambda p: geo.tile_units(p["lng"], p["lat"], F.col("x"), F.col("y"), 9))
+    held = {}
+    for p in pieces.withColumn("u", unit).collect():
+        u = [(q["px"], q["py"]) for q in p["u"] if q is not None]
+        if len(u) >= 2 or len(p["line"]) == len(u) == 1:
+            held.setdefault((p["x"], p["y"]), []).append((p["id"], p["fragment"], u, [p[n] for n in names]))
+    assert set(got) == set(held) and len(held) > 2
+    for k, f in held.items():
+        assert got[k][0] == len(f)
+        if len({x[:2] for x in f}) < len(f):
+            continue  # rows of one id and fragment stand in an order of their own
+        f.sort(key=lambda x: x[:2])
+        want = vector_tiles.layer("ways", [x[0] for x in f], [np.array(x[2]) for x in f], {n: [x[3][i] for x in f] for i, n in enumerate(names)})
+        assert got[k][1] == want
