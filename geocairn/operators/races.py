@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import cut
 from .graph import components
 
 #: Distances that are about the same differ by less than this factor, so they lie in neighbouring steps of its logarithm.
@@ -151,3 +152,42 @@ def route_label(kind: Column, sub_kind: Column, segment_kinds: Column) -> Column
     foot = F.coalesce(F.exists(segment_kinds, lambda s: F.lower(s) == "run"), F.lit(False))
     bike = F.when(sub_kind == 1, "Road bike").when(sub_kind.isin(2, 4), "Mountain bike").when(sub_kind == 3, "Gravel bike").otherwise("Bike")
     return F.when(foot, "Run/hike").when(kind == 1, bike).when(kind == 6, "Gravel bike").otherwise("Run/hike")
+
+
+def merge_points(features: DataFrame, fields: list[str], name: str = "name") -> DataFrame:
+    """features (organizer, id, is_line, km as an array, urls, name and fields) with points of about the same distance and compatible names merged.
+
+    In order of id a point that is left takes in every later one that shares a distance with it, about, and has its name or either has none: it takes
+    fields that it lacks, in their order, and all urls. What has been taken in takes in none. Lines and points without a distance stay.
+
+    Points alike in organizer, name and distances are one first. Of the others those that may merge meet by step of the logarithm of their distances; then, round by
+    round, a point with no earlier one left about it stays, and those about it go, as many rounds as such points follow each other.
+    """
+    step = lambda c: F.floor(F.log(c) / STEP).cast("int")
+    points = features.where("not is_line").withColumns({"__name": F.nullif(F.lower(F.trim(F.col(name))), F.lit("")), "__km": F.array_sort(F.array_distinct(F.filter("km", lambda k: k > 0)))}).where("size(__km) > 0")
+    alike = ["organizer", "__name", "__km"]
+    nodes = cut(points.groupBy(*alike).agg(F.min("id").alias("node")))
+    each = nodes.select("organizer", "__name", "node", F.explode("__km").alias("km")).withColumn("step", step("km"))
+    near = each.select("organizer", F.col("__name").alias("b_name"), F.col("node").alias("b"), F.col("km").alias("b_km"), F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"))
+    same = F.coalesce(F.col("__name") == F.col("b_name"), F.lit(True))
+    edges = cut(each.join(near, ["organizer", "step"]).where((F.col("node") < F.col("b")) & text.roughly_equal(F.col("km"), F.col("b_km")) & same).select(F.col("node").alias("a"), "b").distinct())
+    open_, left, kept = nodes.select("node"), edges, []
+    while not left.isEmpty():
+        stay = cut(open_.join(left.select(F.col("b").alias("node")), "node", "left_anti"))
+        gone = cut(left.join(stay, F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct())
+        kept.append(stay)
+        done = stay.unionByName(gone)
+        open_ = cut(open_.join(done, "node", "left_anti"))
+        settled = done.select("node")
+        left = cut(left.join(settled, F.col("a") == F.col("node"), "left_anti").join(settled, F.col("b") == F.col("node"), "left_anti"))
+    stays = open_
+    for s in kept:
+        stays = stays.unionByName(s)
+    into = edges.join(stays, F.col("a") == F.col("node"), "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("into"))
+    led = nodes.join(into, "node", "left").select(*[F.col(c).alias(f"_{c}") for c in alike], F.coalesce("into", "node").alias("__into"))
+    members = points.join(led, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]).select("__into", "id", "urls", *fields)
+    taken = members.groupBy("__into").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"__{c}") for c in fields], F.array_sort(F.collect_list(F.struct("id", "urls"))).alias("__urls"))
+    gone = members.where("id <> __into").select("id")
+    rest = features.join(gone, "id", "left_anti").join(taken, F.col("id") == F.col("__into"), "left")
+    urls = F.when(F.col("__urls").isNull(), F.col("urls")).otherwise(F.array_distinct(F.flatten(F.array_compact(F.transform("__urls", lambda u: u["urls"])))))
+    return rest.withColumns({**{c: F.when(F.col("__into").isNull(), F.col(c)).otherwise(F.col(f"__{c}")) for c in fields}, "urls": urls}).select(*features.columns)

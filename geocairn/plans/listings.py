@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, pages
 from ..operators import jobs, merge, races, tiles, vector_tiles
+from ..sources import documents
 from .registry import lat_sql, lng_sql, place, query, tile_x_sql, tile_y_sql
 from .tile_layers import _ways
 
@@ -148,3 +149,46 @@ def filled_rows(t):
 def route_labels(t):
     segments = F.array(F.lit("Ride"), F.when(F.col("p_size") % 10 == 0, "RUN"))
     return t("part").select("p_partkey", races.route_label(F.col("p_size") % 7, F.col("p_size") % 5, segments).alias("label"))
+
+
+@query(
+    "organizer_metadata",
+    """select 'o' || c_custkey as organizer, case when c_custkey % 4 = 0 then 0 else 1 + c_custkey % 3 end as n_found, case when c_custkey % 5 > 0 then (c_custkey * 10)::varchar end as fee, (c_custkey % 6)::integer as last_slot
+    from customer where c_custkey % 9 <> 0 and c_custkey % 7 <> 3""",
+)
+def organizer_metadata(t):
+    """Organizer documents read without their routes; every ninth redirects, and every seventh has no address."""
+    k = F.col("c_custkey")
+    found = F.transform(F.sequence(F.lit(0).cast("long"), k % 3), lambda i: F.struct(F.concat(F.lit("race "), i).alias("name"), F.lit("2026-05-01").alias("date")))
+    routes = F.array(F.struct(F.lit("r").alias("name"), F.array(F.array(F.lit(10.5), F.lit(59.5)), F.array(F.lit(10.6), F.lit(59.6))).alias("coordinates")))
+    output = F.struct(F.when(k % 5 > 0, (k * 10).cast("string")).alias("startFee"), routes.alias("routes"))
+    value = F.to_json(F.struct(F.concat(F.lit("organizer:"), k).alias("id"), F.when(k % 7 != 3, F.concat(F.lit("https://"), k, F.lit(".example.org"))).alias("url"), F.when(k % 4 > 0, F.create_map(F.lit("list"), found)).alias("discovery"), F.create_map(F.lit("site"), output).alias("scrapers"), (k % 6).alias("lastMaxSlotIndex")))
+    files = t("customer").select(F.concat(F.lit("o"), k).alias("organizer"), value.alias("value"))
+    redirects = t("customer").where(k % 9 == 0).select(F.concat(F.lit("O"), k).alias("source"), F.lit("o1").alias("target"))
+    read = documents.documents(files, "metadata", redirects)
+    return read.select("organizer", F.coalesce(F.size(F.try_element_at("discovery", F.lit("list"))), F.lit(0)).cast("long").alias("n_found"), F.col("scrapers")["site"]["startFee"].alias("fee"), F.col("lastMaxSlotIndex").alias("last_slot"))
+
+
+@query(
+    "routed_discoveries",
+    """with e as (select o_custkey as organizer, o_orderstatus as source, o_orderkey as pos from orders), r as (select *, case when organizer % 5 = 0 then organizer // 5 else organizer end as one from e),
+    s as (select *, case when one % 5 = 0 and one <> 0 and organizer % 5 = 0 then one // 5 else one end as two from r), u as (select *, case when two % 5 = 0 and two <> 0 and two <> one then two // 5 else two end as three from s),
+    v as (select *, case when three % 5 = 0 and three <> 0 and three <> two then three // 5 else three end as four from u), w as (select *, case when four % 5 = 0 and four <> 0 and four <> three then four // 5 else four end as five from v)
+    select 'o' || five as organizer, source, 'https://' || arg_min(organizer, pos) as url, count(*) as n, min(pos) as first from w group by five, source""",
+)
+def routed_discoveries(t):
+    """Orders as discoveries of customers; every fifth customer redirects to the one of a fifth of its number, and so on."""
+    key = F.col("o_custkey")
+    items = t("orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("o"), key).alias("organizer"), F.col("o_orderstatus").alias("source"), F.concat(F.lit("https://"), key).alias("url"), F.col("o_orderkey").alias("discovery"))
+    c = F.col("c_custkey")
+    redirects = t("customer").where((c % 5 == 0) & (c > 0)).select(F.concat(F.lit("O"), c).alias("source"), F.concat(F.lit("o"), F.floor(c / 5)).alias("target"))
+    out = documents.routed_discoveries(items, redirects)
+    return out.select("organizer", "source", "url", F.size("discoveries").cast("long").alias("n"), F.col("discoveries")[0].alias("first"))
+
+
+@query("merged_points")
+def merged_points(t):
+    """Customers as points of their nation, of about the same distance and segment one: in order of id the first that is left takes the later ones in."""
+    none = F.array().cast("array<string>").alias("urls")
+    points = t("customer").select(F.col("c_nationkey").alias("organizer"), F.col("c_custkey").alias("id"), F.lit(False).alias("is_line"), F.array(_km("c_custkey", 37)).alias("km"), none, F.when(F.col("c_custkey") % 8 > 0, F.col("c_mktsegment")).alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("fee"))
+    return races.merge_points(points, ["fee"]).select("organizer", "id", "name", "fee")
