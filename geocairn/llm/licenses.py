@@ -61,25 +61,27 @@ UNKNOWN_GRADE = 0.5
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string"
 
 _FORM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)")
-_TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:_-]*")
+_EXPRESSION = re.compile(rb"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)")
+_TOKEN = re.compile(r"\(|\)|/|[a-z0-9][a-z0-9.+:_-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
 def parse(expression: str) -> list[str] | None:
     """The longest well-formed licence expression at the start, in postfix order; None if there is none.
 
-    A closing bracket too many or a word that no operator joins ends the expression, so prose after a tag is left out.
+    A closing bracket too many or a word that no operator joins ends the expression, so prose after a tag is left out. A slash between identifiers, as in
+    old tags, is an OR. Takes time in proportion to the text.
     """
     out: list[str] = []
-    best: list[str] | None = None
+    best: tuple[int, list[str]] | None = None  # operands and operators so far, and the operators that are still to come
     stack: list[str] = []
-    operand_next, at = True, 0
+    operand_next, at, brackets = True, 0, 0
     while m := _TOKEN.match(expression, re.compile(r"\s*").match(expression, at).end()):
-        at, token = m.end(), m.group()
+        at, token = m.end(), m.group() if m.group() != "/" else "or"
         if operand_next:
             if token == "(":
                 stack.append(token)
+                brackets += 1
                 continue
             if token == ")" or token in _BINDS:
                 break
@@ -91,6 +93,7 @@ def parse(expression: str) -> list[str] | None:
             if not stack:
                 break
             stack.pop()
+            brackets -= 1
         elif token in _BINDS:
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[token]:
                 out.append(stack.pop())
@@ -98,9 +101,9 @@ def parse(expression: str) -> list[str] | None:
             operand_next = True
         else:
             break
-        if not operand_next and "(" not in stack:
-            best = out + stack[::-1]
-    return best
+        if not operand_next and not brackets:  # at most one operator of each rank is on the stack
+            best = len(out), stack[::-1]
+    return None if best is None else out[: best[0]] + best[1]
 
 
 def label_of(identifier: str) -> str:

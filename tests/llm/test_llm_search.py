@@ -4,13 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geocairn.llm import negatives, pages, runs
+from geocairn.llm import licenses, negatives, pages, runs
 from geocairn.llm.queries import QUERIES
 
 # hard negatives
@@ -273,3 +274,21 @@ def test_page_rows(spark):
     for r in spark.read.parquet(f"{path}/pages.parquet").collect():
         body = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S)[1]
         assert got[r["page_id"]] == " ".join(h.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1)>|<br>", " ", body))).split())
+
+
+# licence expressions
+
+
+def test_long_expressions_take_time_in_proportion():
+    start = time.perf_counter()
+    joined = " or ".join(["mit"] * 300_000)
+    assert licenses.parse(joined)[:4] == ["mit", "mit", "or", "mit"] and len(licenses.parse(joined)) == 599_999
+    assert licenses.parse("(" * 200_000 + "mit" + ")" * 200_000) == ["mit"]
+    assert licenses.parse("mit and " * 100_000 + "( mit") == ["mit", *["mit", "and"] * 99_999]
+    assert time.perf_counter() - start < 20
+
+
+def test_tags_with_spaces_and_slashes(spark):
+    texts = ["SPDX-License-Identifier : MIT", "SPDX-License-Identifier: MIT/Apache-2.0", "SPDX-License-Identifier: GPL-2.0-only / MIT AND ISC"]
+    got = [(r["labels"], r["score"], r["expressions"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [("mit", 1.0, "mit"), ("apache-2,mit", 1.0, "mit apache-2.0 or"), ("gpl-2.0-only,isc,mit", 1.0, "gpl-2.0-only mit isc and or")]
