@@ -52,12 +52,23 @@ def top_per_cluster(routes: DataFrame, per_cluster: DataFrame) -> DataFrame:
     return ranked.where(F.col("canon").isNull() | (F.col("__rank") <= F.greatest(F.lit(1), F.coalesce("places", F.lit(1))))).drop("__rank", "places")
 
 
-def merge_discoveries(rows: DataFrame, fields: list[str], priority: Column) -> DataFrame:
+def places_per_cluster(clusters: DataFrame, entries: DataFrame) -> DataFrame:
+    """organizer, canon and places for clusters (organizer, canon): how many of the organizer's entries (organizer, entry, km as an array) list a distance about
+    the cluster's; one at least. An equi-join on the step of the distance's logarithm."""
+    step = lambda c: F.floor(F.log(c) / STEP).cast("int")
+    each = entries.select("organizer", "entry", F.explode("km").alias("km")).where("km > 0").distinct().withColumn("step", F.explode(F.sequence(step("km") - 1, step("km") + 1)))
+    met = clusters.select("organizer", "canon").distinct().where("canon > 0").withColumn("step", step("canon")).join(each, ["organizer", "step"]).where(text.roughly_equal(F.col("canon"), F.col("km")))
+    counted = met.select("organizer", "canon", "entry").distinct().groupBy("organizer", "canon").agg(F.count("*").alias("places"))
+    return clusters.select("organizer", "canon").distinct().join(counted, ["organizer", "canon"], "left").withColumn("places", F.greatest(F.lit(1).cast("long"), F.coalesce("places", F.lit(1))))
+
+
+def merge_discoveries(rows: DataFrame, fields: list[str], priority: Column, longest: tuple[str, ...] = ()) -> DataFrame:
     """One row per organizer and name (without case; rows without a name stay by themselves): of each field the first value that isn't null
-    by priority, all urls each once, all distances each once and sorted, and the latest date. Needs id, organizer, name, urls, km, date."""
+    by priority, but of those named in `longest` (places, say) the longest, all urls each once, all distances each once and sorted, and the latest date. Needs id, organizer, name, urls, km, date."""
     name = F.coalesce(F.lower(F.trim("name")), F.concat(F.lit("\0"), F.col("id").cast("string")))
     grouped = rows.withColumns({"__name": name, "__p": priority}).groupBy("organizer", "__name")
-    kept = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("__p", "id"))).alias(c) for c in fields]
+    size = lambda c: (F.when(c.isNotNull(), -F.length(F.trim(c))),)
+    kept = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*(size(F.col(c)) if c in longest else ()), "__p", "id"))).alias(c) for c in fields]
     return grouped.agg(F.min("id").alias("id"), *kept, F.array_sort(F.array_distinct(F.flatten(F.collect_list("urls")))).alias("urls"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("km")))).alias("km"), F.max("date").alias("date")).drop("__name")
 
 
@@ -107,6 +118,13 @@ def unclaimed_distances(listed: Column, claimed: Column) -> Column:
     return F.aggregate(free, F.array().cast("array<double>"), lambda a, x: F.when(F.exists(a, lambda y: text.roughly_equal(y, x)), a).otherwise(F.array_append(a, x)))
 
 
+def unclaimed_labels(listed: Column, claimed: Column, labels: Column, claimed_labels: Column) -> Column:
+    """unclaimed_distances() as texts, and after them the labels that aren't distances ("backyard") and that none has claimed, each once without case."""
+    low = lambda a: F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+    free = F.array_sort(F.array_distinct(F.array_except(low(labels), low(claimed_labels))))
+    return F.concat(F.transform(unclaimed_distances(listed, claimed), text.format_km), F.filter(free, lambda x: x != ""))
+
+
 def absorb_points(features: DataFrame, fields: list[str]) -> DataFrame:
     """features (organizer, id, is_line, km as an array, urls, and fields) with points merged into their organizer's lines.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, pages
-from ..operators import jobs, merge, races, tiles, vector_tiles
+from ..operators import intake, jobs, merge, races, tiles, vector_tiles
 from ..sources import documents
 from .registry import lat_sql, lng_sql, place, query, tile_x_sql, tile_y_sql
 from .tile_layers import _ways
@@ -192,3 +193,56 @@ def merged_points(t):
     none = F.array().cast("array<string>").alias("urls")
     points = t("customer").select(F.col("c_nationkey").alias("organizer"), F.col("c_custkey").alias("id"), F.lit(False).alias("is_line"), F.array(_km("c_custkey", 37)).alias("km"), none, F.when(F.col("c_custkey") % 8 > 0, F.col("c_mktsegment")).alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("fee"))
     return races.merge_points(points, ["fee"]).select("organizer", "id", "name", "fee")
+
+
+#: Two sources of events, where they list them and where each field stands.
+SOURCES = {
+    "markers": {"items": "$.markers", "name": "$.title", "date": ["$.when", "$.day"], "country": "$.land", "lat": "$.latitude", "lng": "$.longitude", "urls": ["$.site", "$.page"]},
+    "hits": {"items": "$.data.hits", "name": "$.name", "date": "$.start.date", "distance": "$.length", "race_type": "$.kind", "urls": "$.links[0]"},
+}
+
+
+@query(
+    "jobs_from_sources",
+    """select 'markers' as source, p_partkey as id, p_name as name, '2026-05-' || lpad((1 + p_partkey % 28)::varchar, 2, '0') as date, case when p_size % 2 = 0 then 'SE' end as country, p_size::double as lat, null as race_type, 'https://www.e' || p_brand || '.org/x' as url, case when p_size % 3 = 0 then 1 else 2 end as n_urls from part where p_partkey % 2 = 0
+    union all select 'hits', p_partkey, p_name, '2026-06-' || lpad((1 + p_partkey % 28)::varchar, 2, '0'), null, null, 'trail', 'https://e' || p_brand || '.org', 1 from part where p_partkey % 2 = 1""",
+)
+def jobs_from_sources(t):
+    """Events of two sources by the table of their field paths: a part is an event, odd ones of the second source."""
+    k, day, home = F.col("p_partkey"), F.lpad((1 + F.col("p_partkey") % 28).cast("string"), 2, "0"), F.concat(F.lit("https://www.e"), "p_brand", F.lit(".org/x"))
+    other = F.when(F.col("p_size") % 3 == 0, F.upper(home)).otherwise(F.concat(home, F.lit("/2")))
+    marker = F.struct(F.concat(F.lit(" "), "p_name").alias("title"), F.when(k % 4 == 0, F.lit(" ")).otherwise(F.concat(day, F.lit(".05.2026"))).alias("when"), F.concat(F.lit("2026-05-"), day).alias("day"), F.when(F.col("p_size") % 2 == 0, "Sweden").alias("land"), F.col("p_size").cast("string").alias("latitude"), home.alias("site"), other.alias("page"))
+    hit = F.struct(F.col("p_name").alias("name"), F.struct(F.concat(F.lit("202606"), day).alias("date")).alias("start"), F.lit("10").alias("length"), F.lit("trail running").alias("kind"), F.array(F.concat(F.lit("https://e"), "p_brand", F.lit(".org"))).alias("links"))
+    value = F.when(k % 2 == 0, F.to_json(F.struct(F.array(marker).alias("markers")))).otherwise(F.to_json(F.struct(F.struct(F.array(hit).alias("hits")).alias("data"))))
+    answers = t("part").select(F.when(k % 2 == 0, "markers").otherwise("hits").alias("source"), value.alias("value"), k.alias("id"))
+    # an answer's id goes with its name
+    jobs_ = intake.jobs_from(answers.withColumn("value", F.regexp_replace("value", '"(title|name)":"', F.concat(F.lit('"$1":"'), F.col("id"), F.lit("~")))), SOURCES, F.lit("2026-01-01").cast("date"))
+    id_, name = F.split_part("name", F.lit("~"), F.lit(1)).cast("long"), F.trim(F.split_part("name", F.lit("~"), F.lit(2)))
+    return jobs_.select("source", id_.alias("id"), name.alias("name"), "date", "country", "lat", "race_type", F.col("urls")[0].alias("url"), F.size("urls").alias("n_urls"))
+
+
+@query("ids_of_names", "select n.p_name as name, min(s.p_partkey) as id, count(s.p_partkey) as n from (select distinct p_name from part) n left join part s on s.p_name = n.p_name and s.p_size > 25 group by 1")
+def ids_of_names(t):
+    """Names of parts looked up among the large ones, written in capitals there."""
+    return intake.ids_of_names(t("part").select(F.col("p_name").alias("name")), t("part").where("p_size > 25").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("name")))
+
+
+@query("work_items", "select distinct sha256('peaks|7|' || o_custkey) as message_id, 'peaks' as work, o_custkey as id from orders where o_custkey not in (select c_custkey from customer where c_nationkey = 2)")
+def work_items(t):
+    """Customers with orders put on a work list once, without those that are on it already."""
+    new = intake.work_items(t("orders"), "peaks", F.lit(7), "o_custkey")
+    return intake.add_items(intake.work_items(t("customer").where("c_nationkey = 2"), "peaks", F.lit(7), "c_custkey"), new)
+
+
+@query("visited_order", "select feature_id, times, name from (select l_partkey as feature_id, count(distinct l_orderkey) as times, any_value(p_name) as name from lineitem join part on p_partkey = l_partkey where p_size = 7 group by 1)")
+def visited_order(t):
+    """Features by how often they were visited, then by name, with their names."""
+    visited = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("feature_id")).join(t("part").where("p_size = 7").select(F.col("p_partkey").alias("feature_id"), F.col("p_name").alias("name")), "feature_id")
+    return visited.groupBy("feature_id").agg(F.count_distinct("l_orderkey").alias("times"), F.first("name").alias("name")).orderBy(F.desc("times"), "name", "feature_id")
+
+
+@query("key_order", "select c_mktsegment || '-' || c_custkey as key, row_number() over (order by c_mktsegment || '-' || c_custkey) as place from customer qualify place <= 50")
+def key_order(t):
+    """The first keys by their bytes."""
+    keys = t("customer").select(F.concat_ws("-", "c_mktsegment", "c_custkey").alias("key")).orderBy("key").limit(50)
+    return keys.withColumn("place", F.row_number().over(Window.orderBy("key")).cast("long"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..operators import merge
 from ..sources import shared
 from ..streaming import feeds, status
-from .registry import ORACLES, QUERIES
+from .registry import BOX_SQL, ORACLES, QUERIES, boxes, lat_sql, lng_sql, place
 
 
 def _feed(spark: SparkSession, sf_dir: str):
@@ -66,8 +67,20 @@ def streamed_status(spark: SparkSession, sf_dir: str):
     return status.counters(spark, folder, ["user_id", "what", "name"])
 
 
-QUERIES |= {"streamed_status": streamed_status, "streamed_state": streamed_state, "streamed_work_lists": streamed_work_lists, "streamed_facts": streamed_facts, "streamed_windows": streamed_windows, "streamed_marks": streamed_marks}
+def streamed_due(spark: SparkSession, sf_dir: str):
+    """Boundaries that a feed of changed features makes due: events are boundaries, peaks and paths by their kind."""
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    folder, kind = shared.new_folder(spark), F.col("event_type")
+    named = F.when(kind == "view", "peak").when(kind == "click", "adminBoundary").otherwise("path")
+    changed = _feed(spark, sf_dir).select(F.col("event_id").cast("string").alias("feature_id"), named.alias("kind"), F.when(F.col("event_id") % 5 == 0, "x").alias("stored_id"), geo.point(*place("event_id")).alias("centroid"), (F.col("event_id") % 3).cast("string").alias("version"), (F.col("value") > 100).alias("forced"))
+    feeds.keep_due(changed, boxes(table), folder, shared.new_folder(spark), 2, F.col("forced"), 9).awaitTermination()
+    return feeds.current_due(spark, folder)
+
+
+QUERIES |= {"streamed_due": streamed_due, "streamed_status": streamed_status, "streamed_state": streamed_state, "streamed_work_lists": streamed_work_lists, "streamed_facts": streamed_facts, "streamed_windows": streamed_windows, "streamed_marks": streamed_marks}
 ORACLES |= {
+    "streamed_due": f"""select event_id::varchar as polygon_id, 'own' as why from events where event_type = 'click' and event_id % 5 <> 0 and (event_id % 3 < 2 or value > 100)
+        union all select distinct polygon_id::varchar, 'within' from events join ({BOX_SQL}) on {lng_sql('event_id')} between x0 and x0 + 0.35::double and {lat_sql('event_id')} between y0 and y0 + 0.35::double where event_type = 'view' and event_id % 5 <> 0""",
     "streamed_status": """with e as (select user_id, event_id % 11 as activity_id, case event_type when 'view' then 'peaks' when 'click' then 'paths' when 'purchase' then 'areas' end as kind, (floor(value / 25)::bigint)::varchar as name, ts, event_type = 'error' as deleted from events where user_id is not null),
         a as (select user_id, activity_id, max(case when deleted then ts end) as gone from e group by all),
         f as (select user_id, activity_id, kind, name from e join a using (user_id, activity_id) where kind is not null group by all having max(ts) > coalesce(any_value(gone), timestamp '1900-01-01')),

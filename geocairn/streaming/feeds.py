@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import features
+
 
 def read_changes(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """A stream of the Parquet files of a folder (or one file), so many to a batch."""
@@ -58,6 +60,29 @@ def fact_sets(facts: DataFrame, activity: str = "activity_id") -> DataFrame:
     return facts.groupBy("user_id", "feature_id").agg(F.array_sort(F.collect_set(activity)).alias("activity_ids"))
 
 
+def keep_due(stream: DataFrame, boundaries: DataFrame, folder: str, checkpoint: str, current: int, forced: Column | None = None, zoom: int = 8) -> StreamingQuery:
+    """A feed of changed features (feature_id, kind, stored_id, centroid, version) made into boundaries whose metrics are due, polygon_id and why, in <folder>: a boundary that
+    changed itself and was made by an older version than `current` or is forced ("own"), and boundaries that hold a changed peak or area ("within").
+
+    What a repeated batch says is said again under its own number, so that current_due() has each boundary once.
+    """
+    always = F.lit(False) if forced is None else F.coalesce(forced, F.lit(False))
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch = batch.withColumn("forced", always)
+        own = batch.where(features.should_enrich(F.col("kind"), F.col("feature_id"), F.col("stored_id"), F.when(~F.col("forced"), F.col("version")), current))
+        within = features.due_boundaries(batch.select("feature_id", "kind", "stored_id", "centroid"), boundaries, zoom)
+        ids = own.select(F.col("feature_id").cast("string").alias("polygon_id"), F.lit("own").alias("why")).unionByName(within.select(F.col("polygon_id").cast("string"), F.lit("within").alias("why")))
+        ids.distinct().write.mode("overwrite").parquet(f"{folder}/batch_id={number}")
+
+    return _start(stream, each, checkpoint)
+
+
+def current_due(spark: SparkSession, folder: str) -> DataFrame:
+    """polygon_id and why of the boundaries due, each once a reason."""
+    return spark.read.parquet(folder).select("polygon_id", "why").distinct()
+
+
 def keep_log(stream: DataFrame, folder: str, checkpoint: str, good: Column | None = None) -> StreamingQuery:
     """Rows as they come to <folder>; rows that don't meet `good` go to quarantine=true and are left out by readers that ask for false."""
 
