@@ -8,13 +8,15 @@ by the number of such links, no more than a tenth of a link is expected to be mi
 
 The sorted signatures of a trie node are walked once, with a bounded number of leaders: a document goes with a leader that is almost the
 same, else it becomes one, and is tied to each leader of which it may be near a follower. So a chain of weakly alike texts that meet
-by their prefixes doesn't become one group. Documents tied together, directly or through others, form candidate groups. A group is dealt
+by their prefixes doesn't become one group. A node of very many documents is dealt into parts, which are walked side by side; the leaders of
+its parts meet as a smaller node, and so on, until what is left fits one walk. Documents tied together, directly or through others, form candidate groups. A group is dealt
 into blocks, and each pair of blocks is one unit of work: it intersects the shingle sets of all its pairs exactly and returns, for each
 class, the number of documents it links to and the local component it is in. So no pair is ever a row, and a group of any size is spread over tasks.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ TREES, DEPTH, RECALL = 48, 12, 0.999
 MARKS, LEADERS = 256, 256
 #: Likeness of signatures at which a document goes with a leader.
 SAME = 0.97
+#: Documents of a node that are walked by one task, about; a larger node is walked in parts.
+PART = 4096
 #: A link that no more trees than these caught shows that others may have been missed; so many may be, by expectation, in the end.
 FEW_TREES, MISSED = 1, 0.1
 #: Documents whose trie nodes (trees * 16 bytes each), and ids of documents, that are broadcast, at most.
@@ -52,13 +56,14 @@ def shared_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recal
     return depth
 
 
-def tie_level(threshold: float, same: float = SAME, marks: int = MARKS) -> float:
+def tie_level(threshold: float, same: float = SAME, marks: int = MARKS, level: int = 0) -> float:
     """Share of equal minhashes at which a document is tied to a leader.
 
     One within `threshold` of a follower is, by the triangle inequality of Jaccard distances, within threshold + (the follower's own
-    similarity) - 1 of its leader; both similarities may be five standard errors below what the signatures show."""
+    similarity) - 1 of its leader; both similarities may be five standard errors below what the signatures show. Where leaders of parts
+    meet, each of the two stands for followers of its own at every level passed, so there are two more such steps a level."""
     low = lambda s: s - 5 * (max(0.0, s * (1 - s)) / marks) ** 0.5
-    return low(max(0.0, threshold + low(same) - 1))
+    return max(0.0, low(max(0.0, threshold + (1 + 2 * level) * (low(same) - 1))))
 
 
 class Signer:
@@ -114,9 +119,9 @@ def trie_nodes(signed: DataFrame, shared: int, trees: int = TREES, depth: int =
 
 
 def shared_nodes(nodes: DataFrame) -> DataFrame:
-    """The rows of nodes (id, node) whose node holds another id too, with the node's least id."""
-    held = nodes.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
-    return nodes.join(held.select("node", "least"), "node")
+    """The rows of nodes (id, node) whose node holds another id too, with the node's least id and its number of rows."""
+    held = nodes.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("size")).where("least != most")
+    return nodes.join(held.select("node", "least", "size"), "node")
 
 
 def small(rows: DataFrame, n: int, bound: int) -> DataFrame:
@@ -124,44 +129,78 @@ def small(rows: DataFrame, n: int, bound: int) -> DataFrame:
     return F.broadcast(rows) if n <= bound else rows
 
 
-def ties(signed: DataFrame, nodes: DataFrame, threshold: float, trees: int = TREES, depth: int = DEPTH, leaders: int = LEADERS) -> DataFrame:
-    """Pairs a, b of ids of a trie node (id, node, least: the node's least id) that may be near, each of them or through the node's leaders.
-
-    The least id is the node's first leader, so that a group of near copies is tied to few ids whatever the trees."""
-    least = tie_level(threshold)
+def _walk(least: float, leaders: int):
+    """Walks rows (node, part, parts, id, marks) in order of node and part: a tie of id a to id b, and with null b an id that goes on
+    to the next level, as it leads or as the leaders of its part were full. A part that is its whole node has no next level: what
+    finds the leaders full goes with the first of them there."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, count = None, 0
+        at, count = None, 0
         marks, names, tied = np.empty((leaders, MARKS), np.uint8), np.empty(leaders, np.int64), np.empty(leaders, np.int64)
         for batch in batches:
-            own, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            signs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-            a, b = [], []
+            own, part, parts, ids = (batch.column(k).to_numpy() for k in range(4))
+            signs = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
+            nodes, a, b = [], [], []
             for i in range(len(ids)):
-                if own[i] != node:
-                    node, count = own[i], 0
+                if (own[i], part[i]) != at:
+                    at, count = (own[i], part[i]), 0
                 sign, best, met = signs[i], 0.0, np.empty(0, np.int64)
                 if count:
                     alike = np.count_nonzero(marks[:count, : len(sign)] == sign, axis=1) / len(sign)
                     best = alike.max()
                     near = alike >= least
-                    if best < SAME and count == leaders:
+                    if best < SAME and count == leaders and parts[i] == 1:
                         near[0] = True
                     met = np.unique(tied[:count][near])
                     for k in met:  # leaders that are tied already need one tie
+                        nodes.append(own[i])
                         a.append(ids[i])
                         b.append(names[k])
                     if len(met) > 1:
                         tied[:count][np.isin(tied[:count], met)] = met[0]
-                if best < SAME and count < leaders:
-                    marks[count, : len(sign)], names[count], tied[count] = sign, ids[i], met[0] if len(met) else count
-                    count += 1
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if best < SAME:
+                    if count < leaders:
+                        marks[count, : len(sign)], names[count], tied[count] = sign, ids[i], met[0] if len(met) else count
+                        count += 1
+                    if parts[i] > 1:
+                        nodes.append(own[i])
+                        a.append(ids[i])
+                        b.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, a, b)], names=["node", "a", "b"])
+
+    return walk
+
+
+def ties(signed: DataFrame, nodes: DataFrame, threshold: float, trees: int = TREES, depth: int = DEPTH, leaders: int = LEADERS, part: int = PART) -> DataFrame:
+    """Pairs a, b of ids of a trie node (id, node, least: the node's least id, size: its rows, counted where missing) that may be
+    near, each of them or through the node's leaders.
 
+    The least id is the node's first leader, so that a group of near copies is tied to few ids whatever the trees. Nodes of more than
+    `part` rows are walked in parts, and what leads there is walked again. A node that doesn't shrink to half its rows by that holds
+    many texts that differ: all that is left of it is tied to the least id, which takes no walk."""
     tree = F.col("node").bitwiseAND(F.lit((1 << (trees - 1).bit_length()) - 1)).cast("int")
-    held = nodes.join(signed.select("id", "signature"), "id").select("node", "id", (F.col("id") != F.col("least")).alias("later"), F.substring("signature", 1, MARKS).alias("marks"), F.substring(F.col("signature"), tree * depth + 1, F.lit(depth)).alias("sequence"))
-    in_order = held.repartition("node").sortWithinPartitions("node", "later", "sequence", "id").select("node", "id", "marks")
-    return in_order.mapInArrow(walk, "a long, b long").where("a != b").distinct()
+    signs = signed.select("id", "signature")
+    if "size" not in nodes.columns:
+        nodes = nodes.join(nodes.groupBy("node").agg(F.count("*").alias("size")), "node")
+    found: DataFrame | None = None
+    for level in itertools.count():
+        held = nodes.withColumn("parts", F.ceil(F.col("size") / part).cast("int")).join(signs, "id").select(
+            "node", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "parts", "id", (F.col("id") != F.col("least")).alias("later"),
+            F.substring("signature", 1, MARKS).alias("marks"), F.substring(F.col("signature"), tree * depth + 1, F.lit(depth)).alias("sequence"),
+        )
+        in_order = held.repartition("node", "part").sortWithinPartitions("node", "part", "later", "sequence", "id").select("node", "part", "parts", "id", "marks")
+        walked = cut(in_order.mapInArrow(_walk(tie_level(threshold, level=level), leaders), "node long, a long, b long"))
+        pairs = walked.where("a != b").select("a", "b").distinct()
+        found = pairs if found is None else found.unionByName(pairs)
+        left = walked.where("b is null").select("node", F.col("a").alias("id"))
+        if left.isEmpty():
+            return found.distinct() if level else found
+        before = nodes.groupBy("node").agg(F.max("size").alias("before"))
+        now = left.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("size")).join(before, "node")
+        left = cut(left.join(now, "node"))
+        differ = F.col("size") * 2 > F.col("before")
+        found = found.unionByName(left.where(differ & (F.col("id") != F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b")))
+        nodes = left.where(~differ).drop("before")
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

@@ -147,6 +147,65 @@ def test_leaders_lose_no_near_pair(spark):
     assert {x["doc_id"]: x["n_links"] for x in got} == {i: sum(i in p for p in links) for i in range(150)}
 
 
+@pytest.mark.parametrize("part", [8, 20])
+def test_nodes_walked_in_parts_lose_no_near_pair(spark, part):
+    """One node of near copies of three texts, of a chain and of texts unlike any other, in parts of a few rows: over several levels."""
+    r = np.random.default_rng(9)
+    texts = []
+    for k in range(3):
+        for _ in range(70):
+            words = prose(900 + k, 300, 5000).split()
+            for _ in range(int(r.integers(0, 6))):
+                words[int(r.integers(0, 300))] = f"z{r.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    chain = prose(77, 200, 5000).split()
+    for k in range(30):
+        chain[int(r.integers(0, 200))] = f"y{k}"
+        texts.append(" ".join(chain))
+    texts += [prose(3000 + k, 100, 9000) for k in range(10)]
+    order = r.permutation(len(texts))
+    sets = [set(zip(*[texts[k].split()[i:] for i in range(5)], strict=False)) for k in order]
+    rows = [(k, texts[o], "en", "s", 0) for k, o in enumerate(order)]
+    signed = near.signatures(spark.createDataFrame(rows, SCHEMA)).select(F.col("doc_id").alias("id"), "signature")
+    everyone = signed.select("id", F.lit(64).cast("long").alias("node"), F.lit(0).cast("long").alias("least"))
+    component = {x["id"]: x["component"] for x in near.components(near.ties(signed, everyone, 0.8, part=part)).collect()}
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(links) > 5000 and all(component[i] == component[j] for i, j in links)
+
+
+def test_parts_of_texts_that_differ_are_one_group(spark):
+    """Nothing folds, so the rest of the node is tied to its least id without another walk."""
+    rows = [(k, prose(100 + k, 60, 9000), "en", "s", 0) for k in range(40)]
+    signed = near.signatures(spark.createDataFrame(rows, SCHEMA)).select(F.col("doc_id").alias("id"), "signature")
+    everyone = signed.select("id", F.lit(64).cast("long").alias("node"), F.lit(0).cast("long").alias("least"))
+    got = near.ties(signed, everyone, 0.8, part=10).collect()
+    assert {(x["a"], x["b"]) for x in got} >= {(k, 0) for k in range(1, 40)}
+
+
+@pytest.mark.parametrize("level", range(6))
+def test_tie_level_falls_with_levels(level):
+    assert 0 <= near.tie_level(0.8, level=level + 1) <= near.tie_level(0.8, level=level) < 0.8
+
+
+def test_links_just_above_the_threshold_are_found(spark):
+    """Pairs whose sets are 0.80 to 0.85 alike, and pairs just below: all of the first, none of the second."""
+    r = np.random.default_rng(4)
+    rows, alike = [], {}
+    for k in range(240):
+        a = prose(20_000 + k, 230, 9000).split()
+        b = list(a)
+        for at in r.choice(46, int(r.integers(4, 7)), replace=False) * 5:  # a word changed takes five shingles
+            b[at] = f"q{k}x{at}"
+        rows += [(2 * k, " ".join(a), "en", "s", 0), (2 * k + 1, " ".join(b), "en", "s", 0)]
+        x, y = (set(zip(*[t[i:] for i in range(5)], strict=False)) for t in (a, b))
+        alike[2 * k] = len(x & y) / len(x | y)
+    got = {x["doc_id"]: x["n_links"] for x in near.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    close = [d for d, j in alike.items() if 0.8 <= j < 0.85]
+    assert len(close) > 50 and any(j < 0.8 for j in alike.values())
+    assert sum(got[d] for d in close) >= 0.99 * len(close)
+    assert all(got[d] == 0 for d, j in alike.items() if j < 0.8)
+
+
 def test_few_trees_shorten_prefixes(spark, corpus, monkeypatch):
     """With one tree many pairs are caught by few; shortening for their documents finds more, and never a wrong one."""
     rows = sorted({r for r in corpus if r[0] is not None}, key=lambda r: r[0])
