@@ -103,6 +103,8 @@ def _let(value: Column, body) -> Column:
 
 
 _MONTH_NUMBER = {name: [e for _, e in MONTHS[:12]].index(english) + 1 for name, english in MONTHS} | {e: k for k, (_, e) in enumerate(MONTHS[:12], 1)}
+#: All names of months.
+MONTH_NAMES = tuple(_MONTH_NUMBER)
 _SHORT_MONTH = {e[:3]: k for k, (_, e) in enumerate(MONTHS[:12], 1)}
 
 
@@ -366,6 +368,42 @@ def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
 
 
+def repaired_url(url: Column) -> Column:
+    """An address whose scheme stands there twice, the second perhaps without its colon or behind other letters, from its second scheme on."""
+    parts = F.split(url, "//")
+    inner = F.regexp_extract(F.get(parts, F.lit(1)), "(?i)(https?):?$", 1)
+    doubled = F.lower(parts[0]).isin("http:", "https:") & (F.size(parts) > 2) & ~F.contains(F.get(parts, F.lit(1)), F.lit("/")) & (inner != "")
+    return F.when(doubled, F.concat(inner, F.lit("://"), F.array_join(F.slice(parts, 3, F.size(parts)), "//"))).otherwise(url)
+
+
+def address_slug(url: Column, number: Column | None = None) -> Column:
+    """The host and the parts of the path with "-" between them, and the number of one of several routes of an address after them."""
+    path = F.translate(F.trim(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/")), "/", "-")
+    return F.when(host(url).isNotNull(), F.concat_ws("-", host(url), F.nullif(path, F.lit("")), *([] if number is None else [number.cast("string")])))
+
+
+def name_slug(*parts: Column) -> Column:
+    """The slugs of a name, a distance and so on with "-" between them; null where none is left."""
+    return F.nullif(F.concat_ws("-", *[F.nullif(slug(p), F.lit("")) for p in parts]), F.lit(""))
+
+
+#: Hosts whose events aren't taken.
+IGNORED_HOSTS = ("test.com",)
+
+
+def event_key(urls: list[Column], name: Column, distance: Column, ignored: tuple[str, ...] = IGNORED_HOSTS) -> Column:
+    """struct<key, url> of an event: of the first of its addresses that is given, in order of trust, its organizer's key; where none is, the slug of its
+    name and distance, with an address of its own scheme. Null where that first address is on an ignored host, and where nothing is given."""
+    pair = lambda key, url: F.struct(key.alias("key"), url.alias("url"))
+
+    def of(u: Column) -> Column:
+        named = name_slug(name, distance)
+        given = F.when(~F.coalesce(host(u).isin(*ignored), F.lit(False)), pair(organizer_key(u), u))
+        return F.when(u.isNotNull(), given).when(named.isNotNull(), pair(named, F.concat(F.lit("name://"), named)))
+
+    return _let(repaired_url(F.coalesce(*[F.nullif(F.trim(u), F.lit("")) for u in urls])), of)
+
+
 def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(html, "<[^>]+>", " "))
 

@@ -94,6 +94,12 @@ def boundary_countries(boundaries: DataFrame, countries: DataFrame, zoom: int =
     return out.withColumn("country_code", F.coalesce("country_code", text.country_of_tags(F.col("tags"))))
 
 
+def with_country_names(rows: DataFrame, code: str, countries: DataFrame, name: str = "country") -> DataFrame:
+    """rows with the name of their country: of the countries (country_code, name) of that code without case (of several the least name), else the code itself."""
+    named = countries.where("country_code is not null and name is not null").groupBy(F.upper(F.trim("country_code")).alias("__code")).agg(F.min("name").alias("__name"))
+    return rows.withColumn("__code", F.upper(F.trim(F.col(code)))).join(named, "__code", "left").withColumn(name, F.coalesce("__name", F.col(code))).drop("__code", "__name")
+
+
 def has_code(tags: Column, names: list[str], codes: list[str]) -> Column:
     """Whether any of the tags holds one of the codes, without case."""
     held = F.filter(F.array(*[F.upper(F.try_element_at(tags, F.lit(n))) for n in names]), lambda v: v.isNotNull())

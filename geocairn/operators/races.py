@@ -52,14 +52,31 @@ def top_per_cluster(routes: DataFrame, per_cluster: DataFrame) -> DataFrame:
     return ranked.where(F.col("canon").isNull() | (F.col("__rank") <= F.greatest(F.lit(1), F.coalesce("places", F.lit(1))))).drop("__rank", "places")
 
 
+def _steps(km: str) -> Column:
+    """The step of a distance's logarithm."""
+    return F.floor(F.log(km) / STEP).cast("int")
+
+
+def remeasured(entries: DataFrame) -> DataFrame:
+    """organizer and entry of those entries (organizer, entry, km as an array) that list one distance only and say that of another entry's list anew: the
+    organizer's first entry, by `entry`, of several distances with one about the same has none that is the same."""
+    each = entries.select("organizer", "entry", F.array_distinct(F.filter("km", lambda k: k > 0)).alias("km"))
+    single = each.where("size(km) = 1").select("organizer", "entry", F.col("km")[0].alias("own")).withColumn("step", F.explode(F.sequence(_steps("own") - 1, _steps("own") + 1)))
+    listed = each.where("size(km) > 1").select("organizer", F.col("entry").alias("other"), F.explode("km").alias("km")).withColumn("step", _steps("km"))
+    met = single.join(listed, ["organizer", "step"]).where(text.roughly_equal(F.col("own"), F.col("km")))
+    first = F.min(F.struct("other", (F.abs(F.col("km") - F.col("own")) >= 1e-9).alias("anew")))
+    return met.groupBy("organizer", "entry").agg(first["anew"].alias("anew")).where("anew").drop("anew")
+
+
 def places_per_cluster(clusters: DataFrame, entries: DataFrame) -> DataFrame:
     """organizer, canon and places for clusters (organizer, canon): how many of the organizer's entries (organizer, entry, km as an array) list a distance about
-    the cluster's; one at least. An equi-join on the step of the distance's logarithm."""
-    step = lambda c: F.floor(F.log(c) / STEP).cast("int")
-    each = entries.select("organizer", "entry", F.explode("km").alias("km")).where("km > 0").distinct().withColumn("step", F.explode(F.sequence(step("km") - 1, step("km") + 1)))
-    met = clusters.select("organizer", "canon").distinct().where("canon > 0").withColumn("step", step("canon")).join(each, ["organizer", "step"]).where(text.roughly_equal(F.col("canon"), F.col("km")))
+    the cluster's, but for those that only say a listed one anew (remeasured()); one at least. An equi-join on the step of the distance's logarithm."""
+    each = entries.join(remeasured(entries), ["organizer", "entry"], "left_anti").select("organizer", "entry", F.explode("km").alias("km")).where("km > 0").distinct()
+    each = each.withColumn("step", F.explode(F.sequence(_steps("km") - 1, _steps("km") + 1)))
+    clusters = clusters.select("organizer", "canon").distinct()
+    met = clusters.where("canon > 0").withColumn("step", _steps("canon")).join(each, ["organizer", "step"]).where(text.roughly_equal(F.col("canon"), F.col("km")))
     counted = met.select("organizer", "canon", "entry").distinct().groupBy("organizer", "canon").agg(F.count("*").alias("places"))
-    return clusters.select("organizer", "canon").distinct().join(counted, ["organizer", "canon"], "left").withColumn("places", F.greatest(F.lit(1).cast("long"), F.coalesce("places", F.lit(1))))
+    return clusters.join(counted, ["organizer", "canon"], "left").withColumn("places", F.greatest(F.lit(1).cast("long"), F.coalesce("places", F.lit(1))))
 
 
 def merge_discoveries(rows: DataFrame, fields: list[str], priority: Column, longest: tuple[str, ...] = ()) -> DataFrame:

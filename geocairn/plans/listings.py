@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, pages
-from ..operators import intake, jobs, merge, races, tiles, vector_tiles
+from ..functions import geo, pages, text
+from ..operators import features, intake, jobs, merge, races, tiles, vector_tiles
 from ..sources import documents
 from .registry import lat_sql, lng_sql, place, query, tile_x_sql, tile_y_sql
 from .tile_layers import _ways
@@ -246,3 +246,56 @@ def key_order(t):
     """The first keys by their bytes."""
     keys = t("customer").select(F.concat_ws("-", "c_mktsegment", "c_custkey").alias("key")).orderBy("key").limit(50)
     return keys.withColumn("place", F.row_number().over(Window.orderBy("key")).cast("long"))
+
+
+#: Whether two distances are about the same.
+ROUGH_SQL = "({a} = {b} or abs({a} - {b}) < 0.09::DOUBLE * greatest({a}, {b}))"
+
+
+@query(
+    "route_places",
+    f"""with e as (select o_custkey as organizer, o_orderkey as entry, list_distinct(list(l_quantity::DOUBLE)) as km from orders join lineitem on o_orderkey = l_orderkey group by all),
+    t as (select organizer, entry, len(km) as n, unnest(km) as km from e),
+    anew as (select organizer, entry from (select s.organizer, s.entry, m.entry as other, max((abs(s.km - m.km) < 1e-9)::int) as same
+        from t s join t m on s.organizer = m.organizer and s.n = 1 and m.n > 1 and {ROUGH_SQL.format(a="s.km", b="m.km")} group by all) group by all having arg_min(same, other) = 0),
+    r as (select o_custkey as organizer, l_orderkey * 8 + l_linenumber as route_id, ceil(l_quantity::DOUBLE / 10) * 10 as canon, l_shipdate as date, l_linenumber % 2 = 0 as has_geometry from orders join lineitem on o_orderkey = l_orderkey),
+    p as (select c.organizer, c.canon, count(distinct t.entry) as places from (select distinct organizer, canon from r) c join t on c.organizer = t.organizer and {ROUGH_SQL.format(a="c.canon", b="t.km")}
+        where not exists (select 1 from anew where anew.organizer = t.organizer and anew.entry = t.entry) group by all),
+    k as (select r.*, greatest(1, coalesce(places, 1)) as places, row_number() over (partition by r.organizer, r.canon order by date desc, has_geometry desc, route_id) as place from r left join p using (organizer, canon))
+    select organizer, canon, route_id, places from k where place <= places""",
+)
+def route_places(t):
+    """Of a customer's routes (lines of orders) of a cluster as many as its entries (orders) have places for, but for entries that say a listed distance anew."""
+    lines = t("orders").select("o_orderkey", F.col("o_custkey").alias("organizer")).join(t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("km"), "l_shipdate"), F.col("o_orderkey") == F.col("l_orderkey"))
+    entries = lines.groupBy("organizer", F.col("o_orderkey").alias("entry")).agg(F.collect_set("km").alias("km"))
+    routes_ = lines.select("organizer", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("route_id"), (F.ceil(F.col("km") / 10) * 10).cast("double").alias("canon"), F.col("l_shipdate").alias("date"), (F.col("l_linenumber") % 2 == 0).alias("has_geometry"))
+    places = races.places_per_cluster(routes_, entries)
+    return races.top_per_cluster(routes_, places).join(places, ["organizer", "canon"]).select("organizer", "canon", "route_id", "places")
+
+
+@query(
+    "event_keys",
+    """select s_suppkey, case when s_suppkey % 3 = 0 then 'ev' || s_suppkey % 50 || '.org' when s_suppkey % 5 = 1 then null when s_suppkey % 2 = 0 then 'two' || s_suppkey % 20 || '.com'
+        else lower(replace(s_name, '#', '-')) || case when s_suppkey % 7 > 0 then '-' || s_suppkey % 7 || '-km' else '' end end as key,
+    case when s_suppkey % 3 = 0 then 'https://www.ev' || s_suppkey % 50 || '.org/x' when s_suppkey % 5 = 1 then null when s_suppkey % 2 = 0 then 'http://two' || s_suppkey % 20 || '.com/'
+        else 'name://' || lower(replace(s_name, '#', '-')) || case when s_suppkey % 7 > 0 then '-' || s_suppkey % 7 || '-km' else '' end end as url from supplier""",
+)
+def event_keys(t):
+    """Keys of events by the first address given, of a broken one what can be read, none on an ignored host, else by name and distance."""
+    k, said = F.col("s_suppkey"), lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    urls = [F.when(k % 3 == 0, said("https://www.ev", (k % 50).cast("string"), ".org/x")), F.when(k % 5 == 1, "https://www.test.com/a").when(k % 4 == 1, " "), F.when(k % 2 == 0, said("https://http//two", (k % 20).cast("string"), ".com/"))]
+    found = text.event_key(urls, F.col("s_name"), F.when(k % 7 > 0, said((k % 7).cast("string"), " km")))
+    return t("supplier").select("s_suppkey", found["key"].alias("key"), found["url"].alias("url"))
+
+
+@query(
+    "country_names",
+    """select s_suppkey, coalesce(name, code) as country from (select s_suppkey, substr(n_name, 1, 2) as code from supplier join nation on s_nationkey = n_nationkey)
+    left join (select substr(n_name, 1, 2) as code, min(n_name) as name from nation where n_nationkey % 3 <> 0 group by 1) using (code)""",
+)
+def country_names(t):
+    """Suppliers by the name of their country: codes looked up in the table of countries, of which some are missing and some share a code."""
+    code = F.substring("n_name", 1, 2)
+    held = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", code.alias("code"))
+    named = t("nation").where("n_nationkey % 3 <> 0").select(F.lower(code).alias("country_code"), F.col("n_name").alias("name"))
+    return features.with_country_names(held, "code", named).select("s_suppkey", "country")

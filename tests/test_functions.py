@@ -207,3 +207,24 @@ def test_strategies_find_the_same_pairs(spark):
     routes = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in r.uniform(0.05 * k, 0.05 * k + 0.05, (20, 2))]) for k in range(4)] + [(9, None)], "route_id long, line array<struct<lng:double,lat:double>>")
     found = {s: {tuple(x) for x in spatial.points_near_routes_by(s, points, routes, 900.0).collect()} for s in ("tiles", "box", "all")}
     assert found["tiles"] == found["box"] == found["all"] and len(found["all"]) > 5
+
+
+@pytest.mark.parametrize(
+    "url,want",
+    [
+        ("https://http//www.example.com/", "http://www.example.com/"), ("https://http://a.se/x//y", "http://a.se/x//y"), ("https://ultrasignuphttp//www.example.com/", "http://www.example.com/"), ("HTTP://https//a.se", "https://a.se"),
+        ("https://a.se/http//b", "https://a.se/http//b"), ("https://a.se", "https://a.se"), ("x", "x"), (None, None),
+    ],
+)
+def test_repaired_url(spark, url, want):
+    assert one(spark, text.repaired_url(F.lit(url).cast("string"))) == (want,)
+
+
+def test_slugs_and_event_keys(spark):
+    s = lambda v: F.lit(v).cast("string")
+    urls = ["https://julianalps.utmb.world/races/120K", "https://www.vmxtreme.se/", "https://tracedetrail.fr/trace/getTraceItra/12345", "nothing"]
+    assert one(spark, *[text.address_slug(s(u)) for u in urls]) == ("julianalps.utmb.world-races-120K", "vmxtreme.se", "tracedetrail.fr-trace-getTraceItra-12345", None)
+    assert one(spark, text.address_slug(s(urls[1]), F.lit(3)), text.name_slug(s("Åre Ultra!"), s(" 50 km")), text.name_slug(s(" - "), s(None))) == ("vmxtreme.se-3", "åre-ultra-50-km", None)
+    key = lambda *u, name=None, km=None: text.event_key([s(x) for x in u], s(name), s(km))
+    got = one(spark, key(None, " ", "https://http//www.a.se/x", name="n"), key("https://www.test.com/a", "https://b.se"), key(None, name="Big Run", km="10 km"), key(None, km=" "), key("https://c.se", "https://d.se"))
+    assert [tuple(g) if g else None for g in got] == [("a.se", "http://www.a.se/x"), None, ("big-run-10-km", "name://big-run-10-km"), None, ("c.se", "https://c.se")]

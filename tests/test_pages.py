@@ -67,7 +67,7 @@ def test_price(spark, html, url, want):
 
 
 @pytest.mark.parametrize(
-    "html,want", [("<p>Distance 42 km</p>\n<p>Elevation gain: 1 200 m</p>\n<p>In 1999</p>", 1200.0), ("<p>D+ 900m</p>", 900.0), ("<p>10 km</p>\n<p>ascent 300 or 9000</p>", 300.0), ("<p>flat</p>", None), (None, None)]
+    "html,want", [("<p>Distance 42 km</p>\n<p>Elevation gain: 1 200 m</p>\n<p>In 1999</p>", 1200.0), ("<p>D+ 900m</p>", 900.0), ("<p>10 km</p>\n<p>ascent 300 or 9000</p>", 300.0), ("<p>ascent 1,200 or 10k or 450 m</p>", 450.0), ("<p>stigning 12 34 m</p>", 34.0), ("<p>flat</p>", None), (None, None)]
 )
 def test_elevation_gain(spark, html, want):
     assert one(spark, pages.elevation_gain(F.lit(html).cast("string"))) == (want,)

@@ -18,7 +18,8 @@ def one(spark, *columns):
     "html,want",
     [
         ('<script type="application/ld+json">{"startDate": "2026-05-02T09:00"}</script><time datetime="2025-01-01">', "2026-05-02"), ('<time class=a datetime="2026-06-01T10:00Z">', "2026-06-01"),
-        ('<meta name="event-date" content="20260703">', "2026-07-03"), ("<p>1.8.2026</p><p>12 September 2026</p><p>September 12, 2026</p>", "2026-09-12"), ("<p>no day</p>", None), (None, None),
+        ('<meta name="event-date" content="20260703">', "2026-07-03"), ("<p>1.8.2026</p><p>12 September 2026</p><p>September 12, 2026</p>", "2026-09-12"), ("<p>12 marathon 2026, 3rd of May 2027</p>", "2027-05-03"), ("<p>Call 1234-56-78</p><p>Sat 9. oct 2026</p>", "2026-10-09"),
+        ("<p>2026-08-15T10:00 or 16.08.2026 or Aug 16, 2026</p>", "2026-08-16"), ("<p>10 km 2026, May 2026, 12 5 2026</p>", None), ("<p>no day</p>", None), (None, None),
     ],
 )
 def test_event_date(spark, html, want):

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from geocairn.functions import geo
-from geocairn.operators import merge, races
+from geocairn.operators import features, merge, races
 from geocairn.sources import tables
 
 
@@ -34,3 +34,18 @@ def test_places_per_cluster(spark):
     routes = spark.createDataFrame([(1, "o", 10.0, "2025", True), (2, "o", 10.0, "2026", False), (3, "o", None, None, False), (4, "o", 20.0, "2020", True)], "route_id long, organizer string, canon double, date string, has_geometry boolean")
     places = spark.createDataFrame([("o", 10.0, 1)], "organizer string, canon double, places int")
     assert sorted(r["route_id"] for r in races.top_per_cluster(routes, places).collect()) == [2, 3, 4]
+
+
+def test_entries_that_say_a_distance_anew(spark):
+    entries = [("o", 1, [10.0, 21.1]), ("o", 2, [10.3]), ("o", 3, [21.1]), ("o", 4, [50.0]), ("o", 5, [10.3, 50.5]), ("p", 6, [10.3]), ("o", 7, []), ("o", 8, None), ("o", 9, [10.0, 10.0])]
+    entries = spark.createDataFrame(entries, "organizer string, entry long, km array<double>")
+    # 4 says 5's 50.5 anew; 2 is first met by 1, which lists 10 only, though 5 lists the same
+    assert sorted(r["entry"] for r in races.remeasured(entries).collect()) == [2, 4]
+    clusters = spark.createDataFrame([("o", 10.0), ("o", 21.1), ("o", 50.0), ("p", 10.0), ("p", None)], "organizer string, canon double")
+    assert {tuple(r) for r in races.places_per_cluster(clusters, entries).collect()} == {("o", 10.0, 3), ("o", 21.1, 2), ("o", 50.0, 1), ("p", 10.0, 1), ("p", None, 1)}
+
+
+def test_country_names(spark):
+    rows = spark.createDataFrame([(1, "se"), (2, "XX"), (3, None)], "id long, code string")
+    names = spark.createDataFrame([("SE", "Sweden"), ("SE", "Svea"), (None, "Nowhere"), ("NO", None)], "country_code string, name string")
+    assert {tuple(r) for r in features.with_country_names(rows, "code", names).select("id", "country").collect()} == {(1, "Svea"), (2, "XX"), (3, None)}
