@@ -42,6 +42,8 @@ PRIOR = 500.0
 EVEN = 0.5
 #: Expected counts of the rarer words are summed in whole numbers of this part, so that sums depend on no order.
 UNIT = 256
+#: Parts that the blocks of one word are dealt into where its counts are summed.
+SALT = 32
 SEED = 5
 END = b""
 #: Longer words go by their digest, bytes of text that are split at a time.
@@ -424,10 +426,14 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sta
     encoded = keep(encode(rows, number, known, np.log10((known + 0.5) / whole)))
     model, in_class, own = baum_welch(encoded, shares, n_head, states, steps)
 
-    # what all blocks know of a word goes to each block that holds it: a word has one row a block, so no group is large
+    # what all blocks know of a word goes to each block that holds it. A word's rows, one a block, are dealt into SALT parts: these are folded before
+    # they move, a word has SALT sums at most to add up, and each part meets its word's total by itself
     names = [f"v{k}" for k in range(states)]
+    known_of = ("n", *names)
+    own = own.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALT)).cast("int"))
     every = Window.partitionBy("word")
-    own = own.select("block", "at", *[F.sum(c).over(every).alias(c) for c in ("n", *names)])
+    totals = own.groupBy("word", "salt").agg(*[F.sum(c).alias(c) for c in known_of]).select("word", "salt", *[F.sum(c).over(every).alias(c) for c in known_of])
+    own = own.select("block", "at", "word", "salt").join(totals, ["word", "salt"]).select("block", "at", *known_of)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def score(blocks: pa.Table, found: pa.Table) -> pa.Table:
