@@ -15,15 +15,35 @@ from .graph import components
 STEP = -math.log(1 - text.ROUGH)
 
 
+def nearest_of_about(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """organizer, km and best (rank, off, id) of each distance asked for (organizer, km) that one held (organizer, km, rank: a boolean, id) is about the same as:
+    least rank first (null, false, true), then the nearest, then the least id.
+
+    Distances are met as sets: of equal ones with a rank the least id stands for all, and of each rank only the next below and the next above are looked at, so
+    the rows are as many as an organizer's different distances, however many routes have them.
+    """
+    ranks = (None, False, True)
+    kinds = "boolean"
+    some = "organizer is not null and km > 0"
+    asks = asked.where(some).select("organizer", F.col("km").cast("double").alias("km"), F.lit(True).alias("__ask"), F.lit(None).cast(kinds).alias("rank"), F.lit(None).cast(held.schema["id"].dataType).alias("id"))
+    rows = asks.unionByName(held.where(some).select("organizer", F.col("km").cast("double").alias("km"), F.lit(False).alias("__ask"), F.col("rank").cast(kinds).alias("rank"), "id"))
+    least = [F.min(F.when(~F.col("__ask") & F.col("rank").eqNullSafe(F.lit(r).cast(kinds)), F.struct("id", "km"))).alias(f"__{i}") for i, r in enumerate(ranks)]
+    sets = rows.groupBy("organizer", "km").agg(F.max("__ask").alias("__ask"), *least)
+    by = Window.partitionBy("organizer").rowsBetween(Window.unboundedPreceding, 0)
+    up, down = by.orderBy("km"), by.orderBy(F.desc("km"))
+    found = sets.withColumns({f"__{i}{d}": F.last(f"__{i}", ignorenulls=True).over(w) for d, w in (("u", up), ("d", down)) for i in range(len(ranks))})
+    of = lambda i, r, d: F.when(text.roughly_equal(F.col("km"), F.col(f"__{i}{d}.km")), F.struct(F.lit(r).cast(kinds).alias("rank"), F.abs(F.col("km") - F.col(f"__{i}{d}.km")).alias("off"), F.col(f"__{i}{d}.id").alias("id")))
+    best = F.array_min(F.array(*[of(i, r, d) for i, r in enumerate(ranks) for d in "ud"]))
+    return found.where("__ask").select("organizer", "km", best.alias("best")).where("best is not null")
+
+
 def best_discovery(routes: DataFrame, discoveries: DataFrame) -> DataFrame:
     """Per route (organizer, route_id, km) the discovery (organizer, discovery_id, km, is_multi) of about the same distance: those with one
-    distance first, then the nearest, then the least id. An equi-join on the step of the distance's logarithm, with its neighbours."""
-    step = F.floor(F.log("km") / STEP).cast("int")
-    a = routes.where("km > 0").select("organizer", "route_id", "km", F.explode(F.sequence(step - 1, step + 1)).alias("step"))
-    b = discoveries.where("km > 0").select("organizer", "discovery_id", F.col("km").alias("other"), "is_multi", step.alias("step"))
-    pairs = a.join(b, ["organizer", "step"]).where(text.roughly_equal(F.col("km"), F.col("other")))
-    best = F.min_by("discovery_id", F.struct("is_multi", F.abs(F.col("km") - F.col("other")), "discovery_id"))
-    return pairs.groupBy("organizer", "route_id").agg(best.alias("discovery_id")).select("route_id", "discovery_id")
+    distance first, then the nearest, then the least id. Settled once per distance, which its routes then look up."""
+    held = discoveries.select("organizer", "km", F.col("is_multi").alias("rank"), F.col("discovery_id").alias("id"))
+    asked = routes.select("organizer", "route_id", F.col("km").cast("double").alias("km"))
+    found = asked.join(nearest_of_about(asked, held), ["organizer", "km"]).groupBy("organizer", "route_id").agg(F.min("best").alias("best"))
+    return found.select("route_id", F.col("best.id").alias("discovery_id"))
 
 
 def anchored(km: Column) -> Column:
