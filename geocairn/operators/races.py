@@ -167,13 +167,12 @@ def absorb_points(features: DataFrame, fields: list[str]) -> DataFrame:
 
     A point with a distance about the same as one of a line's goes into the line with the nearest distance (least id of equals): the line
     takes the point's fields where they aren't null (of several points the greatest id's) and all its urls. Points without a line, and
-    lines, stay. An equi-join on the step of the distance's logarithm, with its neighbours, so no organizer's pairs are all made.
+    lines, stay. Lines are found once per distance, which the points then look up, so no organizer's pairs are made.
     """
-    step = lambda c: F.floor(F.log(c) / STEP).cast("int")
-    lines = features.where("is_line").select("organizer", F.col("id").alias("line_id"), F.explode("km").alias("lkm")).where("lkm > 0").withColumn("step", step("lkm"))
-    points = features.where("not is_line").select("organizer", "id", F.explode("km").alias("pkm")).where("pkm > 0").withColumn("step", F.explode(F.sequence(step("pkm") - 1, step("pkm") + 1)))
-    met = points.join(lines, ["organizer", "step"]).where(text.roughly_equal(F.col("lkm"), F.col("pkm")))
-    into = met.groupBy("id").agg(F.min_by("line_id", F.struct(F.abs(F.col("lkm") - F.col("pkm")), "line_id")).alias("line_id"))
+    lines = features.where("is_line").select("organizer", F.explode("km").alias("km"), F.lit(False).alias("rank"), F.col("id").alias("id"))
+    points = features.where("not is_line").select("organizer", "id", F.explode(F.col("km").cast("array<double>")).alias("km"))
+    met = points.join(nearest_of_about(points, lines), ["organizer", "km"])
+    into = met.groupBy("id").agg(F.min("best").alias("best")).select("id", F.col("best.id").alias("line_id"))
     taken = features.join(into, "id").groupBy("line_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"__{c}") for c in fields], F.flatten(F.collect_list("urls")).alias("__urls"))
     rest = features.join(into.select("id"), "id", "left_anti").join(taken, F.col("id") == F.col("line_id"), "left")
     urls = F.array_distinct(F.concat(F.coalesce("urls", F.array().cast("array<string>")), F.array_sort(F.coalesce("__urls", F.array().cast("array<string>")))))

@@ -35,3 +35,15 @@ def test_nearest_doesnt_list_pairs(spark):
     df = races.best_discovery(a, b)
     assert {r["discovery_id"] for r in df.collect()} == {0, 1, 2}
     assert races.nearest_of_about(a, b.select("organizer", "km", F.col("is_multi").alias("rank"), F.col("discovery_id").alias("id"))).count() == 3
+
+
+def test_absorbed_points_against_loops(spark):
+    lines, points = _listing(80, 3), _listing(150, 4)
+    rows = [(o or "n", i, True, [k], None, f"l{i}") for o, i, k, _ in lines] + [(o or "n", 1000 + i, False, [k, k], None, f"p{i}") for o, i, k, _ in points]
+    want = {r[1]: r[5] for r in rows if r[2]}
+    for o, i, _, (km, _), _, name in [r for r in rows if not r[2]]:
+        near = [(abs(km - r[3][0]), r[1]) for r in rows if r[2] and r[0] == o and km and r[3][0] and about(km, r[3][0])]
+        want[min(near)[1] if near else i] = name
+    df = spark.createDataFrame(rows, "organizer string, id long, is_line boolean, km array<double>, urls array<string>, name string")
+    out = races.absorb_points(df, ["name"])
+    assert {r["id"]: r["name"] for r in out.collect()} == want
