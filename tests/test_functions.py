@@ -228,3 +228,17 @@ def test_slugs_and_event_keys(spark):
     key = lambda *u, name=None, km=None: text.event_key([s(x) for x in u], s(name), s(km))
     got = one(spark, key(None, " ", "https://http//www.a.se/x", name="n"), key("https://www.test.com/a", "https://b.se"), key(None, name="Big Run", km="10 km"), key(None, km=" "), key("https://c.se", "https://d.se"))
     assert [tuple(g) if g else None for g in got] == [("a.se", "http://www.a.se/x"), None, ("big-run-10-km", "name://big-run-10-km"), None, ("c.se", "https://c.se")]
+
+
+def test_points_near_routes_at_shared_places(spark):
+    """Distances are found between places; ids that stand twice, on either side, still give a pair once."""
+    points = spark.createDataFrame([(1, 10.0, 60.0), (1, 10.001, 60.0), (2, 10.0, 60.0), (3, 10.0, 60.5), (None, 10.0, 60.0), (4, None, 60.0)], "point_id int, lng double, lat double")
+    rows = [(1, [(10.0, 60.0), (10.001, 60.0), (10.0, 60.0)], 0), (1, [(10.0, 60.0)], 1), (2, [(10.0, 60.0)], 0), (3, [], 0), (4, None, 0)]
+    routes = spark.createDataFrame(rows, "route_id int, line array<struct<lng:double,lat:double>>, kind int")
+    df = spatial.points_near_routes(points, routes, 200.0)
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got, key=str) == sorted([(r, p) for r in (1, 2) for p in (1, 2, None)], key=str)
+    assert sorted(map(tuple, spatial.points_near_routes(points, routes, 200.0, where=F.col("kind") + F.col("point_id") < 2).collect())) == [(1, 1), (2, 1)]
+    # the distance is a condition between places, not between a route's vertex and a point
+    tests = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ATAN2" in x and "Join" in x]
+    assert tests and all("__vlat" in x and "__plat" in x for x in tests)
