@@ -29,18 +29,17 @@ def points_near_routes(points: DataFrame, routes: DataFrame, metres: float = 50.
     coordinates. `where` may name further columns of either side, e.g. a bound on the distance from the start.
     """
     z = zoom if zoom is not None else zoom_for(metres)
-    if where is None:
-        routes = routes.select("route_id", "line")
+    twice = F.count("*").over(Window.partitionBy("route_id")) > 1
+    routes = routes.select("route_id", "line", F.lit(False).alias("__twice")) if where is None else routes.withColumn("__twice", twice)
     at = lambda lng, lat, to: [lng.alias(f"__{to}lng"), lat.alias(f"__{to}lat")]
     vertices = routes.select("*", F.explode("line").alias("__v")).drop("line").select("*", *at(F.col("__v.lng"), F.col("__v.lat"), "v")).drop("__v").distinct()
     some = points.where("lng is not null and lat is not null").withColumn("__many", F.count("*").over(Window.partitionBy("point_id")) > 1).withColumns({"__plng": F.col("lng"), "__plat": F.col("lat")})
     close = near_places(vertices.select("__vlng", "__vlat"), some.select("__plng", "__plat"), metres, z)
     met = vertices.join(close, ["__vlng", "__vlat"]).drop("__vlng", "__vlat").distinct().join(some, ["__plng", "__plat"])
-    if where is not None:
-        return met.where(where).select("route_id", "point_id").distinct()
     # a point stands at one place, so only ids that stand in several rows can come twice
-    each = lambda many: met.where(many).select("route_id", "point_id")
-    return each(~F.col("__many")).unionByName(each(F.col("__many")).distinct())
+    many = F.col("__many") | F.col("__twice")
+    each = lambda some: met.where(some if where is None else some & where).select("route_id", "point_id")
+    return each(~many).unionByName(each(many).distinct())
 
 
 def near_places(vertices: DataFrame, points: DataFrame, metres: float, zoom: int) -> DataFrame:
