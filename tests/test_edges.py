@@ -72,3 +72,12 @@ def test_all_vertices_or_a_sample(spark):
     held = lambda n: {r["polygon_id"] for r in features.route_regions(routes, boundaries, 8, n).collect()}
     assert held(None) == {1, 2} and held(120) == {1, 2} and held(3) == {1}
     assert spark.range(1).select(geo.contains_round(F.struct(F.lit(179.0).alias("min_lng"), F.lit(0.0).alias("min_lat"), F.lit(181.0).alias("max_lng"), F.lit(1.0).alias("max_lat")), F.lit(-179.5), F.lit(0.5))).first()[0]
+
+
+def test_places_shared_across_the_meridian(spark):
+    """Routes and points that share places on either side of the 180th meridian meet through their places."""
+    points = spark.range(6).select(F.col("id").alias("point_id"), F.when(F.col("id") % 2 == 0, 179.9999).otherwise(-179.9999).alias("lng"), F.lit(10.0).alias("lat"))
+    routes = spark.range(4).select(F.col("id").alias("route_id"), F.array(geo.point(F.lit(-179.9998), F.lit(10.0))).alias("line"))
+    df = spatial.points_near_routes(points, routes, 40.0)
+    assert sorted(map(tuple, df.collect())) == [(r, p) for r in range(4) for p in range(6)]
+    assert any("ATAN2" in x and "__vlng" in x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
