@@ -92,6 +92,16 @@ def _feature(id_: pa.Array, px: pa.Array, py: pa.Array, tags: pa.Array) -> pa.Ar
     return pa.array(out, pa.binary())
 
 
+def _joined(features: pa.StructArray) -> bytes:
+    """The features' bytes, each n times, as they stand in Arrow's memory: none becomes an object."""
+    n, each = features.flatten()
+    each = each.cast(pa.large_binary()).take(pa.array(np.repeat(np.arange(len(n)), n.to_numpy(zero_copy_only=False))))
+    if not len(each):
+        return b""
+    first, last = np.frombuffer(each.buffers()[1], np.int64)[[each.offset, each.offset + len(each)]]
+    return each.buffers()[2][int(first) : int(last)].to_pybytes()
+
+
 def _numbered(tags: DataFrame, column: str) -> DataFrame:
     """x, y, the column's distinct values on the tile and no, from 0 in order of the first feature and property that holds each."""
     first = tags.groupBy("x", "y", column).agg(F.min(F.struct("__id", "fragment", "__tie", "pos")).alias("__first"))
@@ -127,10 +137,11 @@ def encode_tiles(pieces: DataFrame, name: str, zoom: int, properties: list[str],
     @F.arrow_udf(BinaryType())
     def assembled(features: pa.Array, keys: pa.Array, values: pa.Array) -> pa.Array:
         out = []
-        for f, k, v in zip(features.to_pylist(), keys.to_pylist(), values.to_pylist(), strict=True):
+        for f, k, v in zip(features, keys.to_pylist(), values.to_pylist(), strict=True):
             body = field(15, 2) + field(1, name.encode()) + b"".join(field(3, x.encode()) for x in k or []) + b"".join(field(4, x) for x in v or [])
-            tile = field(3, body + b"".join(x["bytes"] * x["__n"] for x in f) + field(5, extent))
+            tile = field(3, body + _joined(f.values) + field(5, extent))
             out.append(gzip.compress(tile, mtime=0) if zipped else tile)
         return pa.array(out, pa.binary())
 
-    return whole.select("x", "y", "n_features", assembled("__f", "__keys", "__values").alias("tile"))
+    slim = F.transform("__f", lambda f: F.struct(f["__n"].alias("n"), f["bytes"].alias("bytes")))
+    return whole.select("x", "y", "n_features", assembled(slim, "__keys", "__values").alias("tile"))
