@@ -6,12 +6,10 @@ down, and need no state of their own. Later changes win whatever order the rows
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -21,7 +19,6 @@ from . import feeds
 STAGES = ("peaks", "paths", "areas")
 DIFFERENCE = "user_id long, activity_id long, what string, name string, delta int"
 _STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_ZERO = datetime(1970, 1, 1)
 
 
 def status_of(stages: set[str], deleted: bool) -> str:
@@ -32,51 +29,47 @@ def status_of(stages: set[str], deleted: bool) -> str:
 
 
 class ActivityState(StatefulProcessor):
-    """State of one activity: facts (stage and feature, with the time of the last row that said so), the time of its last delete, its status."""
+    """State of one activity, as one value that is asked for and put down once: facts (stage and feature, with the time of the last row that said so), the
+    time of its last delete, its status and its timer. Times are microseconds."""
 
     def __init__(self, forget: timedelta):
-        self.forget = forget
+        self.forget = forget // timedelta(milliseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.facts = handle.getMapState("facts", "kind string, feature string", "at long")
-        self.row = handle.getValueState("row", "gone long, status string, last long")
+        self.state = handle.getValueState("activity", "gone long, status string, last long, timer long, kinds array<string>, features array<string>, ats array<long>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {(k[0], k[1]): v[0] for k, v in self.facts.iterator()}
-        gone, status, last = self.row.get() if self.row.exists() else (-1, None, -1)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        old = self.state.get()
+        gone, status, last, timer, kinds, features, ats = old or (-1, None, -1, None, [], [], [])
+        held = {(k, f): at for k, f, at in zip(kinds, features, ats, strict=True)}
         before = set(held)
-        for part in rows:
-            for kind, feature, at, deleted in zip(part["kind"], part["feature_id"], part["at"], part["deleted"], strict=True):
-                at = (at.to_pydatetime().replace(tzinfo=None) - _ZERO) // timedelta(microseconds=1)
-                last = max(last, at)
-                if deleted:
-                    gone = max(gone, at)
-                elif isinstance(kind, str) and isinstance(feature, str):
-                    held[kind, feature] = max(at, held.get((kind, feature), -1))
+        for row in rows:
+            at = row["micros"]
+            last = max(last, at)
+            if row["deleted"]:
+                gone = max(gone, at)
+            elif row["kind"] is not None and row["feature_id"] is not None:
+                fact = row["kind"], row["feature_id"]
+                held[fact] = max(at, held.get(fact, -1))
         held = {k: at for k, at in held.items() if at > gone}
-        for k in before - set(held):
-            self.facts.removeKey(k)
-        for k, at in held.items():
-            self.facts.updateValue(k, (at,))
         now = status_of({kind for kind, _ in held}, gone >= 0)
-        self.row.update((gone, now, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last // 1000 + self.forget // timedelta(milliseconds=1))
-        changed = Counter({(*k, 1): 1 for k in set(held) - before} | {(*k, -1): 1 for k in before - set(held)})
+        due = last // 1000 + self.forget
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.state.update((gone, now, last, due, [k for k, _ in held], [f for _, f in held], list(held.values())))
+        changed = [(*k, 1) for k in set(held) - before] + [(*k, -1) for k in before - set(held)]
         if now != status:
-            changed["status", now, 1] = 1
-            if status is not None:
-                changed["status", status, -1] = 1
-        out = [(int(key[0]), int(key[1]), what, name, delta) for what, name, delta in sorted(changed)]
-        yield pd.DataFrame(out, columns=["user_id", "activity_id", "what", "name", "delta"]).astype({"delta": "int32"})
+            changed += [("status", now, 1)] + ([("status", status, -1)] if status is not None else [])
+        for what, name, delta in sorted(changed):
+            yield Row(user_id=key[0], activity_id=key[1], what=what, name=name, delta=delta)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """What nothing has been heard of for so long keeps its facts and status, but no state: a later row counts as of a new activity."""
-        self.facts.clear()
-        self.row.clear()
-        yield pd.DataFrame({"user_id": [], "activity_id": [], "what": [], "name": [], "delta": []}).astype({"user_id": "int64", "activity_id": "int64", "what": str, "name": str, "delta": "int32"})
+        self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -88,9 +81,9 @@ def differences(stream: DataFrame, forget: timedelta = timedelta(days=365), late
     what is a stage, name a feature and delta 1 or -1 as the activity meets it or takes it back; or what is "status" and name the status that it comes
     to or leaves. Rows without keys or time are left out, and so are rows later than the watermark (of which `late` is the slack).
     """
-    named = stream.select(F.col("user_id").cast("long"), F.col("activity_id").cast("long"), F.col("kind").cast("string"), F.col("feature_id").cast("string"), F.col("at").cast("timestamp"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    named = stream.select(F.col("user_id").cast("long"), F.col("activity_id").cast("long"), F.col("kind").cast("string"), F.col("feature_id").cast("string"), F.col("at").cast("timestamp"), F.coalesce("deleted", F.lit(False)).alias("deleted")).withColumn("micros", F.unix_micros("at"))
     timed = named.where("user_id is not null and activity_id is not null and at is not null").withWatermark("at", late)
-    return timed.groupBy("user_id", "activity_id").transformWithStateInPandas(ActivityState(forget), DIFFERENCE, "Append", "EventTime")
+    return timed.groupBy("user_id", "activity_id").transformWithState(ActivityState(forget), DIFFERENCE, "Append", "EventTime")
 
 
 def keep_status(stream: DataFrame, folder: str, checkpoint: str, **options) -> StreamingQuery:

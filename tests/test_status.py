@@ -77,3 +77,38 @@ def test_state_is_forgotten_when_nothing_comes(spark, tmp_path):
     log = [tuple(r)[1:] for r in spark.read.parquet(out).collect()]
     assert sorted(x for x in log if x[1] == "peaks") == [(1, "peaks", "f0", 1), (1, "peaks", "f3", 1), (2, "peaks", "f1", 1), (2, "peaks", "f2", 1)]
     assert log.count((1, "status", "partial", 1)) == 2  # told anew, as nothing of the first time is held
+
+
+class _Handle:
+    """A store of one activity that counts what it is asked."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_state_is_asked_a_fixed_number_of_times():
+    handle, state = _Handle(), status.ActivityState(timedelta(days=1))
+    state.init(handle)
+    rows = [{"micros": k, "deleted": False, "kind": "peaks", "feature_id": f"f{k}"} for k in range(50)]
+    assert len(list(state.handleInputRows((1, 2), iter(rows), None))) == 51 and handle.calls == 3
+    assert [r["name"] for r in state.handleInputRows((1, 2), iter([{"micros": 10**6, "deleted": False, "kind": "paths", "feature_id": "x"}]), None)] == ["x"]
+    assert handle.calls == 7 and len(handle.timers) == 1
