@@ -97,3 +97,10 @@ def test_points_merge_as_in_a_plain_greedy_version(spark, seed):
     df = spark.createDataFrame(rows, "organizer string, id long, is_line boolean, km array<double>, urls array<string>, name string, fee string").repartition(5)
     got = sorted((g["organizer"], g["id"], g["is_line"], tuple(g["km"]), tuple(g["urls"]), g["name"], g["fee"]) for g in races.merge_points(df, ["fee"]).collect())
     assert got == plain_merge(rows) and len(got) < len(rows) - 60
+
+
+def test_long_chains_of_redirects_are_followed(spark):
+    """Eight steps, the limit, whatever a query's SQL unrolls."""
+    items = spark.createDataFrame([(1, "o390625", "s", "https://x", "d")], "pos int, organizer string, source string, url string, discovery string")
+    redirects = spark.createDataFrame([(f"O{5**i}", f"o{5 ** (i - 1)}") for i in range(1, 9)], "source string, target string")
+    assert [r["organizer"] for r in documents.routed_discoveries(items, redirects).collect()] == ["o1"]
