@@ -68,3 +68,37 @@ def test_lines_within_shuffle_no_pairs(spark):
     df = spatial.lines_within(_lines(spark, "a_id", 40), _lines(spark, "b_id", 50), 50.0)
     assert not re.search(r"hashpartitioning\((a_id|route_id)#\d+L?, (b_id|point_id)", shuffled(df))
     assert df.count() == 2000
+
+
+def _scattered(spark, name, n, of, **more):
+    """n ids with `of` rows each, their keys scattered over 41 x 41 cells."""
+    cell = lambda salt: F.pmod(F.xxhash64("id", "i", F.lit(salt)), F.lit(41)).cast("int")
+    return spark.range(n).select("id", F.explode(F.sequence(F.lit(1), F.lit(of))).alias("i")).select(F.col("id").alias(name), cell(1).alias("x"), cell(2).alias("y"), *[c.alias(k) for k, c in more.items()])
+
+
+def _dense(spark, n_left, n_right):
+    """Pairs that are about a third of all."""
+    left, right = _scattered(spark, "a", n_left, 66), _scattered(spark, "b", n_right, 9, bits=F.call_function("shiftleft", F.lit(1), F.col("i").cast("int") % 3), want=F.lit(7))
+    return meetings.pairs_meeting(left, right, ("a", "b"), ("x", "y"), AROUND)
+
+
+def test_listed_pairs_take_little_room(spark, tmp_path):
+    """About a byte a pair in Parquet, however many left ids there are."""
+    _dense(spark, 6000, 4000).write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert 0.2 < n / (6000 * 4000) < 0.5
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 1.25 * n
+
+
+def test_sides_are_put_down_once(spark):
+    """Blocks aren't repeated for each other's sake."""
+    plan = shuffled(_dense(spark, 300, 200))
+    assert "CartesianProduct" in plan and "explode(sequence(pmod" not in plan
+
+
+def test_ids_of_many_rows_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(meetings, "LEFT_IDS", 3)
+    monkeypatch.setattr(meetings, "RIGHT_IDS", 5)
+    left, right = _scattered(spark, "a", 60, 40).unionByName(_scattered(spark, "a", 2, 900)), _scattered(spark, "b", 50, 4, bits=F.lit(1) + F.col("i") % 2, want=F.lit(3))
+    got = [tuple(r) for r in meetings.pairs_meeting(left, right, ("a", "b"), ("x", "y"), AROUND).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain([tuple(r) for r in left.collect()], [tuple(r) for r in right.collect()], AROUND)
