@@ -102,3 +102,17 @@ def test_ids_of_many_rows_and_many_blocks(spark, monkeypatch):
     left, right = _scattered(spark, "a", 60, 40).unionByName(_scattered(spark, "a", 2, 900)), _scattered(spark, "b", 50, 4, bits=F.lit(1) + F.col("i") % 2, want=F.lit(3))
     got = [tuple(r) for r in meetings.pairs_meeting(left, right, ("a", "b"), ("x", "y"), AROUND).collect()]
     assert len(got) == len(set(got)) and set(got) == plain([tuple(r) for r in left.collect()], [tuple(r) for r in right.collect()], AROUND)
+
+
+def test_tasks_of_lines_within_hold_few_left_ids(spark):
+    df = spatial.lines_within(_lines(spark, "a_id", 3000), _lines(spark, "b_id", 300), 50.0)
+    assert "explode(sequence(pmod" not in shuffled(df)
+    each = df.groupBy(F.spark_partition_id().alias("t")).agg(F.count_distinct("a_id").alias("left"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in each) == 900_000 and max(r["left"] for r in each) <= 300
+
+
+def test_left_blocks_are_so_many_at_most(spark, monkeypatch):
+    monkeypatch.setattr(meetings, "LEFT_IDS", 1)
+    monkeypatch.setattr(meetings, "LEFT_BLOCKS", 20)
+    df = spatial.lines_within(_lines(spark, "a_id", 200), _lines(spark, "b_id", 50), 50.0)
+    assert df.rdd.getNumPartitions() == 40 and df.distinct().count() == df.count() == 10_000
